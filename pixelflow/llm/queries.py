@@ -5,17 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, tokenio
+from . import bpe, decontam, lm, tokenio, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, query="vec_id % 50 = 0", scale=256)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(_table(spark, sf_dir, "pages"))
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -24,7 +36,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op3_token_files, op5_url_rules, op7_lm_scores, op9_decontamination, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
 
@@ -41,3 +53,33 @@ t AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
 sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
+
+ORACLES["op1_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+ORACLES["op5_url_rules"] = """
+WITH RECURSIVE u AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, coalesce(regexp_extract(url, '^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1, 's'), '') AS query FROM pages),
+p AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM u),
+tags AS (SELECT host, path, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*')) AS tag FROM p WHERE node IS NOT NULL),
+hrefs AS (SELECT host, path, node, replace(CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END, '&amp;', '&') AS t FROM tags),
+full_urls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t WHEN starts_with(t, '/') THEN 'x://' || host || t WHEN starts_with(t, '?') THEN 'x://' || host || path || t
+WHEN regexp_matches(t, '^#|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE 'x://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS t FROM hrefs WHERE t <> ''),
+split AS (SELECT node, translate(regexp_extract(t, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(t, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS q, regexp_extract(t, '^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1, 's') AS k FROM full_urls WHERE t IS NOT NULL),
+e AS (SELECT DISTINCT node AS a, h || CASE WHEN q = '' THEN '/' ELSE q END || k AS b FROM split WHERE h <> ''),
+sym AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT DISTINCT a AS n, a AS r FROM sym UNION SELECT sym.b, reach.r FROM reach JOIN sym ON reach.n = sym.a),
+cls AS (SELECT n, min(r) AS c FROM reach GROUP BY n),
+rules(h, q, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+mem AS (SELECT c, n, regexp_extract(n, '^([^/]*)', 1) AS host, regexp_extract(n, '^[^/]*([^?]*)', 1) AS path FROM cls),
+memv AS (SELECT c, n, arg_max(v, length(rules.h || rules.q)) AS v FROM mem JOIN rules ON (mem.host = rules.h OR ends_with(mem.host, '.' || rules.h)) AND starts_with(mem.path, rules.q) GROUP BY c, n),
+cv AS (SELECT c, bool_or(v = 'block') AND NOT bool_or(v = 'allow') AS blocked FROM memv GROUP BY c),
+pages_rid AS (SELECT *, row_number() OVER () AS rid FROM p),
+own AS (SELECT rid, arg_max(rules.h || rules.q, length(rules.h || rules.q)) AS rule, arg_max(v, length(rules.h || rules.q)) AS v FROM pages_rid JOIN rules ON (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, rules.q) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages_rid LEFT JOIN own USING (rid) LEFT JOIN cls ON node = n LEFT JOIN cv USING (c)"""
