@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, linededup, lm, tokenio, topk, urlfilter
+from . import bpe, decontam, linededup, lm, pii, tokenio, topk, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.digest(_table(spark, sf_dir, "pages"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_token_files, op5_url_rules, op7_lm_scores, op8_line_chunks, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op3_token_files, op5_url_rules, op6_personal_data, op7_lm_scores, op8_line_chunks, op9_decontamination, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
 
