@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, linededup, lm, pii, tokenio, topk, urlfilter
+from . import bpe, decontam, linededup, lm, pii, tokenio, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, query="vec_id % 50 = 0", scale=256)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,7 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op3_token_files, op5_url_rules, op6_personal_data, op7_lm_scores, op8_line_chunks, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_token_files, op5_url_rules, op6_personal_data, op7_lm_scores, op8_line_chunks, op9_decontamination, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
 

@@ -57,6 +57,7 @@ class Words:
     end: np.ndarray  # byte after the last letter
     hash: np.ndarray  # uint64
     first: np.ndarray  # of each text: its first word's number; one more entry than there are texts
+    stems: tuple = ()  # for each length asked for: hashes of the words' first bytes, of which a word has at least one more
 
     @property
     def counts(self) -> np.ndarray:
@@ -66,7 +67,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = BLANK_WORDS) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = BLANK_WORDS, stems: tuple[int, ...] = ()) -> Words:
     """Words of each text, lower-cased (A-Z)."""
     size = len(data)
     inside = word_bytes[data]
@@ -82,13 +83,17 @@ def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = BLANK_
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     del before, after, cut, inside
     hashes = np.empty(len(start), np.uint64)
+    short = tuple(np.empty(len(start), np.uint64) for _ in stems)
     lo = 0
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SLICE, side="right")))
         a, b = int(start[lo]), int(end[hi - 1])
-        hashes[lo:hi] = _hashes(LOWER[data[a:b]], start[lo:hi] - a, end[lo:hi] - a)
+        ends = [end[lo:hi] - a, *(np.minimum(start[lo:hi] + k, end[lo:hi]) - a for k in stems)]
+        hashes[lo:hi], *found = _hashes_to(LOWER[data[a:b]], start[lo:hi] - a, ends)
+        for out, x in zip(short, found, strict=True):
+            out[lo:hi] = x
         lo = hi
-    return Words(start, end, hashes, np.searchsorted(start, offsets))
+    return Words(start, end, hashes, np.searchsorted(start, offsets), short)
 
 
 _powers = np.ones(1, np.uint64)
@@ -96,6 +101,11 @@ _inverses = np.ones(1, np.uint64)
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _hashes_to(data, start, [end])[0]
+
+
+def _hashes_to(data: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the bytes from each start to each of its ends."""
     global _powers, _inverses
     n = len(data)
     if len(_powers) < n + 1:
@@ -105,7 +115,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         _powers, _inverses = np.cumprod(p), np.cumprod(q)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUE[data] * _powers[:n], out=total[1:])
-    found = mix((total[end] - total[start]) * _inverses[start])
+    found = [mix((total[end] - total[start]) * _inverses[start]) for end in ends]
     if n > 4 * SLICE:  # a huge word's tables aren't kept
         _powers = _inverses = np.ones(1, np.uint64)
     return found
