@@ -1,10 +1,59 @@
-"""The corpus pipeline: toxicity, line dedup, near duplicates, decontamination, byte-level BPE."""
+"""The corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, byte-level BPE.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents. SQL cannot express the classifier, the content-defined chunks or the
+merges, so ORACLE_SQL is None; tests hold each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from pixelflow.llm import bpe, decontam, linededup, ngramjoin, toxicity
+from pixelflow.llm.common import Scratch
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    return toxicity.remove(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go from the texts; documents of which nothing is left go."""
+    return linededup.dedup(docs, drop_emptied=True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the smallest doc_id."""
+    return ngramjoin.keep_one(docs)
+
+
+def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages go."""
+    return decontam.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text's ids, and the digests of ids and decoded bytes."""
+    return bpe.tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("toxicity", toxic_documents),
+    ("line_dedup", repeated_lines),
+    ("ngram_jaccard", near_duplicates),
+    ("decontamination", contaminated_documents),
+    ("byte_bpe", token_ids),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

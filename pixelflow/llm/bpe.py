@@ -271,6 +271,7 @@ def codec(path: str) -> Codec:
 
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
@@ -297,12 +298,24 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _each(docs, path, ENCODED, row)
 
 
+def _sha(x: np.ndarray, upto: np.ndarray) -> pa.Array:
+    return pa.array([hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.string())
+
+
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document row."""
+
+    def row(doc_id, ids, at, decoded, decoded_at):
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at), pa.int64()), lists, _sha(ids.astype("<u4"), at), _sha(np.ascontiguousarray(decoded), decoded_at)], names=TOKENS.names)
+
+    return _each(docs, path, TOKENS, row)
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns of every document row, taken from its ids and decoded bytes."""
 
     def row(doc_id, ids, at, decoded, decoded_at):
-        raw = ids.astype("<u4")
-        sha = lambda x, upto: pa.array([hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.string())
-        return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at), pa.int64()), sha(raw, at), sha(np.ascontiguousarray(decoded), decoded_at)], names=DIGEST.names)
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(at), pa.int64()), _sha(ids.astype("<u4"), at), _sha(np.ascontiguousarray(decoded), decoded_at)], names=DIGEST.names)
 
     return _each(docs, path, DIGEST, row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, linededup, lm, pii, tokenio, topk, toxicity, urlfilter
+from . import bpe, decontam, linededup, lm, ngramjoin, pii, tokenio, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.digest(_table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_token_files, op5_url_rules, op6_personal_data, op7_lm_scores, op8_line_chunks, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_toxicity, op3_token_files, op4_ngram_groups, op5_url_rules, op6_personal_data, op7_lm_scores, op8_line_chunks, op9_decontamination, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
 
@@ -95,3 +99,13 @@ pages_rid AS (SELECT *, row_number() OVER () AS rid FROM p),
 own AS (SELECT rid, arg_max(rules.h || rules.q, length(rules.h || rules.q)) AS rule, arg_max(v, length(rules.h || rules.q)) AS v FROM pages_rid JOIN rules ON (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, rules.q) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages_rid LEFT JOIN own USING (rid) LEFT JOIN cls ON node = n LEFT JOIN cv USING (c)"""
+
+ORACLES["op4_ngram_groups"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT a AS v, a AS t FROM e UNION SELECT e.b, r.t FROM r JOIN e ON r.v = e.a),
+k AS (SELECT v, min(t) AS t FROM r GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.t, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.v = d.doc_id"""
