@@ -32,6 +32,8 @@ class Scratch:
         """df, written once and read back."""
         path = self.new_path(name)
         df.write.parquet(path)
+        # nothing refers to the finished job's shuffles now; a collection on the driver lets Spark's cleaner delete their files
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

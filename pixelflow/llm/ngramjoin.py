@@ -12,7 +12,7 @@ Two sets link when 9 * overlap >= 4 * (size + size), that is, at a Jaccard simil
    could link to, are entries of inverted lists over their prefixes (rarer shingles first); who shares no list cannot link.
 4. Lists are scanned twice. First every entry meets its list's least class: a star, no matter how long
    the list. The links found give components. Then entries of lists that still hold several components meet the entries
-   outside of their own, if sizes, shared counts and prefixes allow a link at all. All pairs are checked on whole sets.
+   outside of their own. Pairs must be possible by sizes, shared counts and bit maps; those that are get checked on whole sets.
 
 Pairs of one component are never needed again, so a group of near copies costs its size, not its square.
 
@@ -68,9 +68,9 @@ def prefix_length(s):
     return s - (-(-4 * s // 5)) + 1
 
 
-RUNS = T.StructType([T.StructField("run", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
-SHARED = T.StructType([T.StructField("run", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("shared", T.BinaryType())])
-COUNTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType())])
+RUNS = T.StructType([T.StructField("run", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("digests", T.BinaryType())])
+SHARED = T.StructType([T.StructField("run", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("digests", T.BinaryType()), T.StructField("shared", T.BinaryType())])
+COUNTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("digest", T.BinaryType())])
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -79,7 +79,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _shared(rows: DataFrame, of_batch, scratch: Scratch) -> DataFrame:
-    """(doc_id, n, shared) of every row: its set's size, and how many of its shingles another row has too.
+    """(doc_id, n, shared, digest) of every row: its set's size, how many of its shingles another row has too, and its set's digest.
 
     of_batch(record batch) yields (ids, sets). 32 bits of a hash are kept beside its range, so
     `shared` may be too large by a few in a billion, never too small.
@@ -107,9 +107,9 @@ def _shared(rows: DataFrame, of_batch, scratch: Scratch) -> DataFrame:
                 for column, x in zip(columns, (b, C.planes(low[part]), C.planes(docs[part])), strict=True):
                     column.append(x)
             none = [None] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], names=RUNS.names)
-            whole = [np.concatenate(ids).astype("<i8").tobytes(), sizes.astype("<i8").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1 - (hash((task, seq)) % buckets)], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([whole[0]], pa.binary()), pa.array([whole[1]], pa.binary())], names=RUNS.names)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), *(pa.array(none, pa.binary()) for _ in range(3))], names=RUNS.names)
+            whole = [np.concatenate(ids).astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in sets)]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1 - (hash((task, seq)) % buckets)], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), *(pa.array([x], pa.binary()) for x in whole)], names=RUNS.names)
             seq, held = seq + 1, 0
             ids.clear(), sets.clear()
 
@@ -126,7 +126,7 @@ def _shared(rows: DataFrame, of_batch, scratch: Scratch) -> DataFrame:
     def count(key, table):
         names = table.column("run").to_pylist()
         if key[0].as_py() < 0:
-            return pa.table([table.column("run"), table.column("ids"), table.column("sizes"), pa.array([None] * len(names), pa.binary())], names=SHARED.names)
+            return pa.table([table.column("run"), table.column("ids"), table.column("sizes"), table.column("digests"), pa.array([None] * len(names), pa.binary())], names=SHARED.names)
         keys = [C.from_planes(x, np.uint32) for x in table.column("keys").to_pylist()]
         docs = [C.from_planes(x, np.uint32) for x in table.column("docs").to_pylist()]
         every = np.concatenate(keys)
@@ -141,26 +141,26 @@ def _shared(rows: DataFrame, of_batch, scratch: Scratch) -> DataFrame:
             at += len(d)
             out.append(C.planes(np.bincount(d[mark], minlength=int(d.max()) + 1).astype(np.uint32)))
         none = pa.array([None] * len(names), pa.binary())
-        return pa.table([table.column("run"), none, none, pa.array(out, pa.binary())], names=SHARED.names)
+        return pa.table([table.column("run"), none, none, none, pa.array(out, pa.binary())], names=SHARED.names)
 
     def gather(key, table):
-        ids = sizes = None
+        ids = sizes = digests = None
         parts = []
-        for i, s, x in zip(table.column("ids").to_pylist(), table.column("sizes").to_pylist(), table.column("shared").to_pylist(), strict=True):
+        for i, s, d, x in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "digests", "shared")), strict=True):
             if i is not None:
-                ids, sizes = np.frombuffer(i, "<i8"), np.frombuffer(s, "<i8")
+                ids, sizes, digests = np.frombuffer(i, "<i8"), np.frombuffer(s, "<i8"), d
             else:
                 parts.append(C.from_planes(x, np.uint32))
         total = np.zeros(len(ids), np.int64)
         for p in parts:
             total[: len(p)] += p
-        return pa.table([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(sizes, pa.int64()), pa.array(total, pa.int64())], names=COUNTED.names)
+        return pa.table([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(sizes, pa.int64()), pa.array(total, pa.int64()), pa.array([digests[k : k + 16] for k in range(0, len(digests), 16)], pa.binary())], names=COUNTED.names)
 
     each = rows.mapInArrow(run, RUNS).groupBy("bucket").applyInArrow(count, SHARED)
     return scratch.save(each.groupBy("run").applyInArrow(gather, COUNTED), "shared")
 
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("set", T.BinaryType())])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType())])
 
 
 def _texts(n: int):
@@ -180,9 +180,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
         for frame in frames:
             for own, data, offsets in W.pieces(frame, "text", 1 << 22):
                 raw = [s.astype("<u8").tobytes() for s in sets_of(data, offsets, n)]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), pa.array([len(x) // 8 for x in raw], pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=SETS.names)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), pa.array([len(x) // 8 for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=SETS.names)
 
-    return docs.mapInArrow(run, SETS)
+    return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
 def light_size(histogram: dict[int, int]) -> int:
@@ -247,6 +247,39 @@ def _entries(reps: DataFrame, light: int, common) -> DataFrame:
     return reps.select("doc_id", "set").mapInArrow(run, ENTRIES)
 
 
+MAPS = 8
+FACTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shared", T.LongType()), *(T.StructField(f"m{k}", T.LongType()) for k in range(MAPS))])
+
+
+def _facts(reps: DataFrame) -> DataFrame:
+    """(doc_id, n, shared, m0, ...): of each set a map of 64 * MAPS bits, in which every shingle flips one bit.
+
+    Two maps differ in at most as many bits as the sets differ in shingles.
+    """
+
+    def run(frames):
+        for frame in frames:
+            maps = np.zeros((frame.num_rows, MAPS), np.uint64)
+            for k, raw in enumerate(frame.column("set").to_pylist()):
+                bit = W.mix(np.frombuffer(raw, "<u8") + np.uint64(99)) >> np.uint64(64 - (64 * MAPS - 1).bit_length())
+                odd = (np.bincount(bit.astype(np.int64), minlength=64 * MAPS) & 1).astype(np.uint8)
+                maps[k] = np.packbits(odd, bitorder="little").view("<u8")
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), frame.column("n"), frame.column("shared"), *(pa.array(maps[:, k].copy().view(np.int64), pa.int64()) for k in range(MAPS))], names=FACTS.names)
+
+    return reps.select("doc_id", "n", "shared", "set").mapInArrow(run, FACTS)
+
+
+def _side(facts: DataFrame, p: str, *more: str) -> DataFrame:
+    return facts.select(*(F.col(c).alias(f"{p}_{c}") for c in (*FACTS.names, *more)))
+
+
+def _possible():
+    """Whether sets x and y can link, by their sizes, shared counts and maps: never false for a pair that links."""
+    total = F.col("x_n") + F.col("y_n")
+    differ = sum((F.bit_count(F.col(f"x_m{k}").bitwiseXOR(F.col(f"y_m{k}"))) for k in range(1, MAPS)), F.bit_count(F.col("x_m0").bitwiseXOR(F.col("y_m0"))))
+    return (5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")) & (9 * F.least("x_shared", "y_shared") >= 4 * total) & (9 * differ <= total)
+
+
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -278,37 +311,41 @@ def _linked(reps: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = {r["n"]: r["count"] for r in reps.where(F.col("n") <= 2 * LIGHT_MOST).groupBy("n").count().collect()}  # 2 * LIGHT_MOST rows at most
     light = light_size(sizes)
 
-    def exploded(frames):
+    most = max(32, int(counted * RARE))  # so at most a set's mean size / RARE shingles are common
+    buckets = partitions(spark)
+
+    def runs(frames):
+        own = C.Run(1, buckets)
         for frame in frames:
-            sets = [np.frombuffer(x, "<u8") for x in frame.column("set").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), pa.int64())], names=["key"])
+            for raw in frame.column("set").to_pylist():
+                yield from own.add(np.frombuffer(raw, "<u8"))
+        yield from own.flush()
 
-    every = reps.select("set").mapInArrow(exploded, "key long").groupBy("key").agg(F.count("*").alias("c"))
-    most = max(32, int(counted * RARE))  # so at most a set's mean size / RARE shingles are common
-    common = np.sort(np.array([r["key"] for r in every.where(F.col("c") > most).toLocalIterator()], np.int64).view(np.uint64))
+    def frequent(kind, bucket, keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(keys[counts > most].view(np.int64), pa.int64())], names=["key"])
+
+    found = C.reduced(reps.select("set").mapInArrow(runs, C.PACKED), T.StructType([T.StructField("key", T.LongType())]), frequent)
+    common = np.sort(np.array([r["key"] for r in found.toLocalIterator()], np.int64).view(np.uint64))
+    facts = scratch.save(_facts(reps), "facts")
     entries = scratch.save(_entries(reps, light, spark.sparkContext.broadcast(common)), "entries")
     # a subset of sizes s and t joins sets of s with sets of t: each side meets the other's least
     pivots = entries.groupBy("key", "subset").agg(F.min(F.when(F.col("side") < 2, F.col("doc_id"))).alias("low"), F.min(F.when(F.col("side") == 2, F.col("doc_id"))).alias("high"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = entries.join(pivots, ["key", "subset"]).withColumn("a", F.when(F.col("side") == 1, F.col("high")).otherwise(F.col("low"))).where("doc_id <> a")
     stars = scratch.save(met.groupBy("a", F.col("doc_id").alias("b")).agg(F.max("subset").alias("subset")), "stars")
-    first = scratch.save(stars.where("subset").select("a", "b").union(_verified(stars.where("not subset").select("a", "b"), reps)), "links")
+    able = stars.where("not subset").join(_side(facts, "x"), F.col("a") == F.col("x_doc_id")).join(_side(facts, "y"), F.col("b") == F.col("y_doc_id")).where(_possible())
+    first = scratch.save(stars.where("subset").select("a", "b").union(_verified(able.select("a", "b"), reps)), "links")
     members = scratch.save(graph.components(first, scratch), "components")
-    # lists that still hold several components; their entries with what may rule a link out
-    facts = reps.select("doc_id", "n", "shared", "set").join(members.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = scratch.save(entries.where("not subset").select("key", "doc_id").join(facts.select("doc_id", "n", "shared", "component"), "doc_id"), "placed")
+    # lists that still hold several components, with what may rule a link out
+    known = facts.join(members.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    known = scratch.save(known, "known")
+    placed = scratch.save(entries.where("not subset").select("key", "doc_id").join(known.select("doc_id", "component"), "doc_id"), "placed")
     split = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     major = split.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
-    mixed = placed.join(major, "key")
-    prefixes = scratch.save(mixed.select("doc_id").distinct().join(reps.select("doc_id", "set"), "doc_id").mapInArrow(_prefix(spark.sparkContext.broadcast(common)), "doc_id long, prefix array<long>"), "prefixes")
-    mixed = scratch.save(mixed.join(prefixes, "doc_id"), "mixed")
-    side = lambda df, p: df.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "n", "shared", "component", "prefix")))
-    x, y = side(mixed.where("component <> major"), "x"), side(mixed, "y")
-    need = F.col("x_n") + F.col("y_n")
-    both = F.array_intersect("x_prefix", "y_prefix")
-    met = x.join(
-        y,
-        (x["key"] == y["key"]) & (F.col("x_component") != F.col("y_component")) & (5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")) & (9 * F.least("x_shared", "y_shared") >= 4 * need) & (F.array_min(both) == x["key"]),
-    )
+    mixed = scratch.save(placed.join(major, "key"), "mixed")
+    full = mixed.drop("component").join(known, "doc_id")
+    x = full.where("component <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in (*FACTS.names, "component")))
+    y = full.select("key", *(F.col(c).alias(f"y_{c}") for c in (*FACTS.names, "component")))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("x_component") != F.col("y_component")) & _possible())
     pairs = met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
     second = scratch.save(_verified(scratch.save(pairs, "pairs"), reps), "more-links")
     if second.isEmpty():
@@ -318,31 +355,21 @@ def _linked(reps: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(graph.components(joined, scratch), "components")
 
 
-def _prefix(common):
-    def run(frames):
-        for frame in frames:
-            found = []
-            for raw in frame.column("set").to_pylist():
-                own = np.frombuffer(raw, "<u8")
-                found.append(_order(own, common.value)[: prefix_length(len(own))].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "prefix"])
-
-    return run
-
-
 def groups(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document row: the smallest doc_id that links reach."""
     scratch = Scratch(docs.sparkSession)
     narrow = docs.select("doc_id", "text")
     counted = _shared(narrow, _texts(n), scratch)
-    may = counted.where("doc_id is not null and n > 0 and 5 * shared >= 4 * n").select("doc_id").distinct()
-    sets = scratch.save(_sets(narrow.join(may.hint("shuffle_hash"), "doc_id"), n), "sets").where("n > 0")
-    classes = scratch.save(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sets.join(classes, (sets["doc_id"] == classes["rep"]) & (sets["digest"] == classes["digest"])).select("doc_id", "n", "set").groupBy("doc_id", "n", "set").agg(F.lit(1).alias("one")).drop("one")
-    reps = scratch.save(reps, "reps")
+    may = counted.where("doc_id is not null and n > 0 and 5 * shared >= 4 * n")
+    classes = scratch.save(may.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    wanted = may.join(classes, (may["doc_id"] == classes["rep"]) & (may["digest"] == classes["digest"])).select("doc_id", "n").distinct()
+    reps = _sets(narrow.join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id"), n)
+    reps = scratch.save(reps.join(wanted, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"]), "sets")
     still = _shared(reps, _packed, scratch).where("5 * shared >= 4 * n").select("doc_id", "shared")
-    linked = _linked(scratch.save(reps.join(still, "doc_id"), "linkable"), scratch)
-    own = sets.select("doc_id", "digest").join(classes, "digest").join(linked, F.col("rep") == linked["node"], "left")
+    linkable = scratch.save(reps.join(still, "doc_id"), "linkable")
+    scratch.drop(reps)
+    linked = _linked(linkable, scratch)
+    own = may.select("doc_id", "digest").join(classes, "digest").join(linked, F.col("rep") == linked["node"], "left")
     own = own.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     found = counted.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
