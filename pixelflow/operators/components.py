@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
+
 
 def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the least node that can be reached, for every node of an edge.
@@ -14,7 +16,7 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round links all neighbours to the least one (minima combine before the shuffle), so
     chains shorten by halves; rounds are checkpointed in the session's checkpoint folder.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().transform(durable)
     loops = now.where("u = v").select("u")
     now = now.where("u > v")
     before = None
@@ -27,7 +29,7 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = large.join(low, "u").where("v > m").selectExpr("v as u", "m as v").union(low.selectExpr("u", "m as v")).distinct().checkpoint()
+        now = large.join(low, "u").where("v > m").selectExpr("v as u", "m as v").union(low.selectExpr("u", "m as v")).distinct().transform(durable)
     roots = now.selectExpr("u as node", "v as root").union(now.selectExpr("v as node", "v as root").distinct())
     alone = loops.join(roots, loops["u"] == roots["node"], "left_anti").selectExpr("u as node", "u as root")
     return roots.union(alone)

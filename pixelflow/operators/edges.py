@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from ..functions.durable import durable
 from . import components as cc
 from . import grid
 
@@ -121,11 +122,11 @@ def best(gray: DataFrame) -> DataFrame:
     grid_ = gray.sparkSession.createDataFrame([(i * len(SENSITIVITIES) + j, m, s) for i, m in enumerate(METHODS) for j, s in enumerate(SENSITIVITIES)], "ord int, method string, sens double")
     lo, hi = _clamped(F.col("low"), F.col("high"), F.col("sens"))
     tries = limits.join(F.broadcast(grid_), "method").select("image_id", "ord", lo.alias("low"), hi.alias("high"))
-    maxima = suppressed(gray).checkpoint()
+    maxima = suppressed(gray).transform(durable)
     weak = maxima.where("m > 10").join(F.broadcast(tries), "image_id").where("m > low").select((F.col("image_id") * 64 + F.col("ord")).alias("image_id"), "y", "x", "m", "high")
     labels = cc.label(weak).join(weak, KEY)
     strong = labels.groupBy("image_id", "label").agg((F.max(F.col("m") - F.col("high")) > 0).alias("ok")).where("ok").select("image_id", "label")
-    kept = labels.join(strong, ["image_id", "label"], "left_semi").select((F.floor(F.col("image_id") / 64)).alias("image"), (F.col("image_id") % 64).alias("ord"), "label", "y", "x").checkpoint()
+    kept = labels.join(strong, ["image_id", "label"], "left_semi").select((F.floor(F.col("image_id") / 64)).alias("image"), (F.col("image_id") % 64).alias("ord"), "label", "y", "x").transform(durable)
     valued = kept.join(gray.select(F.col("image_id").alias("image"), "y", "x", "v"), ["image", "y", "x"])
     scored = valued.groupBy("image", "ord").agg((F.count("*") / F.countDistinct("label") * F.stddev_pop("v")).alias("score"))
     win = scored.groupBy("image").agg(F.max_by("ord", F.struct(F.round("score", 9), -F.col("ord"))).alias("ord"))

@@ -16,7 +16,7 @@ def first_wins(components: DataFrame) -> DataFrame:
 
 def canvas(merged: DataFrame, height: int, width: int) -> DataFrame:
     """The whole canvas; spots that nothing covers are black."""
-    spots = merged.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).cast("long").alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("long").alias("x"))
+    spots = merged.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"))
     return spots.join(merged, ["image_id", "y", "x"], "left").select("image_id", "y", "x", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in RGB))
 
 

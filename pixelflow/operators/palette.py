@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from ..functions.durable import durable
 from .components import closure
 
 RGB = ["r", "g", "b"]
@@ -139,11 +140,11 @@ def remap(index: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def quantize(pixels: DataFrame, quality: int) -> tuple[DataFrame, DataFrame]:
     """Palette and indices of one codec level: distinct colours, eps clusters, size-capped k-means, remap."""
-    palette = distinct(pixels).checkpoint()
+    palette = distinct(pixels).transform(durable)
     most = params(palette.groupBy("image_id").agg(F.count("*").alias("n")), quality).select("image_id", "most")
-    clusters = eps_clusters(palette, max(1.0, 128 - 1.28 * quality)).join(most, "image_id").checkpoint()
-    fresh, mapping = reduced(kmeans_split(clusters).checkpoint())
-    fresh, mapping = fresh.checkpoint(), mapping.checkpoint()
+    clusters = eps_clusters(palette, max(1.0, 128 - 1.28 * quality)).join(most, "image_id").transform(durable)
+    fresh, mapping = reduced(kmeans_split(clusters).transform(durable))
+    fresh, mapping = fresh.transform(durable), mapping.transform(durable)
     return fresh, remap(indices(pixels, palette), mapping)
 
 

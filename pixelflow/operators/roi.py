@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from . import components as cc
 from . import grid
 
@@ -189,18 +190,18 @@ def remove_thin(binary: DataFrame, max_density: float = 0.1, threshold: float =
 
 def unify(binary: DataFrame) -> DataFrame:
     """Borders, protection, gap bridging, hole filling, small components: the region map of an edge map."""
-    borders = grid.meaningful_borders(binary, 0.5).checkpoint()
-    protected = grid.protect_borders(binary, borders, 15).checkpoint()
-    bridged = grid.bridge_gaps(protected, 25, 0.2, 15, 25).checkpoint()
-    return remove_small(fill_holes(bridged, 10, 10000, False).checkpoint(), 5).checkpoint()
+    borders = grid.meaningful_borders(binary, 0.5).transform(durable)
+    protected = grid.protect_borders(binary, borders, 15).transform(durable)
+    bridged = grid.bridge_gaps(protected, 25, 0.2, 15, 25).transform(durable)
+    return remove_small(fill_holes(bridged, 10, 10000, False).transform(durable), 5).transform(durable)
 
 
 def detect(edges: DataFrame) -> DataFrame:
     """ROI masks of an edge map: thin structures and noise go, gaps close, both sides grow a buffer."""
-    thin = remove_thin(edges, 0.1, 0.3, 25).checkpoint()
-    clean = remove_noise(thin, 75, 0.1 * 25 * 25, 25).checkpoint()
-    closed = grid.connect_by_closing(clean, 5).checkpoint()
-    bridged = grid.bridge_gaps(closed, 100, 0.2, 15, 25).checkpoint()
+    thin = remove_thin(edges, 0.1, 0.3, 25).transform(durable)
+    clean = remove_noise(thin, 75, 0.1 * 25 * 25, 25).transform(durable)
+    closed = grid.connect_by_closing(clean, 5).transform(durable)
+    bridged = grid.bridge_gaps(closed, 100, 0.2, 15, 25).transform(durable)
     return split_masks(unify(bridged), 3)
 
 

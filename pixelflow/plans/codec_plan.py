@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..operators import codec, overlay, palette, quality, roi, segment
 
 PIXEL = ["image_id", "y", "x"]
@@ -15,7 +16,7 @@ ROI_QUALITY, OTHER_QUALITY = 20, 10
 def _level(pixels: DataFrame, part: list[str], value: int) -> DataFrame:
     """pixels after one quantization level, every group of `part` on its own."""
     key = F.struct(*part) if len(part) > 1 else F.col(part[0])
-    own = pixels.withColumn("home", F.col("image_id")).withColumn("image_id", F.xxhash64(key)).checkpoint()
+    own = pixels.withColumn("home", F.col("image_id")).withColumn("image_id", F.xxhash64(key)).transform(durable)
     colours, index = palette.quantize(own, value)
     back = palette.gather(index, colours)
     rest = [c for c in own.columns if c not in "rgb"]
@@ -27,7 +28,7 @@ def encode_images(pixels: DataFrame, roi_mask: DataFrame | None = None) -> DataF
 
     roi_mask: (image_id, y, x, v); by default what is brighter than its image's mean.
     """
-    pixels = pixels.select(*PIXEL, "r", "g", "b").checkpoint()
+    pixels = pixels.select(*PIXEL, "r", "g", "b").transform(durable)
     if roi_mask is None:
         mean = pixels.groupBy("image_id").agg(F.avg(F.expr("r + g + b")).alias("m"))
         roi_mask = pixels.join(F.broadcast(mean), "image_id").select(*PIXEL, F.when(F.expr("r + g + b") > F.col("m"), 255).otherwise(0).cast("long").alias("v"))
@@ -42,9 +43,9 @@ def encode_images(pixels: DataFrame, roi_mask: DataFrame | None = None) -> DataF
         region = _level(sub.select(*PIXEL, "r", "g", "b"), ["image_id"], min(100, value * 2))
         region = region.select(*PIXEL, "r", "g", "b", F.lit(place).cast("long").alias("comp_ord"))
         done = region if done is None else done.unionByName(region)
-    merged = overlay.first_wins(done).select(*PIXEL, "r", "g", "b").checkpoint()
+    merged = overlay.first_wins(done).select(*PIXEL, "r", "g", "b").transform(durable)
     colours, index = palette.quantize(merged, min(100, 2 * (ROI_QUALITY + OTHER_QUALITY)))
-    packed = codec.containers(index, colours).checkpoint()
+    packed = codec.containers(index, colours).transform(durable)
     decoded = codec.pixels(packed).selectExpr(*PIXEL, *(f"{c} as d{c}" for c in "rgb"))
     m = quality.metrics(quality.pair(pixels, decoded))
     sizes = packed.select("image_id", "bytes")

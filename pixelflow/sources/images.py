@@ -31,7 +31,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def resized(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """Nearest-neighbour resize: every target place gathers one source pixel."""
     size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    rows = size.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).cast("long").alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("long").alias("tx"))
+    rows = size.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))).alias("ty")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("tx"))
     at = rows.select("image_id", "ty", "tx", F.floor(F.col("ty") * F.col("h") / height).alias("y"), F.floor(F.col("tx") * F.col("w") / width).alias("x"))
     return at.join(pixels, ["image_id", "y", "x"]).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"})
 
