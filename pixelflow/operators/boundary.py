@@ -62,6 +62,23 @@ def deduped(points: DataFrame, decimals: int = 3, tolerance: float = 1e-6) -> Da
     return short.withColumn("keep", F.coalesce((F.lag("px").over(_shape()) != F.col("px")) | (F.lag("py").over(_shape()) != F.col("py")), F.lit(True))).where("keep").select("shape_id", "seq", "px", "py")
 
 
+def combine(parts: DataFrame) -> DataFrame:
+    """(shape_id, part, seq, px, py) without the first max(1, n / 5) points of every part but the first: parts overlap there."""
+    w = Window.partitionBy("shape_id", "part")
+    ranked = parts.withColumns({"n": F.count("*").over(w), "k": F.row_number().over(w.orderBy("seq"))})
+    return ranked.where((F.col("part") == 0) | (F.col("k") > F.greatest(F.lit(1), F.floor(F.col("n") / 5)))).drop("n", "k")
+
+
+def resampled(points: DataFrame, many: int) -> DataFrame:
+    """(shape_id, seq, px, py): `many` points at even places of the index, on the lines between neighbours."""
+    n = points.groupBy("shape_id").agg((F.count("*") - 1).alias("last"))
+    place = n.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))).withColumn("at", F.col("seq") * F.col("last") / (many - 1))
+    numbered = points.withColumn("i", F.row_number().over(_shape()) - 1).withColumns({"qx": F.coalesce(F.lead("px").over(_shape()), "px"), "qy": F.coalesce(F.lead("py").over(_shape()), "py")})
+    met = place.withColumn("i", F.floor("at").cast("int")).join(numbered.select("shape_id", "i", "px", "py", "qx", "qy"), ["shape_id", "i"])
+    share = F.col("at") - F.col("i")
+    return met.select("shape_id", "seq", (F.col("px") + (F.col("qx") - F.col("px")) * share).alias("px"), (F.col("py") + (F.col("qy") - F.col("py")) * share).alias("py"))
+
+
 def storage(original: DataFrame, compact: DataFrame) -> DataFrame:
     """(shape_id, points, kept, bytes, ratio, bits_per_point): 8 bytes for a kept point against 16."""
     n, k = (df.groupBy("shape_id").agg(F.count("*").alias(name)) for df, name in ((original, "points"), (compact, "kept")))

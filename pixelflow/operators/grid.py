@@ -140,6 +140,49 @@ def bridge_gaps(binary: DataFrame, max_gap: int = 25, threshold: float = 0.2, lo
     return out.withColumn("v", filled).drop("_h", "_v", "_d", "_a", "_px", "_py", "_last", "hits", "density")
 
 
+def _sides(binary: DataFrame, reach: int) -> DataFrame:
+    """binary with left, right, up, down: whether white stands within reach; outside there is none."""
+    out = binary
+    for window, before, after in ((along_x(), "left", "right"), (along_y(), "up", "down")):
+        at = F.max("v").over(window.rowsBetween(-reach, -1)), F.max("v").over(window.rowsBetween(1, reach))
+        out = out.withColumns({before: F.coalesce(at[0] > 0, F.lit(False)), after: F.coalesce(at[1] > 0, F.lit(False))})
+    return out
+
+
+def _clipped(pixels: DataFrame, value: str, half: int, fn, out: str) -> DataFrame:
+    """fn over windows that are cut off at the border."""
+    rows = pixels.withColumn(out, fn(value).over(along_x().rowsBetween(-half, half)))
+    return rows.withColumn(out, fn(out).over(along_y().rowsBetween(-half, half)))
+
+
+def fill_strict(binary: DataFrame, max_gap: int = 25, local: int = 15) -> DataFrame:
+    """Black pixels between white ones of one row or column become white; the grid ends at its border."""
+    s = _sides(binary, min(max_gap, local))
+    inner = (F.col("left") & F.col("right")) | (F.col("up") & F.col("down"))
+    return s.withColumn("v", F.when((F.col("v") == 0) & inner, 255).otherwise(F.col("v")).cast("long")).drop("left", "right", "up", "down")
+
+
+def fill_relaxed(binary: DataFrame, window: int = 15, share: float = 0.7) -> DataFrame:
+    """Black pixels with a white share of their clipped window, themselves left out, over `share` become white."""
+    one = binary.withColumns({"_w": F.when(F.col("v") > 0, 1).otherwise(0), "_n": F.lit(1)})
+    for name in ("_w", "_n"):
+        one = _clipped(one, name, window // 2, F.sum, name)
+    near = F.try_divide("_w", F.col("_n") - 1) > share
+    return one.withColumn("v", F.when((F.col("v") == 0) & near, 255).otherwise(F.col("v")).cast("long")).drop("_w", "_n")
+
+
+def fill_dense(binary: DataFrame, max_gap: int = 25, local: int = 15, share: float = 0.4, edge: int = 100) -> DataFrame:
+    """Black pixels with a mean local density of `share` or more, white in three of four directions, and no Sobel
+    magnitude over `edge` in their clipped window become white."""
+    dense = density(binary, local)
+    s = _sides(dense, min(max_gap, local))
+    g = sobel(s).withColumn("_m", F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")))
+    g = _clipped(g, "_m", 1, F.max, "_m")
+    sides = sum((F.col(c).cast("int") for c in ("right", "up", "down")), F.col("left").cast("int"))
+    inner = (F.col("density") >= share) & (sides >= 3) & (F.col("_m") <= edge)
+    return g.withColumn("v", F.when((F.col("v") == 0) & inner, 255).otherwise(F.col("v")).cast("long")).drop("left", "right", "up", "down", "gx", "gy", "_m", "hits", "density")
+
+
 def meaningful_borders(binary: DataFrame, sensitivity: float = 0.5) -> DataFrame:
     """Sobel magnitude over its image's maximum, over sensitivity / 2; closed, then dilated twice."""
     g = sobel(binary).withColumn("m", F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))

@@ -130,6 +130,15 @@ def ssim(pairs: DataFrame, win: int = 7) -> DataFrame:
     return full.groupBy("image_id").agg(F.avg(total / 3).alias("ssim"))
 
 
+def ssim_clean(pairs: DataFrame, win: int = 7) -> DataFrame:
+    """(image_id, ssim) with the chosen rule's outliers set to gray 128 on both sides."""
+    found = adaptive(pairs)
+    bound = F.when(F.col("rule") == "iqr", F.col("t_iqr")).when(F.col("rule") == "percentile", F.col("p99")).when(F.col("rule") == "zscore", F.col("mean_e") + F.col("std_e") * 3).otherwise(F.col("t_adaptive"))
+    met = pixel_errors(pairs).join(F.broadcast(found.select("image_id", bound.alias("bound"))), "image_id")
+    gray = F.lit(128).cast("long")
+    return ssim(met.withColumns({c: F.when(F.col("e") > F.col("bound"), gray).otherwise(F.col(c)) for x in "rgb" for c in (x, f"d{x}")}), win)
+
+
 def rated(m: DataFrame) -> DataFrame:
     """metrics with both rating scales."""
     return m.withColumns({"rating": color.rating(F.col("psnr")), "rating_five": color.rating_five(F.col("psnr"))})

@@ -238,6 +238,31 @@ def connect_by_skeleton(binary: DataFrame, distance: int = 5) -> DataFrame:
     return binary.select(*KEY, "v").groupBy("image_id").applyInArrow(run, "image_id long, y long, x long, v long")
 
 
+def connect_by_dilation(binary: DataFrame, distance: int = 5, min_size: int = 5) -> DataFrame:
+    """Components under min_size go, then an elliptical dilation and erosion."""
+    labels = cc.label(binary.where("v > 0"))
+    kept = labels.join(cc.stats(labels).where(F.col("area") >= min_size), ["image_id", "label"], "left_semi").select(*KEY, F.lit(255).cast("long").alias("_keep"))
+    big = binary.join(kept, KEY, "left").withColumn("v", F.coalesce("_keep", F.lit(0).cast("long"))).drop("_keep")
+    return grid.connect_by_closing(big, distance)
+
+
+def connect_by_growing(binary: DataFrame, distance: int = 5, min_size: int = 5) -> DataFrame:
+    """Every component of min_size or more grows by an elliptical dilation; the union of all is that of one dilation."""
+    labels = cc.label(binary.where("v > 0"))
+    kept = labels.join(cc.stats(labels).where(F.col("area") >= min_size), ["image_id", "label"], "left_semi").select(*KEY, F.lit(255).cast("long").alias("_keep"))
+    big = binary.join(kept, KEY, "left").withColumn("_keep", F.coalesce("_keep", F.lit(0).cast("long")))
+    grown = grid.dilate_ellipse(big, distance, "_keep")
+    return grown.withColumn("v", F.greatest("v", "_keep")).drop("_keep")
+
+
+def tight_boxes(labels: DataFrame) -> DataFrame:
+    """(image_id, label, minr, minc, maxr, maxc, area): exclusive boxes, clamped to the image; one-pixel-thin ones get one more."""
+    size = labels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    s = cc.stats(labels).join(F.broadcast(size), "image_id")
+    thin = F.when((F.col("height") == 1) | (F.col("width") == 1), 1).otherwise(0)
+    return s.select("image_id", "label", F.col("top").alias("minr"), F.col("left").alias("minc"), F.least("h", F.col("top") + F.col("height") + thin).alias("maxr"), F.least("w", F.col("left") + F.col("width") + thin).alias("maxc"), "area")
+
+
 def connect_by_centroids(binary: DataFrame, distance: int = 5, min_size: int = 1) -> DataFrame:
     """Cells (pixels of one nearest component centroid) whose centroid has two or more centroids, itself included,
     within 2 * distance are filled with that reach."""

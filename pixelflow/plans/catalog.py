@@ -244,6 +244,36 @@ def gap_bridge(spark, d):
     return grid.bridge_gaps(mosaic_white(spark, d), 5, 0.2, 5, 9)
 
 
+@query(S.MOSAIC + "SELECT image_id, y, x, CAST(CASE WHEN v = 0 AND ((coalesce(max(v) OVER (rx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) > 0 AND coalesce(max(v) OVER (rx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 0) > 0) OR (coalesce(max(v) OVER (ry ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) > 0 AND coalesce(max(v) OVER (ry ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 0) > 0)) THEN 255 ELSE v END AS BIGINT) AS v FROM f4 WINDOW rx AS (PARTITION BY image_id, y ORDER BY x), ry AS (PARTITION BY image_id, x ORDER BY y)")
+def gap_strict(spark, d):
+    return grid.fill_strict(mosaic_white(spark, d), 4, 15)
+
+
+@query(S.MOSAIC + "SELECT a.image_id, a.y, a.x, CAST(CASE WHEN any_value(a.v) = 0 AND count(*) FILTER (b.v > 0) > 0.7 * (count(*) - 1) THEN 255 ELSE any_value(a.v) END AS BIGINT) AS v FROM f4 a JOIN f4 b ON b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY a.image_id, a.y, a.x")
+def gap_relaxed(spark, d):
+    return grid.fill_relaxed(mosaic_white(spark, d), 5, 0.7)
+
+
+@query()
+def gap_dense(spark, d):
+    return grid.fill_dense(mosaic_white(spark, d), 5, 5, 0.4, 100)
+
+
+@query()
+def dilation_connect(spark, d):
+    return roi.connect_by_dilation(mosaic_white(spark, d), 3, 20)
+
+
+@query()
+def growing_connect(spark, d):
+    return roi.connect_by_growing(mosaic_white(spark, d), 3, 20)
+
+
+@query(S.MOSAIC_CC + S.components(True) + S.STATS + "SELECT image_id, label, top AS minr, \"left\" AS minc, least((SELECT max(y) + 1 FROM lab), top + height + CASE WHEN height = 1 OR width = 1 THEN 1 ELSE 0 END) AS maxr, least((SELECT max(x) + 1 FROM lab), \"left\" + width + CASE WHEN height = 1 OR width = 1 THEN 1 ELSE 0 END) AS maxc, area FROM st")
+def region_boxes(spark, d):
+    return roi.tight_boxes(mosaic_labels(spark, d))
+
+
 @query(S.MOSAIC + S.BORDERS)
 def meaningful_borders(spark, d):
     return grid.meaningful_borders(mosaic_white(spark, d), 0.5)
@@ -460,6 +490,12 @@ def ssim(spark, d):
     return rounded(quality.ssim(quality.pair(p, fx.decoded(p)), 7))
 
 
+@query()
+def ssim_clean(spark, d):
+    p = fx.mosaic(spark, d)
+    return rounded(quality.ssim_clean(quality.pair(p, fx.decoded(p)), 7))
+
+
 @query(S.CORPUS + S.DIFF)
 def diff_weighted(spark, d):
     return rounded(quality.differences(corpus_pairs(spark, d)))
@@ -573,6 +609,16 @@ def boundary_storage(spark, d):
     return rounded(boundary.storage(p, p.where("seq % 4 = 0")))
 
 
+@query(S.POLY + ", pt AS (SELECT shape_id, CAST(floor(seq / 100) AS BIGINT) AS part, seq, px, py FROM pl), rk AS (SELECT *, count(*) OVER (PARTITION BY shape_id, part) AS n, row_number() OVER (PARTITION BY shape_id, part ORDER BY seq) AS k FROM pt) SELECT shape_id, part, seq, px, py FROM rk WHERE part = 0 OR k > greatest(1, floor(n / 5))")
+def combine_parts(spark, d):
+    return boundary.combine(fx.polyline(spark, d).withColumn("part", F.floor(F.col("seq") / 100)).select("shape_id", "part", "seq", "px", "py"))
+
+
+@query(S.POLY + ", ls AS (SELECT shape_id, count(*) - 1 AS last FROM pl GROUP BY shape_id), pt AS (SELECT shape_id, s, s * last / CAST(249 AS DOUBLE) AS a FROM ls, (SELECT unnest(range(0, 250)) AS s)) SELECT pt.shape_id, CAST(s AS BIGINT) AS seq, round(p.px + (coalesce(q.px, p.px) - p.px) * (a - floor(a)), 5) AS px, round(p.py + (coalesce(q.py, p.py) - p.py) * (a - floor(a)), 5) AS py FROM pt JOIN pl p ON p.shape_id = pt.shape_id AND p.seq = floor(a) LEFT JOIN pl q ON q.shape_id = pt.shape_id AND q.seq = floor(a) + 1")
+def resample_linear(spark, d):
+    return rounded(boundary.resampled(fx.polyline(spark, d), 250), 5)
+
+
 @query()
 def spline_fit(spark, d):
     return rounded(boundary.rebuild(boundary.compress(fx.polyline(spark, d)), 200), 4)
