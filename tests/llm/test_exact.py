@@ -1,0 +1,514 @@
+"""The corpus operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import regex
+import tiktoken
+from pyspark.sql import functions as F
+
+from pixelflow.llm import bpe, counts, decontam, graph, linededup, lm, ngramjoin, pii, pretok, tokenio, topk, toxicity, urlfilter
+from pixelflow.llm import words as W
+from pixelflow.llm.common import Scratch
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+JSON = P.path("byte_bpe_50k.json")
+
+
+def lower(s):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
+
+
+def frame(spark, texts, first=1):
+    return spark.createDataFrame([(first + i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def odd(spark):
+    """Nulls, empty texts, repeated rows, a long text, other alphabets, and columns with clashing names."""
+    long_ = " ".join(f"word{i % 997}" for i in range(60_000))
+    rows = [(1, None, "en", None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (4, "One two", None, "s", 7), (4, "One two", None, "s", 7), (5, long_, "en", "s", len(long_)), (6, "é ß 中文 😀 <|endoftext|>", "fr", "s", 9), (None, "no id here at all", "en", "s", 3)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({c: F.lit(c) for c in ("row", "lines", "gone", "did", "th", "set", "key", "a", "b", "start", "node", "component", "body", "label_id", "gone_id")})
+
+
+# words
+
+
+def test_words_and_hashes():
+    rng = random.Random(2)
+    alphabet = ["a", "B", "zz", " ", "\n", "\t", "\x0b", "é", "ß", ".", "-", "9", "\x1c", "\x00", "_"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    data, offsets = W.text_bytes(pa.array(texts + [None]))
+    seen = {}
+    for classes, pattern in ((W.BLANK_WORDS, "[^\x20\x09-\x0d]+"), (W.ALNUM_WORDS, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        found = W.split(data, offsets, classes)
+        low = W.LOWER[data].tobytes()
+        for i, t in enumerate(texts):
+            own = [low[a:b].decode() for a, b in zip(found.start[found.first[i] : found.first[i + 1]], found.end[found.first[i] : found.first[i + 1]], strict=True)]
+            assert own == re.findall(pattern, lower(t))
+        for a, b, h in zip(found.start, found.end, found.hash.tolist(), strict=True):
+            assert seen.setdefault(low[a:b], h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_slices_of_a_long_text_hash_alike(monkeypatch):
+    data, offsets = W.text_bytes(pa.array(["alpha beta gamma delta " * 50]))
+    whole = W.split(data, offsets).hash
+    monkeypatch.setattr(W, "SLICE", 16)
+    assert np.array_equal(whole, W.split(data, offsets).hash)
+
+
+# 1: top-k
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 8)], 0) for i in range(700)]
+    rows += [(1000 + i, rows[i][1], 0) for i in range(60)]  # ties
+    rows += [(50, None, 0), (2001, [1.0] * 7 + [float("nan")], 0), (2002, [float("inf")] * 8, 0), (2003, [1.0] * 3, 0), (7, rows[7][1], 0)]
+    rows += [(2050, [0.0] * 8, 0), (2051, [1.0] * 7 + [None], 0)]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(vectors(spark, rows)).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    good = {(i, tuple(math.floor(256 * np.float32(x).item()) for x in v)) for i, v, _ in rows if v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)}
+    ids, m = zip(*sorted(good), strict=True)
+    m = np.array(m)
+    for q in {i for i in ids if i % 50 == 0}:
+        s = m @ m[ids.index(q)]
+        order = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:5]
+        assert sorted(got[q]) == [(n + 1, ids[k], s[k]) for n, k in enumerate(order)]
+    assert set(got) == {i for i in ids if i % 50 == 0}
+
+
+def test_top_k_stops_early():
+    rng = np.random.default_rng(1)
+    m = np.sort(rng.integers(-100, 100, (4000, 2)), axis=0)
+    order = np.argsort(-m, axis=0, kind="stable").T.astype(np.uint16)
+    own = topk.Lists(4000, np.arange(4000).astype("<i8").tobytes(), m.astype("<i8").tobytes(), np.ascontiguousarray(order).tobytes(), 2)
+    own.best(-1, np.array([3, 5]), 5)
+    assert (own.seen == own.turn).sum() < 200
+
+
+def test_top_k_of_few_and_none(spark):
+    assert topk.top_k(vectors(spark, [(0, [1.0, 2.0], 0), (1, [1.0, 0.5], 0)])).count() == 1
+    assert topk.top_k(vectors(spark, [])).count() == 0
+
+
+# 2: toxicity
+
+
+def toxic_corpus(n=400, seed=3):
+    rng = random.Random(seed)
+    plain = [f"w{i}" for i in range(300)]
+    texts, toxic, quality = [], [], []
+    for _ in range(n):
+        t, junk = rng.random() < 0.2, rng.random() < 0.2
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 80))] + (["nasty" + rng.choice("abcdef") for _ in range(2)] if t else []) + (["%%%", "zzz", "qqq"] if junk else [])
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(int(t))
+        quality.append(int(not junk))
+    return texts, toxic, quality
+
+
+def labels(spark, toxic, quality):
+    return spark.createDataFrame([(i + 1, q, t) for i, (t, q) in enumerate(zip(toxic, quality, strict=True))], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    texts, toxic, quality = toxic_corpus()
+    half = labels(spark, toxic[:250], quality[:250])
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in toxicity.scores(docs, half).collect()}
+    wrong = sum(got[i + 1].toxic != bool(t) for i, t in enumerate(toxic) if i >= 250)
+    assert wrong <= 3 and len(got) == len(texts)
+    assert sum((got[i + 1].p_junk > 0.5) == (not q) for i, q in enumerate(quality)) > 0.97 * len(texts)
+    kept = toxicity.remove(docs, half)
+    assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in got.values())
+
+
+def test_toxicity_odd_rows(spark):
+    docs = odd(spark)
+    for own in (labels(spark, [], []), labels(spark, [1, 1, 1], [1, 1, 1]), spark.createDataFrame([(4, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")):
+        assert toxicity.scores(docs, own).count() == docs.count()
+    kept = toxicity.remove(docs, labels(spark, [], []))
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+    assert toxicity.remove(docs.limit(0), labels(spark, [0, 1], [1, 1])).count() == 0
+
+
+# 3 and 10: token ids
+
+
+def fuzz(n=4000, seed=1):
+    rng = random.Random(seed)
+    alphabet = ["'", "'s", "'re", "'LL", " ", "  ", "\n", "\t", "a", "b", "ll", "é", "ß", "1", "２", "!", "?!", " ", "　", "中文", "😀", "ve", "d", "‍", "\x00", "\r\n", "\x1c", "\x85", "Ⅷ", "'ll", "'ve", "the ", "ing"]
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_matches_are_the_patterns():
+    texts = fuzz()
+    data, offsets = W.text_bytes(pa.array(texts))
+    want = [o + len(t[: m.start()].encode()) for t, o in zip(texts, offsets.tolist(), strict=False) for m in regex.finditer(P.PATTERN, t)]
+    assert pretok.split(data, offsets).tolist() == want
+
+
+def encoding():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("cache", [bpe.CACHE, 0])
+def test_bpe_equals_the_library(monkeypatch, cache):
+    monkeypatch.setattr(bpe, "CACHE", cache)
+    enc, own = encoding(), bpe.Codec(bpe.load_ranks(RANKS))
+    for texts in (fuzz(), fuzz(500, 2), ["a" * 5000, "", "abc" * 900 + "  ", "é" * 2100]):
+        data, offsets = W.text_bytes(pa.array(texts))
+        ids, at = own.encode(data, offsets)
+        back, back_at = own.decode(ids, at)
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == enc.encode_ordinary(t)
+            assert back[back_at[i] : back_at[i + 1]].tobytes() == t.encode()
+
+
+def test_bpe_digests(spark):
+    docs, enc = odd(spark), encoding()
+    got = sorted(((r.doc_id or 0), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digest(docs, RANKS).collect())
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want.append((r.doc_id or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert got == sorted(want)
+    assert bpe.digest(docs.limit(0), RANKS).count() == 0
+    assert {len(r.ids) for r in bpe.tokens(docs, RANKS).where("doc_id = 4").collect()} == {2} == {len(r.ids) for r in bpe.encode(docs, RANKS).where("doc_id = 4").collect()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 3000])
+@pytest.mark.parametrize("high", [1, 2, 50257, 2**32 - 1])
+def test_blocks_round_trip(n, high):
+    rng = np.random.default_rng(n)
+    ids = np.where(rng.random(n) < 0.9, rng.integers(0, max(1, high // 50), n), rng.integers(0, high, n)).astype(np.uint32)
+    own = tokenio.Segment(tokenio.pack(ids, np.array([7]), np.array([n])))
+    assert np.array_equal(own.read(), ids)
+    if n > 400:
+        assert np.array_equal(own.read(1, 3), ids[128:384]) and own.exceptions.sum() > 0 or high <= 2
+
+
+def test_segments_refuse_other_bytes():
+    with pytest.raises(ValueError):
+        tokenio.Segment(b"none")
+
+
+def test_token_files(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = True
+    docs = odd(spark).where("doc_id is not null").union(odd(spark).limit(0))
+    rows = sorted(((r.doc_id, r.text is not None, r.text or "") for r in docs.collect()))
+    start, want = 0, []
+    for doc_id, _, text in rows:
+        ids = library.encode(text, add_special_tokens=False).ids + [0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = sorted(tuple(r) for r in tokenio.digest(docs, JSON).collect())
+    assert got == sorted(want)
+    assert tokenio.digest(docs.limit(0), JSON).count() == 0
+    assert tokenio.digest(odd(spark), JSON).where("doc_id is null").first().start == 0
+    to = Scratch(spark).new_path("small")
+    tokenio.write(docs, JSON, to, segment=4)
+    assert spark.read.parquet(to).count() > 3
+    assert sorted((r.doc_id, r.start, len(r.ids)) for r in tokenio.ids(spark, to).collect()) == [x[:3] for x in want]
+
+
+# 4: n-gram Jaccard
+
+
+def brute_groups(rows):
+    sets, parent = {}, {}
+    for i, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        parent[i] = i
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def copies(seed, groups, sizes, most):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(groups):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice(sizes))]
+        for _ in range(rng.choice(most)):
+            x = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                k, how = rng.randrange(len(x) + 1), rng.random()
+                if how < 0.4 and k < len(x):
+                    x[k] = rng.choice(vocabulary) + "x"
+                elif how < 0.7:
+                    x.insert(k, rng.choice(vocabulary))
+                elif len(x) > 1 and k < len(x):
+                    x.pop(k)
+            texts.append(" ".join(x))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("case", [(5, 60, [1, 3, 5, 6, 7, 9, 11, 14, 18, 25], [1, 2, 4]), (6, 8, [30, 60, 200], [12, 40])])
+def test_groups_equal_brute_force(spark, case):
+    texts = copies(*case)
+    docs = frame(spark, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.groups(docs).collect()}
+    want = brute_groups(list(enumerate(texts, 1)))
+    assert got == want
+    kept = ngramjoin.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+
+
+def test_groups_of_odd_rows(spark):
+    docs = odd(spark)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.groups(docs).collect())
+    assert got == {(1, 0, 1): 1, (2, 0, 2): 1, (3, 0, 3): 1, (4, 1, 4): 2, (5, 997, 5): 1, (6, 1, 6): 1, (None, 1, None): 1}
+    assert ngramjoin.keep_one(docs).count() == docs.count() and ngramjoin.keep_one(docs).columns == docs.columns
+    assert ngramjoin.groups(docs.limit(0)).count() == 0
+
+
+def test_light_size_follows_cost():
+    assert ngramjoin.light_size({}) == 0
+    assert ngramjoin.light_size({5: 100, 6: 100}) >= 6
+    assert ngramjoin.light_size({16: 100}) < 16
+    for s in range(1, 300):
+        for t in range(s, 2 * s):
+            c = ngramjoin.least_overlap(s, t)
+            assert (t in ngramjoin.partners(s)) == (c <= s)
+            assert 100 * c >= 80 * (s + t - c) and 100 * (c - 1) < 80 * (s + t - c + 1)
+
+
+def test_graph(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 2000 + i) for i in range(500)] + [(None, 3), (5, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+# 5: urls
+
+
+def test_urls(spark):
+    rows = [
+        (1, "http://a.com/en/1", '<link rel="canonical" href="http://B.org/x?y=1&amp;z=2#f">'), (2, "https://b.org/x?y=1&z=2", None), (3, "http://c.org/", '<META http-equiv="refresh" content="0; url=/next">'),
+        (4, "http://c.org/next", "<link href='//b.org/x?y=1&z=2' rel=canonical>"), (5, None, "x"), (6, "noscheme", ""), (7, "HTTP://WWW.Example.COM/en/7a", ""), (8, "http://d.net/de/q", "<link rel=canonical href=http://free.org/p>"),
+        (9, "http://example.com/en/7b", "<link rel=canonical href=http://free.org/p>"), (10, "http://free.org/p", ""), (11, "http://xcom/en/", ""), (11, "http://xcom/en/", ""), (12, "http://e.org/es/1?x", "<link rel=stylesheet href=/a.css>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("host", "path", "node", "component", "rule")})
+    got = sorted(tuple(r) for r in urlfilter.digest(pages).select("page_id", "host", "path", F.coalesce("rule", F.lit("-")), "verdict").collect())
+    assert got == [
+        (1, "a.com", "/en/1", "com/en/", "block"), (2, "b.org", "/x", "-", "block"), (3, "c.org", "/", "-", "block"), (4, "c.org", "/next", "-", "block"), (5, "", "", "-", "allow"), (6, "", "", "-", "allow"),
+        (7, "www.example.com", "/en/7a", "example.com/en/7", "allow"), (8, "d.net", "/de/q", "net/de/", "block"), (9, "example.com", "/en/7b", "example.com/en/7", "allow"), (10, "free.org", "/p", "-", "allow"),
+        (11, "xcom", "/en/", "-", "allow"), (11, "xcom", "/en/", "-", "allow"), (12, "e.org", "/es/1", "org/es/", "block"),
+    ]
+    assert urlfilter.digest(pages.limit(0)).count() == 0
+
+
+# 6: personal data
+
+
+def luhn(d):
+    return sum(v if i % 2 == 0 else v * 2 - (9 if v > 4 else 0) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute_spans(x):
+    out = []
+    for r, k in enumerate(pii.KINDS):
+        for m in re.finditer(pii.PLAIN[k], x or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "email" or k == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or k == "card" and 12 <= len(d) <= 19 and luhn(d) or k == "phone" and 9 <= len(d) <= 15:
+                out.append((m.start(), r, m.end()))
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{pii.KINDS[r]}:{a}:{b}" for a, r, b in spans)
+
+
+def test_base_spans(spark):
+    rng = random.Random(3)
+    alphabet = ["a", "@", ".", "b.c", "-", " ", "+", "1", "4111111111111111", "255", "256", "0", "%", "(", ")", "😀", "é", "\n", "12.", "+1 (624) 555-2408", "x@y.z", "007.", "8.8.8.8"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(2500)] + [None, "", "1 " * 20_000 + "a" * 60_000 + "@b" + ".c" * 20_000]
+    got = {r.doc_id: r for r in pii.digest(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts, 1):
+        want = brute_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(r == n for _, r, _ in want) for n in range(4)]
+        assert set(filter(None, listed(want).split(","))) <= set(got[i].spans.split(","))
+
+
+def test_contexts_discover(spark):
+    texts = [f"please write to user{i}@host{i}.com now" for i in range(6)] + ["please write to bob@localhost, now", "please wait for bob@localhost, now", "see section 4.2 now", "please write to nobody now"]
+    got = {r.doc_id: r.spans for r in pii.digest(frame(spark, texts)).collect()}
+    assert got[7] == "email:16:29" and got[1] == "email:16:31" and not got[8] and not got[9] and not got[10]
+    assert pii.digest(odd(spark)).count() == odd(spark).count()
+    assert pii.digest(odd(spark).limit(0)).count() == 0
+
+
+# 7: language model
+
+
+def test_base_scores_and_both_ways(spark):
+    texts = [" ".join(random.Random(i).choices([f"W{k}" for k in range(30)], k=i % 40)) for i in range(200)] + [None, ""]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in lm.scores(docs).collect()}
+    other = {r.doc_id: r for r in lm.joined(docs).collect()}
+    tokens = {i: re.findall("[^\x20\x09-\x0d]+", lower(t)) + [None] for i, t in enumerate(texts, 1)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    c = collections.Counter(x for i in tokens if not held[i] for x in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for i, own in tokens.items():
+        r, o = got[i], other[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(own), sum(c[x] > 0 for x in own), n) == (o.held_out, o.n_tokens, o.n_known, o.train_tokens)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in own)) == pytest.approx(o.base_score)
+        assert r.score == pytest.approx(o.score, rel=0.1)
+    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+    assert {r.doc_id: r.n_tokens for r in lm.scores(docs, order=3).collect()} == {i: len(t) for i, t in tokens.items()}
+    assert lm.scores(docs, max_filter=1).count() == len(texts)
+
+
+def test_lm_odd_rows(spark):
+    docs = odd(spark)
+    assert lm.scores(docs).count() == docs.count() == lm.joined(docs).count()
+    assert lm.scores(docs.limit(0)).count() == 0
+    only = frame(spark, ["a b"], first=next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 10 == 0))
+    r = lm.scores(only).first()
+    assert r.held_out and r.train_tokens == 0 and r.base_score == pytest.approx(0)
+
+
+def test_filter_never_misses():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    c = rng.integers(1, 500, len(keys))
+    own = lm.Filter(1)
+    own.put(0, lm.segment(keys, c))
+    own.seal()
+    read = own.counts(keys)
+    assert (read >= lm.value_of(lm.level_of(c)) - 1e-9).all() and (read == lm.value_of(lm.level_of(c))).mean() > 0.95
+    assert (own.counts(rng.integers(0, 2**63, 20000).astype(np.uint64)) > 0).mean() < 0.05
+
+
+def test_packed_counts():
+    keys = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
+    assert np.array_equal(counts.from_planes(counts.planes(keys), np.uint64), keys)
+    k, n = counts.summed(np.append(keys, keys[:10]), None)
+    assert n.sum() == 1010 and (np.diff(k) > 0).all()
+
+
+# 8: lines
+
+
+def passage(tag, lines=6, words=12):
+    return "\n".join(f"{tag} line {i} " + " ".join(f"{tag}{i}{j}" for j in range(words)) for i in range(lines))
+
+
+def test_line_chunks(spark):
+    p, big = passage("p"), "one " + " ".join(f"big{j}" for j in range(60))
+    texts = ["u1\n" + p + "\nu2\nshort footer", "v1\nv2\n" + p + "\nv3", p + "\nshort footer", None, "", "x\n" + big + "\ny", big, "z\nshort footer\nq", "\n\n".join(p.split("\n")) + "\nend of it"]
+    docs = frame(spark, texts).withColumns({c: F.lit(c) for c in ("row", "lines", "gone", "did", "th", "body", "kept")})
+    out = linededup.dedup(docs)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {1: texts[0], 2: "v1\nv2\nv3", 3: "short footer", 4: None, 5: "", 6: texts[5], 7: "", 8: texts[7], 9: got[9]} and got[9].strip() == "end of it"
+    assert out.columns == docs.columns and {r.doc_id for r in linededup.dedup(docs, drop_emptied=True).collect()} == {1, 2, 3, 4, 5, 6, 8, 9}
+    assert all(r.n_chars == len(r.text or "") for r in out.collect())
+
+
+def test_lines_once_each_in_a_corpus(spark):
+    """Of every passage one copy stays, wherever it was pasted."""
+    rng = random.Random(9)
+    passages = [passage(f"p{k}", rng.randint(2, 9), rng.randint(10, 30)) for k in range(12)]
+    texts = []
+    for i in range(80):
+        lines = [f"own {i} {k} " + " ".join(f"x{rng.random():.6f}" for _ in range(8)) for k in range(rng.randint(1, 6))]
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            lines.insert(rng.randrange(len(lines) + 1), p)
+        texts.append("\n".join(lines))
+    out = [r.text for r in linededup.dedup(frame(spark, texts)).orderBy("doc_id").collect()]
+    for p in passages:
+        for line in p.split("\n"):
+            assert sum(t.count(line) for t in out) == min(1, sum(t.count(line) for t in texts))
+    for a, b in zip(texts, out, strict=True):
+        assert [x for x in b.split("\n") if x.startswith("own")] == [x for x in a.split("\n") if x.startswith("own")]
+
+
+def test_equal_hashes_are_not_enough(spark, monkeypatch):
+    """With all chunk hashes equal, bytes alone decide."""
+    texts = [passage("a"), passage("a"), passage("b"), passage("b")]
+    real = linededup._chunks
+    monkeypatch.setattr(linededup, "_chunks", lambda lines: real(lines).withColumn("hash", F.lit(1).cast("long")))
+    got = [r.text for r in linededup.dedup(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "", texts[2], ""]
+
+
+def test_line_odd_rows(spark):
+    docs = odd(spark)
+    assert sorted(linededup.dedup(docs).select("doc_id", "text").collect(), key=str) == sorted(docs.select("doc_id", "text").collect(), key=str)
+    assert linededup.digest(docs).count() == docs.count()
+    assert linededup.dedup(docs.limit(0)).count() == 0
+
+
+# 9: decontamination
+
+
+def test_decontamination(spark):
+    words = [f"t{i}" for i in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words[:20])), (2, "Short item, here"), (3, None), (4, "..."), (10, " ".join(words[5:18]))], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(400))
+    texts = ["A " + " ".join(words[2:16]).upper() + " z", filler + " " + " ".join(words[0:13]), "so SHORT-item HERE now", None, "", " ".join(words[:12]), filler]
+    docs = frame(spark, texts)
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.hits(docs, bench).collect()}
+    assert got == {1: (16, 14, ["1"], True), 2: (413, 13, ["1"], False), 3: (5, 3, ["2"], True), 4: (0, 0, [], False), 5: (0, 0, [], False), 6: (12, 0, [], False), 7: (400, 0, [], False)}
+    parts = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.hits(docs, bench, max_windows=1).collect()}
+    assert parts == got
+    both = decontam.hits(frame(spark, [" ".join(words[:20])]), bench).first()
+    assert both["items"] == ["1", "10"] and both.n_hit == 20
+    assert {r.doc_id for r in decontam.remove_documents(docs, bench).collect()} == {2, 4, 5, 6, 7} == {r.doc_id for r in decontam.remove_documents(docs, bench, max_windows=1).collect()}
+    spans = {r.doc_id: r.text for r in decontam.remove_spans(docs, bench).collect()}
+    assert spans[1] == "A  z" and spans[3] == "so  now" and spans[7] == filler and spans[4] is None
+    odd_docs = odd(spark)
+    assert decontam.digest(odd_docs, bench).count() == odd_docs.count() == decontam.remove_documents(odd_docs, bench.limit(0)).count()
+    assert decontam.digest(odd_docs.limit(0), bench).count() == 0
