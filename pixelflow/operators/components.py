@@ -78,7 +78,7 @@ def label(foreground: DataFrame, eight: bool = True, stripe: int = 512) -> DataF
         first = label_grid(y, x, eight)
         return pa.table([table.column("image_id"), table.column("y"), table.column("x"), pa.array(y[first], pa.int64()), pa.array(x[first], pa.int64())], names=["image_id", "y", "x", "ly", "lx"])
 
-    own = cut.groupBy("image_id", "stripe").applyInArrow(run, "image_id long, y long, x long, ly long, lx long")
+    own = cut.groupBy("image_id", "stripe").applyInArrow(run, "image_id long, y long, x long, ly long, lx long").transform(durable)
     node = F.struct("image_id", "ly", "lx")
     # seams: the last row of a stripe against the first of the next
     upper = own.where(F.expr(f"y % {stripe} = {stripe - 1}")).select("image_id", (F.col("y") + 1).alias("y"), "x", node.alias("a"))
