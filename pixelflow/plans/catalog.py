@@ -490,6 +490,12 @@ def ssim(spark, d):
     return rounded(quality.ssim(quality.pair(p, fx.decoded(p)), 7))
 
 
+@query(S.MOSAIC + S.SSIM.replace("SELECT CAST(0 AS BIGINT) AS image_id, round(avg", "SELECT CAST(0 AS BIGINT) AS image_id, CASE WHEN s > 0.95 THEN 'excellent' WHEN s > 0.85 THEN 'good' WHEN s > 0.7 THEN 'acceptable' ELSE 'poor' END AS rating FROM (SELECT (avg").replace("/ 3), 6) AS ssim FROM wi", "/ 3)) AS s FROM wi)"))
+def rating_ssim(spark, d):
+    p = fx.mosaic(spark, d)
+    return quality.ssim(quality.pair(p, fx.decoded(p)), 7).select("image_id", color.rating_ssim(F.col("ssim")).alias("rating"))
+
+
 @query()
 def ssim_clean(spark, d):
     p = fx.mosaic(spark, d)
@@ -597,6 +603,12 @@ def cum_error(spark, d):
     return boundary.cumulative_error(p, p.withColumns({c: F.floor(c).cast("double") for c in ("px", "py")})).select("shape_id", "seq", F.round("error", 6).alias("error"), F.round("total", 4).alias("total"))
 
 
+@query(S.POLY + "SELECT shape_id, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, round(max(e), 6) AS high, round(quantile_cont(e, 0.95), 6) AS p95, CAST(count(*) FILTER (e > 0.001) AS BIGINT) AS over FROM (SELECT shape_id, sqrt(power(px - floor(px), 2) + power(py - floor(py), 2)) AS e FROM pl) GROUP BY shape_id")
+def error_summary(spark, d):
+    p = fx.polyline(spark, d)
+    return rounded(boundary.error_summary(boundary.cumulative_error(p, p.withColumns({c: F.floor(c).cast("double") for c in ("px", "py")}))))
+
+
 @query(S.POLY + S.DEDUPE)
 def dedupe_seq(spark, d):
     p = fx.polyline(spark, d).withColumns({"px": F.floor(F.col("px") / 8).cast("double"), "py": F.lit(1.0)})
@@ -648,6 +660,12 @@ def clahe_regions(spark, d):
     return enhance.shadow_regions(corpus_gray(spark, d))
 
 
+@query()
+def clahe_gain(spark, d):
+    g = corpus_gray(spark, d)
+    return rounded(enhance.brightness_gain(g, enhance.shadows(g, least=20)))
+
+
 @query()
 def zlib_container(spark, d):
     p = fx.coarse(fx.corpus(spark, d))
