@@ -81,7 +81,7 @@ def _counted(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(frames):
         runs = [C.Run(n, buckets) for n in range(1, order + 1)]
         for frame in frames:
-            for _, data, offsets in W.pieces(frame, "text", 1 << 22):
+            for _, data, offsets in W.pieces(frame, "text", 1 << 21):
                 t = tokens(data, offsets)
                 yield from runs[0].add(t.hash)
                 for n in range(2, order + 1):

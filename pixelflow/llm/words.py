@@ -134,7 +134,7 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out + np.uint64(n)), at
 
 
-def batches(offsets: np.ndarray, limit: int = 1 << 23):
+def batches(offsets: np.ndarray, limit: int = 1 << 22):
     """Ranges of texts whose bytes stay under the limit, or single longer texts."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -143,7 +143,7 @@ def batches(offsets: np.ndarray, limit: int = 1 << 23):
         lo = hi
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 23):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 22):
     """A record batch in parts: each part, its text bytes and its offsets."""
     data, offsets = text_bytes(batch.column(column))
     for lo, hi in batches(offsets, limit):
