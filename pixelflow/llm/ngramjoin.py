@@ -165,7 +165,7 @@ SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T
 
 def _texts(n: int):
     def of_batch(frame):
-        for own, data, offsets in W.pieces(frame, "text", 1 << 22):
+        for own, data, offsets in W.pieces(frame, "text", 1 << 21):
             yield _ids(own.column("doc_id")), sets_of(data, offsets, n)
 
     return of_batch
@@ -178,7 +178,7 @@ def _packed(frame):
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(frames):
         for frame in frames:
-            for own, data, offsets in W.pieces(frame, "text", 1 << 22):
+            for own, data, offsets in W.pieces(frame, "text", 1 << 21):
                 raw = [s.astype("<u8").tobytes() for s in sets_of(data, offsets, n)]
                 yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), pa.array([len(x) // 8 for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=SETS.names)
 
@@ -205,7 +205,7 @@ def partners(s: int) -> range:
     return range(-(-4 * s // 5), 5 * s // 4 + 1)
 
 
-ENTRIES = T.StructType([T.StructField("key", T.LongType()), T.StructField("subset", T.BooleanType()), T.StructField("side", T.IntegerType()), T.StructField("doc_id", T.LongType())])
+ENTRIES = T.StructType([T.StructField("key", T.LongType()), T.StructField("subset", T.BooleanType()), T.StructField("side", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("pos", T.IntegerType())])
 
 
 def _order(own: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -221,7 +221,7 @@ def _entries(reps: DataFrame, light: int, common) -> DataFrame:
     def run(frames):
         shared = common.value
         for frame in frames:
-            keys, subset, side, doc = [], [], [], []
+            keys, subset, side, doc, pos = [], [], [], [], []
             for i, raw in zip(frame.column("doc_id").to_pylist(), frame.column("set").to_pylist(), strict=True):
                 own = np.frombuffer(raw, "<u8")
                 s = len(own)
@@ -241,8 +241,9 @@ def _entries(reps: DataFrame, light: int, common) -> DataFrame:
                 subset += [np.ones(len(subsets), bool), np.zeros(len(lists), bool)]
                 doc.append(np.full(len(subsets) + len(lists), i))
                 side += [*sides, np.zeros(len(lists), np.int64)]
+                pos += [np.zeros(len(subsets), np.int64), np.arange(len(lists))]
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(np.concatenate(subset)), pa.array(np.concatenate(side), pa.int32()), pa.array(np.concatenate(doc), pa.int64())], names=ENTRIES.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(np.concatenate(subset)), pa.array(np.concatenate(side), pa.int32()), pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(pos), pa.int32())], names=ENTRIES.names)
 
     return reps.select("doc_id", "set").mapInArrow(run, ENTRIES)
 
@@ -338,14 +339,17 @@ def _linked(reps: DataFrame, scratch: Scratch) -> DataFrame:
     # lists that still hold several components, with what may rule a link out
     known = facts.join(members.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = scratch.save(known, "known")
-    placed = scratch.save(entries.where("not subset").select("key", "doc_id").join(known.select("doc_id", "component"), "doc_id"), "placed")
+    placed = scratch.save(entries.where("not subset").select("key", "doc_id", "pos").join(known.select("doc_id", "component"), "doc_id"), "placed")
     split = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     major = split.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
     mixed = scratch.save(placed.join(major, "key"), "mixed")
     full = mixed.drop("component").join(known, "doc_id")
-    x = full.where("component <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in (*FACTS.names, "component")))
-    y = full.select("key", *(F.col(c).alias(f"y_{c}") for c in (*FACTS.names, "component")))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("x_component") != F.col("y_component")) & _possible())
+    x = full.where("component <> major").select("key", *(F.col(c).alias(f"x_{c}") for c in (*FACTS.names, "component", "pos")))
+    y = full.select("key", *(F.col(c).alias(f"y_{c}") for c in (*FACTS.names, "component", "pos")))
+    # a pair that links also meets in the shorter prefixes of its own overlap: from there on enough shingles are left
+    total = F.col("x_n") + F.col("y_n")
+    early = (9 * (F.col("x_n") - F.col("x_pos")) >= 4 * total) & (9 * (F.col("y_n") - F.col("y_pos")) >= 4 * total)
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("x_component") != F.col("y_component")) & early & _possible())
     pairs = met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
     second = scratch.save(_verified(scratch.save(pairs, "pairs"), reps), "more-links")
     if second.isEmpty():
