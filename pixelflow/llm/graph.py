@@ -1,8 +1,8 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
 Every round is two grouped minima and two equi-joins. Minima combine before the
-shuffle, and a hub's rows are joined by its key alone, so that adaptive execution
-can split them. Rounds are written to the shared folder.
+shuffle and are written before they are joined, so that both sides of a join are plain shuffles,
+of which adaptive execution can split a hub's rows. Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     while state[0]:
         # large star: each neighbour above a node is linked to the smallest of its neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = scratch.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large")
         # small star: a node's smaller neighbours are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "star")
-        scratch.drop(now)
+        scratch.drop(now, least, large, low)
         now, before = after, state
         state = _state(now)
         if state == before:

@@ -25,6 +25,7 @@ from .common import Scratch
 WINDOW = 3
 DIVISOR = 8
 MIN_WORDS = 50
+BLANKS = " \t\r"
 
 _KEY = ("did", "th")
 
@@ -37,7 +38,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _lines(keyed: DataFrame) -> DataFrame:
     """(did, th, nb, line, h, wide): nb numbers the non-blank lines; wide: over MIN_WORDS words."""
     numbered = F.transform(F.split("body", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
-    full = F.filter(numbered, lambda s: F.expr("true") & (F.btrim(s["x"], F.lit(" \t\r")) != ""))
+    full = F.filter(numbered, lambda s: F.btrim(s["x"], F.lit(BLANKS)) != "")
     rows = keyed.where("body is not null").select(*_KEY, F.posexplode(full).alias("nb", "s"))
     spaces = F.length("s.x") - F.length(F.replace("s.x", F.lit(" ")))
     return rows.select(*_KEY, "nb", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h"), (spaces >= MIN_WORDS).alias("wide"))
@@ -50,8 +51,10 @@ def _chunks(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy(*_KEY).orderBy("nb")
     following = F.when(F.lead("nb").over(w) == F.col("nb") + 1, F.xxhash64("h", F.lead("h").over(w)))
     paired = own.withColumn("pair", following)
-    pairs = paired.where("pair is not null").groupBy("pair").agg(F.count("*").alias("pc"))
-    paired = paired.join(pairs, "pair", "left")
+    standing = paired.where("pair is not null")
+    pairs = standing.groupBy("pair").agg(F.count("*").alias("pc"))
+    alone = paired.where("pair is null").withColumn("pc", F.lit(None).cast("long"))  # kept out of the join: nulls would share one task
+    paired = standing.join(pairs, "pair").select(*paired.columns, "pc").union(alone)
     before = F.lag("pc").over(w)  # how often this line follows that one; null where none stands before it
     runs = paired.withColumn("breaks", F.coalesce((before != F.col("c")) | (F.lag("c").over(w) != F.col("c")), F.lit(True)).cast("int"))
     runs = runs.withColumn("leaves", F.coalesce(before < 2, F.lit(True)).cast("int"))
@@ -73,9 +76,9 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     again = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     spots = chunks.join(again, "hash").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop", "hash")).alias("spots"))
     texts = keyed.select(*_KEY, "body").join(spots.hint("shuffle_hash"), list(_KEY))
-    bytes_of = lambda s: F.array_join(F.slice("lines", s["start"] + 1, s["stop"] - s["start"] + 1), "\n")
+    bytes_of = lambda s: F.array_join(F.filter(F.slice("lines", s["start"] + 1, s["stop"] - s["start"] + 1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), "\n")
     held = texts.select(*_KEY, F.split("body", "\n", -1).alias("lines"), "spots")
-    held = held.select(*_KEY, F.explode(F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["hash"].alias("hash"), F.sha2(bytes_of(s), 256).alias("sha"), bytes_of(s).alias("bytes")))).alias("s"))
+    held = held.select(*_KEY, F.explode(F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["hash"].alias("hash"), bytes_of(s).alias("bytes")))).alias("s"))
     held = scratch.save(held.select(*_KEY, "s.*").dropDuplicates([*_KEY, "start"]), "candidates")
     # equal bytes, not equal hashes, make chunks the same: the bytes are part of the key
     first = held.groupBy("hash", "bytes").agg(F.min(F.struct(*_KEY, "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "bytes", "first")
