@@ -177,10 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
                 yield pa.RecordBatch.from_arrays([own.column("label_id").cast(pa.int64()), pa.array(y.tolist(), pa.list_(pa.int32())), pa.array([feature[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=kind.names)
 
     got = sorted(((r["label_id"], bytes(r["f"]), r["y"]) for r in rows.mapInArrow(run, kind).toLocalIterator()), key=lambda r: r[:2])
-    parts = [np.frombuffer(f, "<u4").astype(np.int64) for _, f, _ in got]
-    doc = np.repeat(np.arange(len(got)), [len(x) for x in parts]).astype(np.int64)
-    feature = np.concatenate([np.zeros(0, np.int64), *parts])
-    return Chain(names).fit(doc, feature, np.array([y for _, _, y in got]).reshape(len(got), len(names)))
+    y = np.array([y for _, _, y in got]).reshape(len(got), len(names))
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) // 4 for _, f, _ in got])
+    feature = np.frombuffer(b"".join(f for _, f, _ in got), "<u4").astype(np.int32)
+    del got
+    often = (np.bincount(feature, minlength=1 << BITS) >= LEAST)[feature]  # rarer ones are never chosen
+    return Chain(names).fit(doc[often], feature[often], y)
 
 
 def _run(docs: DataFrame, model: Chain, schema: T.StructType, row) -> DataFrame:
@@ -190,7 +192,7 @@ def _run(docs: DataFrame, model: Chain, schema: T.StructType, row) -> DataFrame:
         own_model = shared.value
         wanted = own_model.wanted()
         for frame in frames:
-            for own, data, offsets in W.pieces(frame, "text", 1 << 22):
+            for own, data, offsets in W.pieces(frame, "text", 1 << 21):
                 doc, feature = features(data, offsets, wanted)
                 yield row(own, own_model.predict(doc, feature, own.num_rows))
 
