@@ -44,15 +44,18 @@ def _lines(keyed: DataFrame) -> DataFrame:
     return rows.select(*_KEY, "nb", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h"), (spaces >= MIN_WORDS).alias("wide"))
 
 
-def _chunks(lines: DataFrame) -> DataFrame:
-    """(did, th, start, stop, hash) of every chunk of repeated lines that may be removed."""
-    repeated = lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    own = lines.join(repeated, "h").groupBy(*_KEY, "nb", "line", "h", "wide", "c").agg(F.lit(1).alias("one")).drop("one")
+def _chunks(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(did, th, start, stop, hash) of every chunk of repeated lines that may be removed.
+
+    Counts are written before they are joined: then both sides of a join are plain shuffles, of which a frequent line's can be split.
+    """
+    repeated = scratch.save(lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "repeated")
+    own = scratch.save(lines.join(repeated, "h").distinct(), "repeated-lines")
     w = Window.partitionBy(*_KEY).orderBy("nb")
     following = F.when(F.lead("nb").over(w) == F.col("nb") + 1, F.xxhash64("h", F.lead("h").over(w)))
     paired = own.withColumn("pair", following)
     standing = paired.where("pair is not null")
-    pairs = standing.groupBy("pair").agg(F.count("*").alias("pc"))
+    pairs = scratch.save(standing.groupBy("pair").agg(F.count("*").alias("pc")), "pairs")
     alone = paired.where("pair is null").withColumn("pc", F.lit(None).cast("long"))  # kept out of the join: nulls would share one task
     paired = standing.join(pairs, "pair").select(*paired.columns, "pc").union(alone)
     before = F.lag("pc").over(w)  # how often this line follows that one; null where none stands before it
@@ -72,7 +75,7 @@ def _chunks(lines: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(did, th, gone): for each document that loses lines, the sorted ranges of line numbers that go."""
     keyed = _keyed(docs)
-    chunks = scratch.save(_chunks(_lines(keyed)), "chunks")
+    chunks = scratch.save(_chunks(_lines(keyed), scratch), "chunks")
     again = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     spots = chunks.join(again, "hash").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop", "hash")).alias("spots"))
     texts = keyed.select(*_KEY, "body").join(spots.hint("shuffle_hash"), list(_KEY))

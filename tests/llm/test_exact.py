@@ -479,7 +479,7 @@ def test_equal_hashes_are_not_enough(spark, monkeypatch):
     """With all chunk hashes equal, bytes alone decide."""
     texts = [passage("a"), passage("a"), passage("b"), passage("b")]
     real = linededup._chunks
-    monkeypatch.setattr(linededup, "_chunks", lambda lines: real(lines).withColumn("hash", F.lit(1).cast("long")))
+    monkeypatch.setattr(linededup, "_chunks", lambda *a: real(*a).withColumn("hash", F.lit(1).cast("long")))
     got = [r.text for r in linededup.dedup(frame(spark, texts)).orderBy("doc_id").collect()]
     assert got == [texts[0], "", texts[2], ""]
 
