@@ -76,7 +76,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(did, th, gone): for each document that loses lines, the sorted ranges of line numbers that go."""
     keyed = _keyed(docs)
     chunks = scratch.save(_chunks(_lines(keyed), scratch), "chunks")
-    again = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    again = scratch.save(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
     spots = chunks.join(again, "hash").groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop", "hash")).alias("spots"))
     texts = keyed.select(*_KEY, "body").join(spots.hint("shuffle_hash"), list(_KEY))
     bytes_of = lambda s: F.array_join(F.filter(F.slice("lines", s["start"] + 1, s["stop"] - s["start"] + 1), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), "\n")
@@ -84,7 +84,7 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     held = held.select(*_KEY, F.explode(F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["hash"].alias("hash"), bytes_of(s).alias("bytes")))).alias("s"))
     held = scratch.save(held.select(*_KEY, "s.*").dropDuplicates([*_KEY, "start"]), "candidates")
     # equal bytes, not equal hashes, make chunks the same: the bytes are part of the key
-    first = held.groupBy("hash", "bytes").agg(F.min(F.struct(*_KEY, "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "bytes", "first")
+    first = scratch.save(held.groupBy("hash", "bytes").agg(F.min(F.struct(*_KEY, "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "bytes", "first"), "first")
     same = held.join(first, ["hash", "bytes"]).where(F.struct(*_KEY, "start") != F.col("first"))
     return same.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
 
