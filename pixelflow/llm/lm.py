@@ -81,7 +81,7 @@ def _counted(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(frames):
         runs = [C.Run(n, buckets) for n in range(1, order + 1)]
         for frame in frames:
-            for _, data, offsets in W.pieces(frame, "text", 1 << 21):
+            for _, data, offsets in W.pieces(frame, "text", 1 << 20):
                 t = tokens(data, offsets)
                 yield from runs[0].add(t.hash)
                 for n in range(2, order + 1):
@@ -225,7 +225,7 @@ def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: i
     def run(frames):
         own = model.value
         for frame in frames:
-            for part, data, offsets in W.pieces(frame, "text", 1 << 21):
+            for part, data, offsets in W.pieces(frame, "text", 1 << 20):
                 n, known, base, score = own.score(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), own.total), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=SCORED.names)
 
