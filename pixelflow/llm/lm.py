@@ -7,8 +7,9 @@ until one is missing. Probabilities are interpolated: P(w | h) = L * c(hw) / c(h
 with h' the shorter history; histories that never occurred leave it to h'. The unigrams are exact.
 
 Both broadcasts are checked: the exact unigram table against `max_table` and the filter against
-`max_filter` bytes. Beyond a limit the same numbers come from joins on the keys of each
-document's distinct tokens and n-grams instead (`joined`): of any size, more slowly.
+`max_filter` bytes. Beyond a limit the same filter is probed range by range, each range where its keys
+are, and unigrams and readings meet the tokens by joins (`joined`): of any size, more slowly. The
+filter's bits don't depend on the way, so scores differ only by the order of addition.
 
 Defined results: null and empty texts are the end token alone; repeated documents each give a row and
 each count; no training document gives N = 0, V = 0 and log10(0.1 / 0.1) for every token.
@@ -194,21 +195,26 @@ def interpolated(lower: np.ndarray, own: np.ndarray, history: np.ndarray, weight
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
-def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: int = 160 << 20, max_filter: int = 256 << 20) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    buckets = 4 * partitions(spark)
+def _ngrams(docs: DataFrame, order: int, scratch: Scratch, buckets: int) -> DataFrame:
+    """PARTS of the training documents: exact unigrams and the filter's segments, by ranges of keys."""
 
     def part(kind, bucket, keys, counts):
         blob = (C.planes(keys), C.planes(counts.astype("<u8"))) if kind == 1 else (segment(keys, counts), b"")
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([blob[0]], pa.binary()), pa.array([blob[1]], pa.binary()), pa.array([int(level_of(counts).sum())], pa.int64())], names=PARTS.names)
 
-    parts = scratch.save(C.reduced(_counted(docs, order, buckets), PARTS, part), "ngrams")
+    return scratch.save(C.reduced(_counted(docs, order, buckets), PARTS, part), "ngrams")
+
+
+def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: int = 160 << 20, max_filter: int = 256 << 20) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    buckets = 4 * partitions(spark)
+    parts = _ngrams(docs, order, scratch, buckets)
     sizes = {r["kind"]: r for r in parts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.length("keys")).alias("bytes")).collect()}
     total, distinct = (sizes[1]["total"], sizes[1]["n"]) if 1 in sizes else (0, 0)
     if distinct * 16 > max_table or sum(r["bytes"] for k, r in sizes.items() if k > 1) > max_filter:
-        return joined(docs, order, weight)
+        return joined(docs, order, weight, parts)
     keys, counts, filters = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], {n: Filter(buckets) for n in range(2, order + 1)}
     documents = 0
     for r in parts.orderBy("kind", "bucket").toLocalIterator():
@@ -232,24 +238,61 @@ def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: i
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCORED)
 
 
-ENTRIES = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("c", T.LongType())])
+UNIGRAMS = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", T.LongType())])
+READINGS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("v", T.DoubleType())])
 
 
-def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT) -> DataFrame:
-    """The same columns by joins, for tables of any size; n-gram counts are quantised alike, and no probe errs.
+def _unigrams(parts: DataFrame) -> DataFrame:
+    """(key, c) of every training token."""
+
+    def run(frames):
+        for frame in frames:
+            for keys, counts in zip(frame.column("keys"), frame.column("counts"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(C.from_planes(x.as_py(), np.int64), pa.int64()) for x in (keys, counts)], names=UNIGRAMS.names)
+
+    return parts.where("kind = 1").select("keys", "counts").mapInArrow(run, UNIGRAMS)
+
+
+def _readings(docs: DataFrame, parts: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(n, key, v): what the filter says of every n-gram of all texts, where that is not 0; each range is probed by its own task."""
+
+    def asked(frames):
+        runs = {n: C.Run(n, buckets) for n in range(2, order + 1)}
+        for frame in frames:
+            for _, data, offsets in W.pieces(frame, "text", 1 << 20):
+                t = tokens(data, offsets)
+                for n, r in runs.items():
+                    yield from r.add(t.grams(n))
+        for r in runs.values():
+            yield from r.flush()
+
+    def probe(key, own, found):
+        if not own.num_rows or not found.num_rows:
+            return pa.Table.from_batches([], pa.schema([("n", pa.int32()), ("key", pa.int64()), ("v", pa.float64())]))
+        keys, _ = C.unpack(own)
+        one = Filter(buckets)
+        one.put(key[1].as_py(), found.column("keys")[0].as_py())
+        value = one.seal().counts(keys)
+        keys, value = keys[value > 0], value[value > 0]
+        return pa.table([pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), pa.array(keys.view(np.int64), pa.int64()), pa.array(value, pa.float64())], names=READINGS.names)
+
+    keys = docs.select("text").mapInArrow(asked, C.PACKED)
+    return keys.groupBy("kind", "bucket").cogroup(parts.where("kind > 1").select("kind", "bucket", "keys").groupBy("kind", "bucket")).applyInArrow(probe, READINGS)
+
+
+def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataFrame | None = None) -> DataFrame:
+    """The same columns by joins, for tables of any size; n-gram counts are read from the same filter, range by range.
 
     One row stands for each distinct (text, n-gram with its lower orders); counts meet it by joins on
-    keys, whose frequent ones adaptive execution splits.
+    keys, whose frequent ones adaptive execution splits. parts: `_ngrams` of the documents, if there already.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     buckets = 4 * partitions(spark)
-
-    def entry(kind, bucket, keys, counts):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64), pa.int64()), pa.array(counts, pa.int64())], names=ENTRIES.names)
-
-    entries = scratch.save(C.reduced(_counted(docs, order, buckets), ENTRIES, entry), "entries")
-    uni = entries.where("n = 1")
+    if parts is None:
+        parts = _ngrams(docs, order, scratch, buckets)
+    uni = scratch.save(_unigrams(parts), "unigrams")
+    readings = scratch.save(_readings(docs, parts, order, buckets), "readings")
     total, distinct = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     documents = uni.where(F.col("key") == int(np.array(END).view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     names = ["w", "h", *(f"g{n}" for n in range(2, order + 1))]
@@ -277,13 +320,11 @@ def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT) -> DataFrame
     lower = (F.coalesce("cw", F.lit(0)) + 0.1) / (F.lit(float(total)) + 0.1 * (distinct + 1))
     base, p = F.log10(lower), lower
     history = F.when(F.col("h") == int(np.array(BEGIN).view(np.int64)), F.lit(documents)).otherwise(F.coalesce("ch", F.lit(0)))
-    level = F.floor(F.log2("c") + 1e-9) + 1
-    value = F.when(level == 1, 1.0).otherwise(0.75 * F.pow(F.lit(2.0), level) - 0.5)
     for n in range(2, order + 1):
-        table = entries.where(F.col("n") == n).select(F.col("key"), value.alias("v"))
+        table = readings.where(F.col("n") == n)
         rows = rows.join(table.select(F.col("key").alias(f"g{n}"), F.col("v").alias(f"v{n}")), f"g{n}", "left")
         if n > 2:
-            less = entries.where(F.col("n") == n - 1).select(F.col("key").alias(f"h{n}"), value.alias(f"hv{n}"))
+            less = readings.where(F.col("n") == n - 1).select(F.col("key").alias(f"h{n}"), F.col("v").alias(f"hv{n}"))
             rows = rows.join(less, f"h{n}", "left")
             history = F.coalesce(f"hv{n}", F.lit(0.0))
         own = F.coalesce(f"v{n}", F.lit(0.0))

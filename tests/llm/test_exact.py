@@ -411,6 +411,18 @@ def test_base_scores_and_both_ways(spark):
     assert lm.scores(docs, max_filter=1).count() == len(texts)
 
 
+def test_scores_do_not_depend_on_the_limits(spark):
+    rng = random.Random(5)
+    docs = frame(spark, [" ".join(rng.choices([f"w{k}" for k in range(200)], k=rng.randint(0, 60))) for _ in range(300)] + [None, ""])
+    for order in (2, 3):
+        want = {r.doc_id: r for r in lm.scores(docs, order=order).collect()}
+        for limit in ({"max_filter": 1}, {"max_table": 1}):
+            got = {r.doc_id: r for r in lm.scores(docs, order=order, **limit).collect()}
+            assert got.keys() == want.keys()
+            for i, r in got.items():
+                assert r[1:5] == want[i][1:5] and r[5:] == pytest.approx(want[i][5:], rel=1e-9)
+
+
 def test_lm_odd_rows(spark):
     docs = odd(spark)
     assert lm.scores(docs).count() == docs.count() == lm.joined(docs).count()
