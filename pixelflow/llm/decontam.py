@@ -2,12 +2,13 @@
 
 The benchmark is the bounded side: its windows are gathered only after their number is
 checked (MAX_WINDOWS at a time, 12 bytes each); a larger benchmark is scanned in that many
-parts, each against all documents. Training tokens are hashed in windows of the same
+parts, each against all documents, which get a row key first: hit words and items of the parts are
+joined by row, and documents are judged and cut once. Training tokens are hashed in windows of the same
 length, looked up in a bitmap, then in the sorted hashes, then compared word by word.
 
 Defined results: null or word-free documents have no words and no hits; null or word-free
-benchmark items have no windows; repeated items count each; repeated documents each
-give a row; extra columns of the documents are kept by `remove_documents` and `remove_spans`.
+benchmark items have no windows; items that share an item_id count once, items without one
+not (as in the SQL twin); repeated documents each give a row, whatever their doc_id; extra columns of the documents are kept by `remove_documents` and `remove_spans`.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import Scratch
 
 WINDOW = 13
 MAX_WINDOWS = 4_000_000
 BITS = 22
+ROW = "_decontam_row"
 
 
 class Index:
@@ -94,10 +97,41 @@ def _scan(docs: DataFrame, part: list, window: int, schema: T.StructType, row) -
     return docs.mapInArrow(scan, schema)
 
 
+def _items(n: int, index: Index, pairs: set[tuple[int, int]]) -> pa.Array:
+    """The distinct ids of each text's items."""
+    items: list[set[str]] = [set() for _ in range(n)]
+    for doc, item in pairs:
+        if index.ids[item] is not None:
+            items[doc].add(index.ids[item])
+    return pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written so that every scan sees the same keys."""
+    return Scratch(docs.sparkSession).save(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _by_row(keyed: DataFrame, parts: list, window: int) -> DataFrame:
+    """(ROW, doc_id, n_words, items, hit) of every row: what all parts have found together; hit has the places of hit words."""
+    kind = T.StructType([T.StructField(ROW, T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit", T.ArrayType(T.LongType()))])
+
+    def row(own, data, offsets, index):
+        words, hit, pairs = index.scan(data, offsets)
+        places = [np.flatnonzero(hit[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([own.column(ROW), own.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), _items(len(own), index, pairs), pa.array(places, pa.list_(pa.int64()))], names=kind.names)
+
+    narrow = keyed.select(ROW, "doc_id", "text")
+    whole = _scan(narrow, parts[0], window, kind, row)
+    for part in parts[1:]:
+        whole = whole.union(_scan(narrow, part, window, kind, row))
+    joined = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return whole.groupBy(ROW).agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(joined("items")).alias("items"), joined("hit").alias("hit"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items array<string>, contaminated) of every document row.
 
-    A benchmark of several parts is scanned part by part; spans and items of the parts are joined by row.
+    A benchmark of several parts is scanned part by part; spans and items of the parts are joined by row key.
     """
     parts = _parts(benchmark, window, max_windows)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -105,29 +139,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
     def row(own, data, offsets, index):
         words, hit, pairs = index.scan(data, offsets)
         before = np.concatenate([[0], np.cumsum(hit)])
-        items: list[list[str]] = [[] for _ in range(len(own))]
-        for doc, item in pairs:
-            items[doc].append(index.ids[item])
-        yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(before[words.first[1:]] - before[words.first[:-1]], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
-
-    def spans(own, data, offsets, index):
-        words, hit, pairs = index.scan(data, offsets)
-        items: list[list[str]] = [[] for _ in range(len(own))]
-        for doc, item in pairs:
-            items[doc].append(index.ids[item])
-        masks = [np.flatnonzero(hit[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(masks, pa.list_(pa.int64()))], names=["doc_id", "n_words", "items", "hit"])
+        yield pa.RecordBatch.from_arrays([own.column("doc_id").cast(pa.int64()), pa.array(words.counts, pa.int64()), pa.array(before[words.first[1:]] - before[words.first[:-1]], pa.int64()), _items(len(own), index, pairs)], names=["doc_id", "n_words", "n_hit", "items"])
 
     narrow = docs.select("doc_id", "text")
     if len(parts) == 1:
         found = _scan(narrow, parts[0], window, schema, row)
     else:
-        kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit", T.ArrayType(T.LongType()))])
-        each = [_scan(narrow, p, window, kind, spans) for p in parts]
-        whole = each[0]
-        for more in each[1:]:
-            whole = whole.union(more)
-        found = whole.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"))
+        found = _by_row(_keyed(narrow), parts, window).withColumn("n_hit", F.size("hit").cast("long"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
 
 
@@ -136,44 +154,60 @@ def digest(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return hits(docs, benchmark, **how).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def _cut(own: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, words: W.Words, hit: np.ndarray) -> pa.RecordBatch:
+    """own without its hit words and what stands between two of them."""
+    before = np.concatenate([[0], np.cumsum(hit)])
+    texts = own.column("text").to_pylist()
+    for doc in np.flatnonzero(before[words.first[1:]] - before[words.first[:-1]]):
+        a, b = words.first[doc], words.first[doc + 1]
+        raw, base, at, kept = data[offsets[doc] : offsets[doc + 1]].tobytes(), offsets[doc], 0, []
+        for k in np.flatnonzero(hit[a:b]) + a:
+            kept.append(raw[at : max(at, words.start[k] - base)] if k == a or not hit[k - 1] else b"")
+            at = words.end[k] - base
+        texts[doc] = (b"".join(kept) + raw[at:]).decode("utf-8")
+    return own.set_column(own.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
 def _edit(docs: DataFrame, benchmark: DataFrame, window: int, max_windows: int, cut: bool) -> DataFrame:
-    """Contaminated documents go, or (cut) every hit span goes; applied part by part."""
+    """Contaminated documents go, or (cut) every hit span goes, by what all parts have found together."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    for part in _parts(benchmark, window, max_windows):
-        kind = docs.schema
-        arrow = to_arrow_schema(kind)
+    arrow = to_arrow_schema(docs.schema)
+    as_docs = lambda out: pa.RecordBatch.from_arrays([out.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+    if len(parts := _parts(benchmark, window, max_windows)) == 1:
 
-        def row(own, data, offsets, index, arrow=arrow):
+        def row(own, data, offsets, index):
             words, hit, _ = index.scan(data, offsets)
-            before = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = before[words.first[1:]] - before[words.first[:-1]]
-            if not cut:
-                keep = ~((n_hit > 0) & (20 * n_hit >= words.counts))
-                out = own.filter(pa.array(keep))
+            if cut:
+                yield as_docs(_cut(own, data, offsets, words, hit))
             else:
-                texts = own.column("text").to_pylist()
-                for doc in np.flatnonzero(n_hit):
-                    a, b = words.first[doc], words.first[doc + 1]
-                    raw, base, at, kept = data[offsets[doc] : offsets[doc + 1]].tobytes(), offsets[doc], 0, []
-                    for k in np.flatnonzero(hit[a:b]) + a:
-                        kept.append(raw[at : max(at, words.start[k] - base)] if k == a or not hit[k - 1] else b"")
-                        at = words.end[k] - base
-                    texts[doc] = (b"".join(kept) + raw[at:]).decode("utf-8")
-                out = own.set_column(own.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, arrow, strict=True)], schema=arrow)
+                before = np.concatenate([[0], np.cumsum(hit)])
+                n_hit = before[words.first[1:]] - before[words.first[:-1]]
+                yield as_docs(own.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= words.counts)))))
+
+        return _scan(docs, parts[0], window, docs.schema, row)
 
-        docs = _scan(docs, part, window, kind, row)
-    return docs
+    keyed = _keyed(docs)
+    found = _by_row(keyed, parts, window).where(F.size("hit") > 0)
+    if not cut:
+        return keyed.join(found.where(20 * F.size("hit") >= F.col("n_words")).select(ROW), ROW, "left_anti").select(*docs.columns)
+    places = f"{ROW}_hit"
+
+    def run(frames):
+        for frame in frames:
+            for own, data, offsets in W.pieces(frame, "text"):
+                words = W.split(data, offsets, W.ALNUM_WORDS)
+                hit = np.zeros(len(words.hash), bool)
+                for first, at in zip(words.first[:-1].tolist(), own.column(places).to_pylist(), strict=True):
+                    hit[first + np.array(at or [], np.int64)] = True
+                yield as_docs(_cut(own, data, offsets, words, hit))
+
+    return keyed.join(found.select(ROW, F.col("hit").alias(places)), ROW, "left").mapInArrow(run, docs.schema)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without the contaminated ones (a hit word in 20 or more), in the same columns."""
-    if len(parts := _parts(benchmark, window, max_windows)) == 1:
-        return _edit(docs, benchmark, window, max_windows, False)
-    bad = hits(docs, benchmark, window, max_windows).where("contaminated").select("doc_id").distinct()
-    del parts
-    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
+    return _edit(docs, benchmark, window, max_windows, False)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:

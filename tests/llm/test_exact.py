@@ -524,3 +524,19 @@ def test_decontamination(spark):
     odd_docs = odd(spark)
     assert decontam.digest(odd_docs, bench).count() == odd_docs.count() == decontam.remove_documents(odd_docs, bench.limit(0)).count()
     assert decontam.digest(odd_docs.limit(0), bench).count() == 0
+
+
+def test_parts_of_a_benchmark_are_joined_by_row(spark):
+    w = [f"t{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(w[:20])), (1, " ".join(w[30:50])), (2, " ".join(w[10:24])), (None, " ".join(w[30:44]))], "item_id long, text string")
+    texts = [" ".join(w[:24]), " ".join(w[:24]), " ".join(w[30:54]), " ".join(f"f{i}" for i in range(24)), "x " + " ".join(w[:50]) + " y"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip((7, 7, None, 7, None), texts, strict=True)], DOCS)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    one, many = decontam.hits(docs, bench), decontam.hits(docs, bench, max_windows=1)
+    assert rows(one) == rows(many) and one.count() == 5
+    assert rows(one.select("doc_id", "n_hit", "items")) == sorted([(7, 24, ["1", "2"]), (7, 24, ["1", "2"]), (None, 20, ["1"]), (7, 0, []), (None, 44, ["1", "2"])], key=str)
+    for how in ({}, {"max_windows": 1}):
+        kept = decontam.remove_documents(docs, bench, **how)
+        assert kept.columns == docs.columns and [r.text for r in kept.collect()] == [texts[3]]
+        spans = decontam.remove_spans(docs, bench, **how)
+        assert spans.columns == docs.columns and sorted(r.text for r in spans.collect()) == sorted(["", "", " " + " ".join(w[50:54]), texts[3], "x  " + " ".join(w[24:30]) + "  y"])
