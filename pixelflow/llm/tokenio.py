@@ -126,16 +126,21 @@ class Segment:
 
 
 class LibraryCodec:
-    """The tokenizers library's ids. Matches of its byte-level splitting are encoded once while they repeat."""
+    """The tokenizers library's ids. Matches of its byte-level splitting are encoded once while they repeat.
 
-    def __init__(self, path: str):
+    added: texts that hold one of the tokenizer's added tokens go to the library whole, as it is loaded;
+    else the strings of such tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.known, self.known_at, self.known_n, self.known_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +148,35 @@ class LibraryCodec:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.int32, int(counts.sum())), counts
 
+    def _holding(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold an added token."""
+        found = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[text + 1]:
+                    found.add(text)
+                    at = raw.find(token, int(offsets[text + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return np.array(sorted(found), np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes() if self.added else b""
+        whole = self._holding(raw, offsets)
+        if not len(whole):
+            return self._encode_matches(data, offsets)
+        size = np.diff(offsets)
+        rest = np.ones(len(size), bool)
+        rest[whole] = False
+        ids, at = self._encode_matches(data[np.repeat(rest, size)], np.concatenate([[0], np.cumsum(np.where(rest, size, 0))]))
+        more, counts = self._library([raw[offsets[k] : offsets[k + 1]].decode("utf-8") for k in whole.tolist()])
+        first, n = at[:-1].copy(), np.diff(at)
+        first[whole], n[whole] = len(ids) + np.cumsum(counts) - counts, counts
+        return bpe.take_runs(np.concatenate([ids, more]), first, n), np.concatenate([[0], np.cumsum(n)])
+
+    def _encode_matches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = pretok.split(data, offsets)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
@@ -167,24 +200,27 @@ class LibraryCodec:
         return out, upto[np.searchsorted(start, offsets)]
 
 
-_codecs: dict[str, LibraryCodec] = {}
+_codecs: dict[tuple[str, bool], LibraryCodec] = {}
 
 
-def library_codec(path: str) -> LibraryCodec:
-    if path not in _codecs:
-        _codecs[path] = LibraryCodec(path)
-    return _codecs[path]
+def library_codec(path: str, added: bool = False) -> LibraryCodec:
+    if (path, added) not in _codecs:
+        _codecs[path, added] = LibraryCodec(path, added)
+    return _codecs[path, added]
 
 
 SEGMENTS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
-def write(docs: DataFrame, path: str, to: str, segment: int = SEGMENT) -> None:
-    """Encode every text, append the end id, and write segments to the folder `to` in ascending doc_id order."""
+def write(docs: DataFrame, path: str, to: str, segment: int = SEGMENT, added: bool = False) -> None:
+    """Encode every text, append the end id, and write segments to the folder `to` in ascending doc_id order.
+
+    added: as in `LibraryCodec`.
+    """
     from pyspark import TaskContext
 
     def run(frames):
-        own_codec, shard = library_codec(path), TaskContext.get().partitionId()
+        own_codec, shard = library_codec(path, added), TaskContext.get().partitionId()
         seq = before = size = 0
         ids_of: list[np.ndarray] = []
         docs_of: list[np.ndarray] = []
@@ -238,11 +274,11 @@ def _doc_ids(own: Segment) -> pa.Array:
     return pa.array(own.doc_ids, pa.int64(), mask=own.doc_ids == np.iinfo(np.int64).min)
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
+def digest(docs: DataFrame, path: str, added: bool = False) -> DataFrame:
     """The contract's columns, from files written to the shared folder and read back."""
     spark = docs.sparkSession
     to = Scratch(spark).new_path("token-files")
-    write(docs, path, to)
+    write(docs, path, to, added=added)
 
     def row(own, ids, start):
         upto = np.concatenate([[0], np.cumsum(own.counts.astype(np.int64))])

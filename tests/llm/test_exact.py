@@ -234,6 +234,24 @@ def test_token_files(spark, monkeypatch):
     assert sorted((r.doc_id, r.start, len(r.ids)) for r in tokenio.ids(spark, to).collect()) == [x[:3] for x in want]
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from pixelflow.llm import queries
+
+    library = Tokenizer.from_file(JSON)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", "plain text", None, end, end * 2 + "x", "<|endof", "text|>", f"  {end}\n ", "", f"é{end}中", "<|endoftext |>", f"don't{end}'s", "last"]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    start, want = 0, []
+    for doc_id, text in enumerate(texts, 1):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert sorted(tuple(r) for r in queries.op3_token_files(spark, str(tmp_path)).collect()) == want
+
+
 # 4: n-gram Jaccard
 
 
