@@ -38,17 +38,23 @@ def entropy(gray: DataFrame, bins: int = 32) -> DataFrame:
     return h.join(F.broadcast(total), "image_id").groupBy("image_id").agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
-def scores(pixels: DataFrame) -> DataFrame:
+def scores(pixels: DataFrame, inside: str | None = None) -> DataFrame:
     """(image_id, size, color_score, texture_score, overall): .4 colour and .6 texture; 0 under 100 pixels.
 
+    inside: a boolean column, if only those pixels count; the others are neighbours still.
+
     Colour: .7 of the mean deviation of L, a, b over their ranges and .3 of the mean gradient of gray over 3. Texture: mean of
     the LBP entropy over 3, 50 times the Sobel variance, the gray entropy over 5 and twice gray's deviation, each clipped to 0..1.
     """
     l_, a_, b_ = color.lab()
     known = pixels.withColumns({"L": l_, "A": a_, "B": b_, "gf": color.gray_float(), "v": color.gray()})
     g = grid.sobel(known.select(*KEY, "gf"), "gf").select(*KEY, (F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2) / 8).alias("m"))
+    codes = lbp(known)
+    if inside is not None:
+        own = known.where(inside).select(*KEY)
+        codes, known = codes.join(own, KEY, "left_semi"), known.where(inside)
     s = known.join(g, KEY).groupBy("image_id").agg(F.count("*").alias("size"), *(F.stddev_pop(c).alias(f"d{c}") for c in "LAB"), F.avg("m").alias("gm"), F.var_pop("m").alias("gv"), F.stddev_pop("gf").alias("gd"))
-    bits = lbp_histogram(known).join(known.groupBy("image_id").agg(F.count("*").alias("t")), "image_id")
+    bits = codes.groupBy("image_id", F.bit_count("code").cast("long").alias("bits")).agg(F.count("*").alias("n")).join(known.groupBy("image_id").agg(F.count("*").alias("t")), "image_id")
     p = F.col("n") / F.col("t")
     le = bits.groupBy("image_id").agg((-F.sum(p * F.log2(p))).alias("le"))
     s = s.join(le, "image_id").join(entropy(known), "image_id")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelflow.operators import codec, palette, quality
-from pixelflow.plans.codec_plan import encode_images
+from pixelflow.plans.codec_plan import encode_images, region_segments
 from pixelflow.sources import fixtures as fx
 from pixelflow.sources import images
 from pixelflow.streaming.scoring import running_metrics
@@ -83,6 +83,17 @@ def test_three_levels(spark):
     assert out and all(r.psnr > 20 and r.bytes > 0 for r in out)
 
 
+def test_regions_are_segmented_on_their_own_without_a_cap(spark):
+    rng = np.random.default_rng(3)
+    noise = rng.integers(1, 256, (100, 100, 3)).tolist()
+    pixels = spark.createDataFrame([(0, y, x, *(noise[y][x] if x < 100 else (90, 90, 90))) for y in range(100) for x in range(140)], "image_id long, y long, x long, r long, g long, b long")
+    regions = pixels.selectExpr("image_id", "cast(x >= 100 as bigint) as region", "y", "x")
+    out = region_segments(pixels, regions)
+    assert out.count() == 14000
+    n = {r.region: r.n for r in out.groupBy("region").agg(F.countDistinct("segment").alias("n")).collect()}
+    assert n[0] > 16 and n[1] < 4
+
+
 def test_canvas_is_filled(spark):
     from pixelflow.operators import overlay
 
