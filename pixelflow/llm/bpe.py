@@ -1,6 +1,6 @@
 """Byte-level BPE in length-bucketed padded numpy matrices, with exact decoding.
 
-Pattern matches are found per batch (see pretok), repeated ones are encoded once, and new
+Pattern matches are found per batch (see pretok), repeated ones (equal byte by byte) are encoded once, and new
 ones go into matrices of rows of like length. Each round, every row looks up the ranks of its
 neighbouring pairs in an open-addressed hash table, merges its leftmost pair of least
 rank, and closes the gap; rows without such a pair leave the matrix.
@@ -27,6 +27,7 @@ from . import words as W
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 20  # cells of a matrix at most
 CACHE = 400_000  # matches that are kept between batches
+CACHE_BYTES = 1 << 23  # and their bytes
 LONG = 2048  # bytes of a match over which a heap finds the same leftmost least pairs
 
 
@@ -91,6 +92,59 @@ class PairTable:
         return out
 
 
+class Matches:
+    """Encodes each distinct match of the pattern once while it repeats; matches are the same only if their bytes are.
+
+    fresh(bytes, starts, lengths) -> (ids of these matches in a row, count of each).
+    """
+
+    def __init__(self, fresh):
+        self.fresh = fresh
+        self.hash = np.zeros(0, np.uint64)  # sorted; the others are in its order
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # in ids
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # in bytes
+        self.ids, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of each text's ids."""
+        start = pretok.split(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        length = np.diff(np.append(start, len(data)))
+        both = W.padded(np.concatenate([self.bytes, data]))
+        begin = start + len(self.bytes)
+        unique, first, back = np.unique(W.hashed(both, begin, begin + length), return_index=True, return_inverse=True)
+        where = np.minimum(np.searchsorted(self.hash, unique), max(0, len(self.hash) - 1))
+        new = self.hash[where] != unique if len(self.hash) else np.ones(len(unique), bool)
+        ids, counts = self.fresh(data, start[first[new]], length[first[new]])
+        at, n, spot, size = (np.empty(len(unique), np.int64) for _ in range(4))
+        at[new], n[new], spot[new], size[new] = np.cumsum(counts) - counts + len(self.ids), counts, begin[first[new]], length[first[new]]
+        if len(self.hash):
+            old = where[~new]
+            at[~new], n[~new], spot[~new], size[~new] = self.at[old], self.n[old], self.start[old], self.length[old]
+        store = np.concatenate([self.ids, ids])
+        # a match of the same hash but other bytes than its representative is encoded by itself
+        each_at, each_n = at[back], n[back]
+        alike = size[back] == length
+        alike &= W.equal_ranges(both, begin, both, np.where(alike, spot[back], begin), length)
+        if not alike.all():
+            odd = np.flatnonzero(~alike)
+            more, counts = self.fresh(data, start[odd], length[odd])
+            each_at[odd], each_n[odd] = len(store) + np.cumsum(counts) - counts, counts
+            out = take_runs(np.concatenate([store, more]), each_at, each_n)
+        else:
+            out = take_runs(store, each_at, each_n)
+        upto = np.concatenate([[0], np.cumsum(each_n)])
+        if len(self.hash) + int(new.sum()) <= CACHE and len(self.bytes) + int(size[new].sum()) <= CACHE_BYTES:
+            kept = np.concatenate([self.bytes, take_runs(data, start[first[new]], size[new])])
+            spot[new] = np.cumsum(size[new]) - size[new] + len(self.bytes)
+            order = np.argsort(np.concatenate([self.hash, unique[new]]), kind="stable")
+            self.hash = np.concatenate([self.hash, unique[new]])[order]
+            self.at, self.n, self.start, self.length = (np.concatenate([x, y[new]])[order] for x, y in ((self.at, at), (self.n, n), (self.start, spot), (self.length, size)))
+            self.ids, self.bytes = store, kept
+        return out, upto[np.searchsorted(start, offsets)]
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.pairs = PairTable(ranks)
@@ -101,10 +155,7 @@ class Codec:
             tokens[rank] = token
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        self.known = np.zeros(0, np.uint64)  # sorted hashes of cached matches
-        self.known_at = np.zeros(0, np.int64)
-        self.known_n = np.zeros(0, np.int64)
-        self.known_ids = np.zeros(0, np.int32)
+        self.matches = Matches(self.encode_matches)
 
     def merge(self, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge rows of ids (padded on the right) until no pair merges; the ids of all rows and the rows' lengths."""
@@ -204,31 +255,7 @@ class Codec:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of each text's ids."""
-        start = pretok.split(data, offsets)
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        end = np.append(start[1:], len(data))
-        hashes = match_hashes(data, start, end)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        where = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
-        new = self.known[where] != unique if len(self.known) else np.ones(len(unique), bool)
-        ids, counts = self.encode_matches(data, start[first[new]], end[first[new]] - start[first[new]])
-        at = np.empty(len(unique), np.int64)
-        n = np.empty(len(unique), np.int64)
-        at[new] = np.concatenate([[0], np.cumsum(counts)])[:-1] + len(self.known_ids)
-        n[new] = counts
-        if len(self.known):
-            at[~new] = self.known_at[where[~new]]
-            n[~new] = self.known_n[where[~new]]
-        store = np.concatenate([self.known_ids, ids])
-        out = take_runs(store, at[back], n[back])
-        upto = np.concatenate([[0], np.cumsum(n[back])])
-        if len(self.known) + int(new.sum()) <= CACHE:
-            merged = np.concatenate([self.known, unique[new]])
-            order = np.argsort(merged, kind="stable")
-            self.known, self.known_ids = merged[order], store
-            self.known_at, self.known_n = np.concatenate([self.known_at, at[new]])[order], np.concatenate([self.known_n, n[new]])[order]
-        return out, upto[np.searchsorted(start, offsets)]
+        return self.matches.encode(data, offsets)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all id sequences in a row, and the offsets of each sequence's bytes."""
@@ -248,18 +275,6 @@ def take_runs(values: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return values[index]
 
 
-def match_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges that follow one another."""
-    out = np.empty(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + W.SLICE, side="right")))
-        a, b = int(start[lo]), int(end[hi - 1])
-        out[lo:hi] = W._hashes(data[a:b], start[lo:hi] - a, end[lo:hi] - a)
-        lo = hi
-    return out
-
-
 _codecs: dict[str, Codec] = {}
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, pretok
+from . import bpe
 from . import words as W
 from .common import Scratch, partitions
 
@@ -141,7 +141,7 @@ class LibraryCodec:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not added
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()] if added else []
-        self.known, self.known_at, self.known_n, self.known_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.matches = bpe.Matches(self._fresh)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -166,38 +166,19 @@ class LibraryCodec:
         raw = data.tobytes() if self.added else b""
         whole = self._holding(raw, offsets)
         if not len(whole):
-            return self._encode_matches(data, offsets)
+            return self.matches.encode(data, offsets)
         size = np.diff(offsets)
         rest = np.ones(len(size), bool)
         rest[whole] = False
-        ids, at = self._encode_matches(data[np.repeat(rest, size)], np.concatenate([[0], np.cumsum(np.where(rest, size, 0))]))
+        ids, at = self.matches.encode(data[np.repeat(rest, size)], np.concatenate([[0], np.cumsum(np.where(rest, size, 0))]))
         more, counts = self._library([raw[offsets[k] : offsets[k + 1]].decode("utf-8") for k in whole.tolist()])
         first, n = at[:-1].copy(), np.diff(at)
         first[whole], n[whole] = len(ids) + np.cumsum(counts) - counts, counts
         return bpe.take_runs(np.concatenate([ids, more]), first, n), np.concatenate([[0], np.cumsum(n)])
 
-    def _encode_matches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = pretok.split(data, offsets)
-        if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        end = np.append(start[1:], len(data))
-        unique, first, back = np.unique(bpe.match_hashes(data, start, end), return_index=True, return_inverse=True)
-        where = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
-        new = self.known[where] != unique if len(self.known) else np.ones(len(unique), bool)
+    def _fresh(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        ids, counts = self._library([raw[a:b].decode("utf-8") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-        at, n = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
-        at[new], n[new] = np.cumsum(counts) - counts + len(self.known_ids), counts
-        if len(self.known):
-            at[~new], n[~new] = self.known_at[where[~new]], self.known_n[where[~new]]
-        store = np.concatenate([self.known_ids, ids])
-        out, upto = bpe.take_runs(store, at[back], n[back]), np.concatenate([[0], np.cumsum(n[back])])
-        if len(self.known) + int(new.sum()) <= bpe.CACHE:
-            merged = np.concatenate([self.known, unique[new]])
-            order = np.argsort(merged, kind="stable")
-            self.known, self.known_ids = merged[order], store
-            self.known_at, self.known_n = np.concatenate([self.known_at, at[new]])[order], np.concatenate([self.known_n, n[new]])[order]
-        return out, upto[np.searchsorted(start, offsets)]
+        return self._library([raw[a : a + n].decode("utf-8") for a, n in zip(start.tolist(), length.tolist(), strict=True)])
 
 
 _codecs: dict[tuple[str, bool], LibraryCodec] = {}

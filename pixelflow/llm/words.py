@@ -1,23 +1,24 @@
 """Words, word hashes and n-gram hashes of whole Arrow text columns, in numpy.
 
-No Python object is made per word. Hashes are 64 bits: a polynomial over random
-byte values, then a finalizer. A text without words has none; null counts as empty.
+No Python object is made per word of up to LONG bytes. A word's 64-bit hash mixes its bytes, eight at a time, into
+two independent lanes, non-linearly and with its length; longer words are hashed by keyed BLAKE2b. A
+text without words has none; null counts as empty.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21  # bytes that are hashed at a time
+LONG = 64  # bytes of a word over which BLAKE2b hashes it
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
+LANES = _rng.integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEY = _rng.bytes(16)
 ORDER = _rng.integers(1, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Byte classes. Lower-casing maps A-Z only.
@@ -82,43 +83,57 @@ def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = BLANK_
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     del before, after, cut, inside
-    hashes = np.empty(len(start), np.uint64)
-    short = tuple(np.empty(len(start), np.uint64) for _ in stems)
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SLICE, side="right")))
-        a, b = int(start[lo]), int(end[hi - 1])
-        ends = [end[lo:hi] - a, *(np.minimum(start[lo:hi] + k, end[lo:hi]) - a for k in stems)]
-        hashes[lo:hi], *found = _hashes_to(LOWER[data[a:b]], start[lo:hi] - a, ends)
-        for out, x in zip(short, found, strict=True):
-            out[lo:hi] = x
-        lo = hi
+    low = padded(LOWER[data])
+    hashes = hashed(low, start, end)
+    short = tuple(hashed(low, start, np.minimum(start + k, end)) for k in stems)
     return Words(start, end, hashes, np.searchsorted(start, offsets), short)
 
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _hashes_to(data, start, [end])[0]
-
-
-def _hashes_to(data: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
-    """Hashes of the bytes from each start to each of its ends."""
-    global _powers, _inverses
-    n = len(data)
-    if len(_powers) < n + 1:
-        keep = max(n + 1, 1 << 16)
-        p, q = np.full(keep, BASE, np.uint64), np.full(keep, BASE_INV, np.uint64)
-        p[0] = q[0] = 1
-        _powers, _inverses = np.cumprod(p), np.cumprod(q)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * _powers[:n], out=total[1:])
-    found = [mix((total[end] - total[start]) * _inverses[start]) for end in ends]
-    if n > 4 * SLICE:  # a huge word's tables aren't kept
-        _powers = _inverses = np.ones(1, np.uint64)
-    return found
+def padded(data: np.ndarray) -> np.ndarray:
+    """The bytes, and eight more, so that eight can be read at every place."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def eights(low: np.ndarray, start: np.ndarray, length: np.ndarray):
+    """Of padded bytes: (rows, values) of the first, second, ... eight bytes of every range that has so many; missing bytes are 0."""
+    every = np.ndarray(max(1, len(low) - 7), "<u8", low, strides=(1,))
+    rows, at = np.flatnonzero(length > 0), 0
+    while len(rows):
+        left = length[rows] - at
+        value = every[start[rows] + at]
+        cut = np.flatnonzero(left < 8)
+        value[cut] &= (np.uint64(1) << (left[cut] * 8).astype(np.uint64)) - np.uint64(1)
+        yield rows, value
+        at += 8
+        rows = rows[left > 8]
+
+
+def hashed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of padded bytes."""
+    length = end - start
+    a, b = mix(length.astype(np.uint64) * LANES[0]), mix(length.astype(np.uint64) * LANES[1])
+    long = np.flatnonzero(length > LONG)
+    short = length if not len(long) else np.where(length > LONG, 0, length)
+    for rows, value in eights(low, start, short):
+        a[rows] = mix((a[rows] ^ value) * LANES[2])
+        b[rows] = mix(b[rows] + value * LANES[3])
+    out = mix(a ^ ((b << np.uint64(29)) | (b >> np.uint64(35))))
+    for k in long.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(low[start[k] : end[k]], digest_size=8, key=KEY).digest(), "little")
+    return out
+
+
+def equal_ranges(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ranges of equal lengths hold the same bytes; a and b are padded."""
+    same = np.ones(len(length), bool)
+    long = np.flatnonzero(length > LONG)
+    short = length if not len(long) else np.where(length > LONG, 0, length)
+    for (rows, x), (_, y) in zip(eights(a, a_start, short), eights(b, b_start, short), strict=True):
+        same[rows[x != y]] = False
+    for k in long.tolist():
+        n = int(length[k])
+        same[k] = np.array_equal(a[a_start[k] : a_start[k] + n], b[b_start[k] : b_start[k] + n])
+    return same
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -61,11 +61,58 @@ def test_words_and_hashes():
     assert len(set(seen.values())) == len(seen)
 
 
-def test_slices_of_a_long_text_hash_alike(monkeypatch):
-    data, offsets = W.text_bytes(pa.array(["alpha beta gamma delta " * 50]))
-    whole = W.split(data, offsets).hash
-    monkeypatch.setattr(W, "SLICE", 16)
-    assert np.array_equal(whole, W.split(data, offsets).hash)
+def doubled(rounds=10):
+    """Two texts of 2 ** rounds letters, made by a -> ab, b -> ba, whose polynomials agree modulo 2 ** 64 for every odd base."""
+    x, y = "a", "b"
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hashes_depend_on_bytes_alone():
+    words = ["alpha", "a" * 8, "a" * 9, "b" * 64, "c" * 65, "c" * 300, "é" * 40, *doubled()]
+    one, _ = W.text_bytes(pa.array([" ".join(words)]))
+    first = W.split(one, np.array([0, len(one)])).hash
+    data, offsets = W.text_bytes(pa.array(["x", *reversed(words), ""]))
+    again = W.split(data, offsets, stems=(4,))
+    assert first.tolist() == again.hash[1:][::-1].tolist() and len(set(first.tolist())) == len(words)
+    assert again.stems[0][1:][::-1].tolist()[0] == W.split(*W.text_bytes(pa.array(["alph"]))).hash[0]
+
+
+def test_ranges_are_compared_byte_by_byte():
+    x, y = (W.padded(np.frombuffer(t.encode(), np.uint8)) for t in doubled(8))
+    at, n = np.array([0, 0, 0, 8, 100]), np.array([0, 1, 256, 8, 3])
+    assert W.equal_ranges(x, at, x, at, n).all()
+    assert W.equal_ranges(x, at, y, at, n).tolist() == [True, False, False, False, False]
+
+
+def test_equal_hashes_do_not_make_matches_equal(monkeypatch):
+    """With all hashes of matches equal, bytes alone decide; so they do for the pair that any polynomial takes for one."""
+    from tokenizers import Tokenizer
+
+    enc, library = encoding(), Tokenizer.from_file(JSON)
+    library.encode_special_tokens = True
+    for flat in (False, True):
+        if flat:
+            monkeypatch.setattr(W, "hashed", lambda low, start, end: np.zeros(len(start), np.uint64))
+        own, other = bpe.Codec(bpe.load_ranks(RANKS)), tokenio.LibraryCodec(JSON)
+        for texts in (list(doubled()), [" ".join(doubled()), "the cat", "the dog sat"], fuzz(200, 5)):
+            data, offsets = W.text_bytes(pa.array(texts))
+            for codec, ids_of in ((own, enc.encode_ordinary), (other, lambda t: library.encode(t, add_special_tokens=False).ids)):
+                ids, at = codec.encode(data, offsets)
+                assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ids_of(t) for t in texts]
+
+
+def test_words_that_a_polynomial_takes_for_one(spark):
+    x, y = doubled()
+    docs = frame(spark, [x, y, f"{x} p q r s", f"{y} p q r s", x])
+    assert {r.doc_id: r.component_id for r in ngramjoin.groups(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 10][:3]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, (x, x, y), strict=True)], DOCS)
+    base = lambda c: math.log10((c + 0.1) / (6 + 0.1 * 4)) + math.log10(3.1 / 6.4)
+    assert {r.doc_id: pytest.approx(r.base_score) for r in lm.scores(docs).collect()} == {ids[0]: base(2), ids[1]: base(2), ids[2]: base(1)}
+    bench = spark.createDataFrame([(1, y)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.hits(docs, bench).collect()} == {ids[0]: 0, ids[1]: 0, ids[2]: 1}
 
 
 # 1: top-k
