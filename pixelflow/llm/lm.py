@@ -6,6 +6,11 @@ in ranges of the key space and broadcast; a count is read by probing level after
 until one is missing. Probabilities are interpolated: P(w | h) = L * c(hw) / c(h) + (1 - L) * P(w | h'),
 with h' the shorter history; histories that never occurred leave it to h'. The unigrams are exact.
 
+A training text is part of what it is scored by, so `loo_score` leaves its own counts out: the same
+probabilities with the text's own occurrences taken from every count, history and total (not under 0;
+n-gram counts as the filter reads them). For held-out texts it is `score`. `loo_mean`, it by tokens, tells texts that occur
+once from those that occur again elsewhere.
+
 Both broadcasts are checked: the exact unigram table against `max_table` and the filter against
 `max_filter` bytes. Beyond a limit the same filter is probed range by range, each range where its keys
 are, and unigrams and readings meet the tokens by joins (`joined`): of any size, more slowly. The
@@ -104,15 +109,15 @@ def _slots(keys: np.ndarray, level: int, probe: int) -> np.ndarray:
     return W.mix(keys + np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def segment(keys: np.ndarray, counts: np.ndarray, bits: int = BITS_PER_ENTRY) -> bytes:
     """The filter's bits for one range of keys."""
     levels = level_of(counts)
-    bits = max(64, int(levels.sum()) * BITS_PER_ENTRY // 8 * 8 + 8)
-    out = np.zeros(bits, bool)
+    size = max(64, int(levels.sum()) * bits // 8 * 8 + 8)
+    out = np.zeros(size, bool)
     for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
         own = keys[levels >= level]
         for probe in range(PROBES):
-            out[(_slots(own, level, probe) % np.uint64(bits)).astype(np.int64)] = True
+            out[(_slots(own, level, probe) % np.uint64(size)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
@@ -156,34 +161,52 @@ def value_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.where(levels == 1, 1.0, 0.75 * np.exp2(levels.astype(np.float64)) - 0.5), 0.0)
 
 
+def _counted_once(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, each token's number among them, and how often its text has its key."""
+    unique, back = np.unique(keys, return_inverse=True)
+    _, place, times = np.unique(doc * max(1, len(unique)) + back, return_inverse=True, return_counts=True)
+    return unique, back, times[place]
+
+
+def _before(values: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """For every token the value of the token before it, start for a text's first one."""
+    out = np.empty(len(values), np.float64)
+    out[1:] = values[:-1]
+    out[first[:-1]] = start
+    return out
+
+
 class Model:
     def __init__(self, order: int, total: int, distinct: int, documents: int, keys: np.ndarray, counts: np.ndarray, filters: dict[int, Filter], weight: float):
         self.order, self.total, self.distinct, self.documents, self.weight = order, total, distinct, documents, weight
         self.keys, self.counts, self.filters = keys, counts, filters
 
-    def score(self, data: np.ndarray, offsets: np.ndarray):
-        """Of each text: n_tokens, n_known, base score, score."""
+    def score(self, data: np.ndarray, offsets: np.ndarray, held: np.ndarray):
+        """Of each text: n_tokens, n_known, base score, score, loo score; held: which texts the counts leave out."""
         t = tokens(data, offsets)
-        unique, back = np.unique(t.hash, return_inverse=True)
+        n_tokens = np.diff(t.first)
+        doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
+        inside = ~held[doc]
+        unique, back, own = _counted_once(t.hash, doc)
         c = np.zeros(len(unique), np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
             c = np.where(self.keys[at] == unique, self.counts[at].astype(np.int64), 0)
         c = c[back]
+        rest = c - own * inside
         p = (c + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        base = np.log10(p)
-        history = np.empty(len(c), np.float64)
-        history[1:] = c[:-1]
-        history[t.first[:-1]] = self.documents
+        loo = (rest + 0.1) / (self.total - n_tokens[doc] * inside + 0.1 * (self.distinct + 1))
+        base, known = np.log10(p), c > 0
+        history, loo_history = _before(c, t.first, self.documents), _before(rest, t.first, self.documents - ~held)
         for n in range(2, self.order + 1):
-            own = self.filters[n].counts(t.grams(n))
-            p = interpolated(p, own, history, self.weight)
-            if n < self.order:
-                history = np.empty(len(c), np.float64)
-                history[1:] = own[:-1]
-                history[t.first[:-1]] = 0  # a text's first token has one history alone
-        sums = lambda x: np.add.reduceat(x, t.first[:-1]) if len(t.first) > 1 else x[:0]  # noqa: E731  every text has a token
-        return np.diff(t.first), sums((c > 0).astype(np.int64)), sums(base), sums(np.log10(p))
+            unique, back, own = _counted_once(t.grams(n), doc)
+            c = self.filters[n].counts(unique)[back]
+            rest = np.maximum(0.0, c - own * inside)
+            p, loo = interpolated(p, c, history, self.weight), interpolated(loo, rest, loo_history, self.weight)
+            if n < self.order:  # a text's first token has one history alone
+                history, loo_history = _before(c, t.first, 0), _before(rest, t.first, 0)
+        sums = lambda x: np.add.reduceat(x, t.first[:-1]) if len(n_tokens) else x[:0]  # noqa: E731  every text has a token
+        return n_tokens, sums(known.astype(np.int64)), sums(base), sums(np.log10(p)), sums(np.log10(loo))
 
 
 def interpolated(lower: np.ndarray, own: np.ndarray, history: np.ndarray, weight: float) -> np.ndarray:
@@ -192,25 +215,25 @@ def interpolated(lower: np.ndarray, own: np.ndarray, history: np.ndarray, weight
     return np.where(seen, weight * share + (1 - weight) * lower, lower)
 
 
-SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("loo_score", T.DoubleType()), T.StructField("loo_mean", T.DoubleType())])
 
 
-def _ngrams(docs: DataFrame, order: int, scratch: Scratch, buckets: int) -> DataFrame:
+def _ngrams(docs: DataFrame, order: int, scratch: Scratch, buckets: int, bits: int) -> DataFrame:
     """PARTS of the training documents: exact unigrams and the filter's segments, by ranges of keys."""
 
     def part(kind, bucket, keys, counts):
-        blob = (C.planes(keys), C.planes(counts.astype("<u8"))) if kind == 1 else (segment(keys, counts), b"")
+        blob = (C.planes(keys), C.planes(counts.astype("<u8"))) if kind == 1 else (segment(keys, counts, bits), b"")
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([blob[0]], pa.binary()), pa.array([blob[1]], pa.binary()), pa.array([int(level_of(counts).sum())], pa.int64())], names=PARTS.names)
 
     return scratch.save(C.reduced(_counted(docs, order, buckets), PARTS, part), "ngrams")
 
 
-def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: int = 160 << 20, max_filter: int = 256 << 20) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row."""
+def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: int = 160 << 20, max_filter: int = 256 << 20, bits: int = BITS_PER_ENTRY) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, loo_score, loo_mean) of every document row."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     buckets = 4 * partitions(spark)
-    parts = _ngrams(docs, order, scratch, buckets)
+    parts = _ngrams(docs, order, scratch, buckets, bits)
     sizes = {r["kind"]: r for r in parts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.length("keys")).alias("bytes")).collect()}
     total, distinct = (sizes[1]["total"], sizes[1]["n"]) if 1 in sizes else (0, 0)
     if distinct * 16 > max_table or sum(r["bytes"] for k, r in sizes.items() if k > 1) > max_filter:
@@ -232,8 +255,8 @@ def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: i
         own = model.value
         for frame in frames:
             for part, data, offsets in W.pieces(frame, "text", 1 << 20):
-                n, known, base, score = own.score(data, offsets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), own.total), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=SCORED.names)
+                n, known, *sums = own.score(data, offsets, part.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), own.total), pa.int64()), *(pa.array(x, pa.float64()) for x in (*sums, sums[-1] / n))], names=SCORED.names)
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCORED)
 
@@ -280,7 +303,7 @@ def _readings(docs: DataFrame, parts: DataFrame, order: int, buckets: int) -> Da
     return keys.groupBy("kind", "bucket").cogroup(parts.where("kind > 1").select("kind", "bucket", "keys").groupBy("kind", "bucket")).applyInArrow(probe, READINGS)
 
 
-def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataFrame | None = None) -> DataFrame:
+def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataFrame | None = None, bits: int = BITS_PER_ENTRY) -> DataFrame:
     """The same columns by joins, for tables of any size; n-gram counts are read from the same filter, range by range.
 
     One row stands for each distinct (text, n-gram with its lower orders); counts meet it by joins on
@@ -290,13 +313,14 @@ def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataF
     scratch = Scratch(spark)
     buckets = 4 * partitions(spark)
     if parts is None:
-        parts = _ngrams(docs, order, scratch, buckets)
+        parts = _ngrams(docs, order, scratch, buckets, bits)
     uni = scratch.save(_unigrams(parts), "unigrams")
     readings = scratch.save(_readings(docs, parts, order, buckets), "readings")
     total, distinct = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     documents = uni.where(F.col("key") == int(np.array(END).view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    names = ["w", "h", *(f"g{n}" for n in range(2, order + 1))]
-    kind = T.StructType([T.StructField("row", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in names), *(T.StructField(f"h{n}", T.LongType()) for n in range(3, order + 1)), T.StructField("tf", T.LongType())])
+    names = ["w", "h", *(f"g{n}" for n in range(2, order + 1)), *(f"h{n}" for n in range(3, order + 1))]
+    times = [f"t_{x}" for x in names]  # how often the text itself has a key; 0 in held-out texts
+    kind = T.StructType([T.StructField("row", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in (*names, *times, "size", "tf"))])
 
     def run(frames):
         from pyspark import TaskContext
@@ -309,7 +333,12 @@ def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataF
                 before = np.empty_like(t.hash)
                 before[1:] = t.hash[:-1]
                 before[t.first[:-1]] = BEGIN
-                cells = [t.hash, before, *(t.grams(n) for n in range(2, order + 1)), *(t.histories(n) for n in range(3, order + 1))]
+                inside = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[doc]
+                grams = {n: t.grams(n) for n in range(2, order + 1)}
+                own = {n: (_counted_once(x, doc)[2] * inside).astype(np.float64) for n, x in ((1, t.hash), *grams.items())}
+                cells = [t.hash, before, *grams.values(), *(t.histories(n) for n in range(3, order + 1))]
+                counts = [own[1], _before(own[1], t.first, 0), *(own[n] for n in grams), *(_before(own[n - 1], t.first, 0) for n in range(3, order + 1))]
+                cells += [x.astype(np.uint64) for x in (*counts, np.diff(t.first)[doc] * inside)]
                 unique, tf = np.unique(np.column_stack([doc.astype(np.uint64), *cells]), axis=0, return_counts=True)
                 d = unique[:, 0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{seq + x}" for x in d.tolist()]), part.column("doc_id").cast(pa.int64()).take(pa.array(d)), part.column("held_out").take(pa.array(d)), *(pa.array(unique[:, k + 1].copy().view(np.int64), pa.int64()) for k in range(len(cells))), pa.array(tf, pa.int64())], names=kind.names)
@@ -317,9 +346,18 @@ def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataF
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, kind)
     rows = rows.join(uni.select(F.col("key").alias("w"), F.col("c").alias("cw")), "w", "left").join(uni.select(F.col("key").alias("h"), F.col("c").alias("ch")), "h", "left")
-    lower = (F.coalesce("cw", F.lit(0)) + 0.1) / (F.lit(float(total)) + 0.1 * (distinct + 1))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rest = lambda value, own: F.greatest(F.lit(0.0), value - F.col(f"t_{own}"))
+    lower = (zero("cw") + 0.1) / (F.lit(float(total)) + 0.1 * (distinct + 1))
     base, p = F.log10(lower), lower
-    history = F.when(F.col("h") == int(np.array(BEGIN).view(np.int64)), F.lit(documents)).otherwise(F.coalesce("ch", F.lit(0)))
+    loo = (zero("cw") - F.col("t_w") + 0.1) / (F.lit(float(total)) - F.col("size") + 0.1 * (distinct + 1))
+    begins = F.col("h") == int(np.array(BEGIN).view(np.int64))
+    history = F.when(begins, F.lit(documents)).otherwise(zero("ch"))
+    loo_history = F.when(begins, F.lit(documents) - (~F.col("held_out")).cast("long")).otherwise(zero("ch") - F.col("t_h"))
+
+    def mixed(p, own, history):
+        return F.when(history > 0, weight * F.least(F.lit(1.0), own / F.when(history > 0, history)) + (1 - weight) * p).otherwise(p)
+
     for n in range(2, order + 1):
         table = readings.where(F.col("n") == n)
         rows = rows.join(table.select(F.col("key").alias(f"g{n}"), F.col("v").alias(f"v{n}")), f"g{n}", "left")
@@ -327,7 +365,9 @@ def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataF
             less = readings.where(F.col("n") == n - 1).select(F.col("key").alias(f"h{n}"), F.col("v").alias(f"hv{n}"))
             rows = rows.join(less, f"h{n}", "left")
             history = F.coalesce(f"hv{n}", F.lit(0.0))
+            loo_history = rest(history, f"h{n}")
         own = F.coalesce(f"v{n}", F.lit(0.0))
-        p = F.when(history > 0, weight * F.least(F.lit(1.0), own / F.when(history > 0, history)) + (1 - weight) * p).otherwise(p)
-    each = rows.select("row", "doc_id", "held_out", "tf", (F.col("tf") * (F.coalesce("cw", F.lit(0)) > 0).cast("long")).alias("known"), (F.col("tf") * base).alias("b"), (F.col("tf") * F.log10(p)).alias("s"))
-    return each.groupBy("row", "doc_id", "held_out").agg(F.sum("tf").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.sum("b").alias("base_score"), F.sum("s").alias("score")).drop("row")
+        p, loo = mixed(p, own, history), mixed(loo, rest(own, f"g{n}"), loo_history)
+    each = rows.select("row", "doc_id", "held_out", "tf", (F.col("tf") * (zero("cw") > 0).cast("long")).alias("known"), *((F.col("tf") * x).alias(c) for c, x in (("b", base), ("s", F.log10(p)), ("l", F.log10(loo)))))
+    found = each.groupBy("row", "doc_id", "held_out").agg(F.sum("tf").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.sum("b").alias("base_score"), F.sum("s").alias("score"), F.sum("l").alias("loo_score"))
+    return found.drop("row").withColumn("loo_mean", F.col("loo_score") / F.col("n_tokens"))

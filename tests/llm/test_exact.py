@@ -457,23 +457,84 @@ def test_contexts_discover(spark):
 # 7: language model
 
 
+def lm_corpus(seed, n, words):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choices([f"W{k}" for k in range(words)], k=i % 40)) for i in range(n)] + [None, ""]
+    return texts + texts[5:25]
+
+
+def brute_scores(texts, order, own_counts):
+    """All columns by dictionaries; own_counts: read a count as the filter's levels would without false positives."""
+    tokens = {i: re.findall("[^\x20\x09-\x0d]+", lower(t)) + [None] for i, t in enumerate(texts, 1)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    padded = {i: ["<"] * (order - 1) + own for i, own in tokens.items()}
+    grams = lambda i, n: [tuple(padded[i][k - n + 1 : k + 1]) for k in range(order - 1, len(padded[i]))]
+    c = {n: collections.Counter(g for i in tokens if not held[i] for g in grams(i, n)) for n in range(1, order + 1)}
+    total, v, documents = sum(c[1].values()), len(c[1]), sum(not h for h in held.values())
+    out = {}
+    for i, own in tokens.items():
+        base = score = loo = 0.0
+        mine = {n: collections.Counter(grams(i, n)) if not held[i] else collections.Counter() for n in range(1, order + 1)}
+        for k in range(len(own)):
+            g = {n: grams(i, n)[k] for n in range(1, order + 1)}
+            p = (c[1][g[1]] + 0.1) / (total + 0.1 * (v + 1))
+            q = (c[1][g[1]] - mine[1][g[1]] + 0.1) / (total - (0 if held[i] else len(own)) + 0.1 * (v + 1))
+            base += math.log10(p)
+            for n in range(2, order + 1):
+                h, hl = (documents, documents - (not held[i])) if k == 0 else (0, 0)
+                if k and n == 2:
+                    before = grams(i, 1)[k - 1]
+                    h, hl = c[1][before], c[1][before] - mine[1][before]
+                elif k:
+                    before = grams(i, n - 1)[k - 1]
+                    h = own_counts(c[n - 1][before])
+                    hl = max(0.0, h - mine[n - 1][before])
+                elif n > 2:
+                    h = hl = 0
+                x = own_counts(c[n][g[n]])
+                y = max(0.0, x - mine[n][g[n]])
+                p = lm.WEIGHT * min(1, x / h) + (1 - lm.WEIGHT) * p if h > 0 else p
+                q = lm.WEIGHT * min(1, y / hl) + (1 - lm.WEIGHT) * q if hl > 0 else q
+            score, loo = score + math.log10(p), loo + math.log10(q)
+        out[i] = (held[i], len(own), sum(c[1][(x,)] > 0 for x in own), total, base, score, loo, loo / len(own))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_equal_brute_force(spark, order):
+    """With a filter so large that it has no false positives here, every column, on both ways."""
+    texts = lm_corpus(3, 120, 30)
+    want = brute_scores(texts, order, lambda c: float(lm.value_of(lm.level_of(np.array([c])))[0]) if c else 0.0)
+    for how in ({}, {"max_filter": 1}):
+        got = {r.doc_id: r for r in lm.scores(frame(spark, texts), order=order, bits=4000, **how).collect()}
+        assert got.keys() == want.keys()
+        for i, own in want.items():
+            assert tuple(got[i])[1:5] == own[:4] and tuple(got[i])[5:] == pytest.approx(own[4:], rel=1e-9), i
+
+
 def test_base_scores_and_both_ways(spark):
-    texts = [" ".join(random.Random(i).choices([f"W{k}" for k in range(30)], k=i % 40)) for i in range(200)] + [None, ""]
+    texts = lm_corpus(0, 200, 30)
     docs = frame(spark, texts)
     got = {r.doc_id: r for r in lm.scores(docs).collect()}
     other = {r.doc_id: r for r in lm.joined(docs).collect()}
-    tokens = {i: re.findall("[^\x20\x09-\x0d]+", lower(t)) + [None] for i, t in enumerate(texts, 1)}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
-    c = collections.Counter(x for i in tokens if not held[i] for x in tokens[i])
-    n, v = sum(c.values()), len(c)
-    for i, own in tokens.items():
+    for i, own in brute_scores(texts, 1, float).items():
         r, o = got[i], other[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(own), sum(c[x] > 0 for x in own), n) == (o.held_out, o.n_tokens, o.n_known, o.train_tokens)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in own)) == pytest.approx(o.base_score)
-        assert r.score == pytest.approx(o.score, rel=0.1)
+        assert tuple(r)[1:5] == own[:4] == tuple(o)[1:5]
+        assert r.base_score == pytest.approx(own[4]) == pytest.approx(o.base_score)
+        assert tuple(r)[6:] == pytest.approx(tuple(o)[6:], rel=1e-9)
+        assert not r.held_out or r.loo_score == pytest.approx(r.score)
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
-    assert {r.doc_id: r.n_tokens for r in lm.scores(docs, order=3).collect()} == {i: len(t) for i, t in tokens.items()}
-    assert lm.scores(docs, max_filter=1).count() == len(texts)
+    assert {r.doc_id: r.n_tokens for r in lm.scores(docs, order=3).collect()} == {r.doc_id: r.n_tokens for r in got.values()}
+
+
+def test_texts_that_occur_again_stand_apart(spark):
+    rng = random.Random(8)
+    once = [" ".join(rng.choices([f"w{k}" for k in range(3000)], k=60)) for _ in range(300)]
+    got = {r.doc_id: r for r in lm.scores(frame(spark, once + once[:30])).collect()}
+    low = max(r.loo_mean for i, r in got.items() if 30 < i <= 300)
+    held = {i for i, r in got.items() if r.held_out}
+    twice = [i for i in range(1, 31) if not {i, i + 300} <= held]
+    assert all(got[i].loo_mean > low for i in twice if i + 300 not in held) and all(got[i + 300].loo_mean > low for i in twice if i not in held)
 
 
 def test_scores_do_not_depend_on_the_limits(spark):
