@@ -717,11 +717,11 @@ def test_decontamination(spark):
     docs = frame(spark, texts)
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.hits(docs, bench).collect()}
     assert got == {1: (16, 14, ["1"], True), 2: (413, 13, ["1"], False), 3: (5, 3, ["2"], True), 4: (0, 0, [], False), 5: (0, 0, [], False), 6: (12, 0, [], False), 7: (400, 0, [], False)}
-    parts = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.hits(docs, bench, max_windows=1).collect()}
+    parts = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.hits(docs, bench, part_bytes=1).collect()}
     assert parts == got
     both = decontam.hits(frame(spark, [" ".join(words[:20])]), bench).first()
     assert both["items"] == ["1", "10"] and both.n_hit == 20
-    assert {r.doc_id for r in decontam.remove_documents(docs, bench).collect()} == {2, 4, 5, 6, 7} == {r.doc_id for r in decontam.remove_documents(docs, bench, max_windows=1).collect()}
+    assert {r.doc_id for r in decontam.remove_documents(docs, bench).collect()} == {2, 4, 5, 6, 7} == {r.doc_id for r in decontam.remove_documents(docs, bench, part_bytes=1).collect()}
     spans = {r.doc_id: r.text for r in decontam.remove_spans(docs, bench).collect()}
     assert spans[1] == "A  z" and spans[3] == "so  now" and spans[7] == filler and spans[4] is None
     odd_docs = odd(spark)
@@ -729,16 +729,48 @@ def test_decontamination(spark):
     assert decontam.digest(odd_docs.limit(0), bench).count() == 0
 
 
+def brute_hits(texts, items):
+    pattern, out = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", []
+    own = [(i, re.findall(pattern, lower(t))) for i, t in items]
+    grams = [(str(i), min(13, len(w)), {tuple(w[k : k + min(13, len(w))]) for k in range(max(0, len(w) - 12) or 1)}) for i, w in own if w]
+    for t in texts:
+        w = re.findall(pattern, lower(t))
+        hit, found = set(), set()
+        for i, n, g in grams:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in g:
+                    hit |= set(range(k, k + n))
+                    found.add(i)
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_hits_equal_brute_force(monkeypatch, flat):
+    """Also with all hashes of windows equal: then bytes alone decide."""
+    rng = random.Random(4)
+    words = [f"v{i}" for i in range(4)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 2, 5, 12, 13, 14, 20])))) for i in range(12)] + [(3, "V1 v2, v3"), (20, doubled()[0])]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(30)] + [items[k][1] + " zz" for k in range(12)] + [doubled()[1], doubled()[0].upper(), None]
+    if flat:
+        real = W.grams
+        monkeypatch.setattr(W, "grams", lambda w, n: (np.zeros(len(real(w, n)[0]), np.uint64), real(w, n)[1]))
+    index = decontam.Index([(str(i), t) for i, t in items])
+    found, hit, pairs = index.scan(*W.text_bytes(pa.array(texts)))
+    got = [(int(b - a), int(hit[a:b].sum()), sorted({index.ids[i] for d, i in pairs if d == k})) for k, (a, b) in enumerate(zip(found.first[:-1], found.first[1:], strict=True))]
+    assert got == brute_hits(texts, items)
+
+
 def test_parts_of_a_benchmark_are_joined_by_row(spark):
     w = [f"t{i}" for i in range(60)]
     bench = spark.createDataFrame([(1, " ".join(w[:20])), (1, " ".join(w[30:50])), (2, " ".join(w[10:24])), (None, " ".join(w[30:44]))], "item_id long, text string")
     texts = [" ".join(w[:24]), " ".join(w[:24]), " ".join(w[30:54]), " ".join(f"f{i}" for i in range(24)), "x " + " ".join(w[:50]) + " y"]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip((7, 7, None, 7, None), texts, strict=True)], DOCS)
     rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
-    one, many = decontam.hits(docs, bench), decontam.hits(docs, bench, max_windows=1)
+    one, many = decontam.hits(docs, bench), decontam.hits(docs, bench, part_bytes=1)
     assert rows(one) == rows(many) and one.count() == 5
     assert rows(one.select("doc_id", "n_hit", "items")) == sorted([(7, 24, ["1", "2"]), (7, 24, ["1", "2"]), (None, 20, ["1"]), (7, 0, []), (None, 44, ["1", "2"])], key=str)
-    for how in ({}, {"max_windows": 1}):
+    for how in ({}, {"part_bytes": 1}):
         kept = decontam.remove_documents(docs, bench, **how)
         assert kept.columns == docs.columns and [r.text for r in kept.collect()] == [texts[3]]
         spans = decontam.remove_spans(docs, bench, **how)
