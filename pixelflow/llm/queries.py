@@ -77,17 +77,47 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
-ORACLES["op5_url_rules"] = r"""
-WITH RECURSIVE u AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, coalesce(regexp_extract(url, '^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1, 's'), '') AS query FROM pages),
-p AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM u),
-tags AS (SELECT host, path, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*')) AS tag FROM p WHERE node IS NOT NULL),
-hrefs AS (SELECT host, path, node, replace(CASE WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END, '&amp;', '&') AS t FROM tags),
-full_urls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t WHEN starts_with(t, '/') THEN 'x://' || host || t WHEN starts_with(t, '?') THEN 'x://' || host || path || t
-WHEN regexp_matches(t, '^#|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE 'x://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS t FROM hrefs WHERE t <> ''),
-split AS (SELECT node, translate(regexp_extract(t, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(t, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS q, regexp_extract(t, '^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1, 's') AS k FROM full_urls WHERE t IS NOT NULL),
-e AS (SELECT DISTINCT node AS a, h || CASE WHEN q = '' THEN '/' ELSE q END || k AS b FROM split WHERE h <> ''),
+
+def _sql_part(url: str, k: int) -> str:
+    tail = (r"([^/?#]*)", r"[^/?#]*([^?#]*)", r"[^/?#]*[^?#]*(\?[^#]*)")[k]
+    found = f"coalesce(regexp_extract({url}, '^.*?://{tail}', 1, 's'), '')"
+    return f"translate({found}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if k == 0 else found
+
+
+def _sql_plain(path: str) -> str:
+    """A path without dot segments."""
+    step = "lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END"
+    rebuilt = rf"list_reduce(list_prepend('', string_split({path}, '/')[2:]), {step}) || CASE WHEN regexp_matches({path}, '/\.\.?$') THEN '/' ELSE '' END"
+    return rf"CASE WHEN regexp_matches({path}, '/\.\.?(/|$)') THEN {rebuilt} WHEN {path} = '' THEN '/' ELSE {path} END"
+
+
+def _sql_resolved(target: str, host: str, path: str) -> str:
+    folder = f"regexp_replace({path}, '[^/]*$', '')"
+    return f"""CASE WHEN {target} = '' THEN NULL WHEN contains({target}, '://') THEN {target} WHEN starts_with({target}, '//') THEN 'x:' || {target} WHEN starts_with({target}, '/') THEN 'x://' || {host} || {target}
+WHEN starts_with({target}, '?') THEN 'x://' || {host} || {path} || {target} WHEN regexp_matches({target}, '^#|^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE 'x://' || {host} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {target} END"""
+
+
+def _sql_attribute(tag: str, name: str) -> str:
+    found = rf"""regexp_extract({tag}, '(?i)[\s/"'']{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]*)', 1)"""
+    return rf"""trim({found}, E' \t\n\r\f"\'')"""
+
+
+_AMPERSANDS = "'(?i)&(?:amp|#38|#x26);', '&', 'g'"
+
+ORACLES["op5_url_rules"] = rf"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, {_sql_part('url', 0)} AS host, {_sql_part('url', 1)} AS path, {_sql_part('url', 2)} AS query FROM pages),
+p AS (SELECT *, CASE WHEN host <> '' THEN host || {_sql_plain('path')} || query END AS node FROM u),
+lists AS (SELECT host, path, node, regexp_extract_all(html, '(?i)<(?:link|meta|base)[\s/"''][^<>]*') AS tags FROM p WHERE node IS NOT NULL),
+bases AS (SELECT *, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base')), lambda t: {_sql_attribute('t', 'href')}), lambda h: h <> '')[1] AS base FROM lists),
+based AS (SELECT host, path, node, tags, regexp_replace(base, {_AMPERSANDS}) AS base FROM bases),
+against AS (SELECT node, tags, coalesce({_sql_resolved('base', 'host', 'path')}, 'x://' || host || path) AS against FROM based),
+named AS (SELECT node, {_sql_part('against', 0)} AS host, {_sql_part('against', 1)} AS path, unnest(tags) AS tag FROM against),
+raw AS (SELECT node, host, path, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(lower({_sql_attribute('tag', 'rel')}), '(^|\s)canonical(\s|$)') THEN {_sql_attribute('tag', 'href')}
+WHEN regexp_matches(tag, '(?i)^<meta') AND lower({_sql_attribute('tag', 'http-equiv')}) = 'refresh' THEN regexp_extract({_sql_attribute('tag', 'content')}, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END AS t FROM named),
+hrefs AS (SELECT node, host, path, regexp_replace(t, {_AMPERSANDS}) AS t FROM raw WHERE t <> ''),
+full_urls AS (SELECT node, {_sql_resolved('t', 'host', 'path')} AS t FROM hrefs),
+split AS (SELECT node, {_sql_part('t', 0)} AS h, {_sql_part('t', 1)} AS q, {_sql_part('t', 2)} AS k FROM full_urls WHERE t IS NOT NULL),
+e AS (SELECT DISTINCT node AS a, h || {_sql_plain('q')} || k AS b FROM split WHERE h <> ''),
 sym AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 reach AS (SELECT DISTINCT a AS n, a AS r FROM sym UNION SELECT sym.b, reach.r FROM reach JOIN sym ON reach.n = sym.a),
 cls AS (SELECT n, min(r) AS c FROM reach GROUP BY n),

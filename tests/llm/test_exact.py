@@ -413,6 +413,44 @@ def test_urls(spark):
     assert urlfilter.digest(pages.limit(0)).count() == 0
 
 
+LINKS = [
+    ("http://a.com/en/1/x", "<link rel=canonical href='../y'>", "a.com/en/y"), ("http://a.com/en/1/x", "<link rel=canonical href=./z/./..>", "a.com/en/1/"), ("http://a.com/b/c", "<base href='/d/e/'><link rel='nofollow Canonical' href=f>", "a.com/d/e/f"),
+    ("http://a.com/b/c", '<link href="g" rel="canonical"><base href="http://B.org/h/">', "b.org/h/g"), ("http://a.com/x", "<link rel=canonical href='/s?a=1&#38;b=2&#x26;c=3&AMP;d=4'>", "a.com/s?a=1&b=2&c=3&d=4"),
+    ("http://a.com/b/c?q=1", "<META HTTP-EQUIV=Refresh content=\"5;URL='?r=2'\">", "a.com/b/c?r=2"), ("http://a.com/b/../c", "<link rel=canonical href='/../../d/../e/..'>", "a.com/"), ("http://a.com/b", "<link data-rel=canonical href=/no><link rel=canonical href='#top'>", None),
+    ("http://a.com/b", "<link rel=canonical href=mailto:x><link rel=canonicals href=/no><meta http-equiv=refresh content=5>", None), ("http://a.com", "<link\nrel = 'canonical'\nhref = ' /t '>", "a.com/t"),
+]
+
+
+def test_links_of_pages(spark):
+    import duckdb
+
+    from pixelflow.llm import queries
+
+    for url, html, want in LINKS:
+        pages = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+        assert [r.b for r in urlfilter.edges(pages).collect()] == ([want] if want else []), html
+    # a page at each target, blocked by its class, in the SQL twin too
+    rows = [(i, url, html) for i, (url, html, _) in enumerate(LINKS)] + [(50 + i, f"http://{want}", "<link rel=canonical href=http://z.com/en/1>") for i, (_, _, want) in enumerate(LINKS) if want]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    twin = con.sql(queries.ORACLES["op5_url_rules"])
+    got = {r.page_id: r.asDict() for r in urlfilter.digest(pages).collect()}
+    assert got == {r[0]: dict(zip(twin.columns, r, strict=True)) for r in twin.fetchall()}
+    assert {got[i]["verdict"] for i, (_, _, want) in enumerate(LINKS) if want} == {"block"}
+
+
+def test_crafted_html_takes_linear_time(spark):
+    import time
+
+    for piece in ("<link ", "<meta content=", "<link rel=", "<link rel=canonical href=x ", "<meta http-equiv=refresh content='url url=", "canonical "):
+        pages = spark.createDataFrame([(1, "http://a.com/", piece * ((1 << 20) // len(piece)) + "<link rel=canonical>")], "page_id long, url string, html string").cache()
+        pages.count()
+        began = time.perf_counter()
+        urlfilter.edges(pages).count()
+        assert time.perf_counter() - began < 8, piece
+
+
 # 6: personal data
 
 
