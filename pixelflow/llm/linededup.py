@@ -11,7 +11,7 @@ their lines. Only chunks of a repeated stretch of two lines or more, or with a l
 lone short lines, such as licences and footers, stay.
 
 Defined results: null texts stay null and empty ones empty; texts without repeated lines keep every byte; rows with equal
-doc_id and text are one document and all keep what it keeps; null doc_ids come first; blank lines are never counted;
+doc_id and text are one document and all keep what it keeps; null doc_ids count as -2**63, and so come first; blank lines are never counted;
 other columns, whatever their names, are kept as they are.
 """
 
@@ -25,6 +25,7 @@ from .common import Scratch
 WINDOW = 3
 DIVISOR = 8
 MIN_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]++"
 BLANKS = " \t\r"
 
 _KEY = ("did", "th")
@@ -40,8 +41,8 @@ def _lines(keyed: DataFrame) -> DataFrame:
     numbered = F.transform(F.split("body", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     full = F.filter(numbered, lambda s: F.btrim(s["x"], F.lit(BLANKS)) != "")
     rows = keyed.where("body is not null").select(*_KEY, F.posexplode(full).alias("nb", "s"))
-    spaces = F.length("s.x") - F.length(F.replace("s.x", F.lit(" ")))
-    return rows.select(*_KEY, "nb", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h"), (spaces >= MIN_WORDS).alias("wide"))
+    wide = F.when(F.length("s.x") > 2 * MIN_WORDS, F.regexp_count("s.x", F.lit(WORD)) > MIN_WORDS).otherwise(False)  # so many words have that many characters
+    return rows.select(*_KEY, "nb", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h"), wide.alias("wide"))
 
 
 def _chunks(lines: DataFrame, scratch: Scratch) -> DataFrame:

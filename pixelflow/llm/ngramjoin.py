@@ -18,7 +18,7 @@ Pairs of one component are never needed again, so a group of near copies costs i
 
 Defined results: null, empty and word-free texts have an empty set, n_shingles 0 and their own component; a null doc_id
 has a null component and links with nothing; doc_id is taken as unique: rows that repeat it each appear, with the least component of them all;
-other columns, whatever their names, are kept by `keep_one`. Hashes stand for shingles: of two texts
+other columns, whatever their names, are kept by `keep_one`. 64-bit hashes (`words.hashed`, not linear in the bytes) stand for shingles: of two texts
 with 1,000 shingles each, one pair in about 10**13 would gain a false match.
 """
 
@@ -380,6 +380,17 @@ def groups(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N) -> DataFrame:
-    """docs, in their own columns, without those that link to a component of a smaller doc_id."""
-    gone = groups(docs, n).where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """docs, in their own columns, with one row of each component: that of the least doc_id (null after all others).
+
+    Rows without words link with nothing, so all of them stay. Where doc_ids repeat or are null, rows get keys of their own first.
+    """
+    row = "_ngramjoin_row"
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        gone = groups(docs, n).where("component_id <> doc_id").select(F.col("doc_id").alias(row))
+        return docs.join(gone, docs["doc_id"] == gone[row], "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    keyed = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = groups(keyed.select(F.col(row).alias("doc_id"), "text"), n).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))
+    least = scratch.save(found.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order)[row].alias(row)), "least")
+    return keyed.join(least.select(row), row, "left_semi").select(*docs.columns)

@@ -2,7 +2,7 @@
 
 A file is a sequence of segments; a segment is one binary value, holds whole documents, and is
 
-    magic "PFB1" | n documents u32 | n ids u32 | n blocks u32
+    magic "PFB2" | n documents u32 | n ids u32 | n blocks u32 | documents without a doc_id u32, which come first
     doc_id of each document i64 | its n_tokens u32
     index: start of each block's packed words u32, and of its exceptions u32
     width of each block u8 | exceptions of each block u8 | minimum of each block u32
@@ -32,7 +32,7 @@ from . import bpe
 from . import words as W
 from .common import Scratch, partitions
 
-MAGIC = b"PFB1"
+MAGIC = b"PFB2"
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT = 1 << 18  # ids in a segment, unless one document has more
@@ -44,7 +44,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.frexp(x.astype(np.float64))[1], 0).astype(np.int64)
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
+def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, nulls: int = 0) -> bytes:
     """One segment."""
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -74,7 +74,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
                 if shift + w > 64:
                     out[:, at + 1] |= cells[:, k] >> np.uint64(64 - shift)
             packed[(words_at[own].astype(np.int64)[:, None] + np.arange(2 * int(w))).ravel()] = out.ravel()
-    head = np.array([len(doc_ids), n, blocks], "<u4").tobytes()
+    head = np.array([len(doc_ids), n, blocks, nulls], "<u4").tobytes()
     return b"".join([MAGIC, head, doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), words_at[:-1].tobytes(), except_at[:-1].tobytes(), width.astype(np.uint8).tobytes(), over.sum(axis=1).astype(np.uint8).tobytes(), low.astype("<u4").tobytes(), packed.astype("<u8").tobytes(), place.astype(np.uint8).tobytes(), values.tobytes()])
 
 
@@ -84,8 +84,8 @@ class Segment:
     def __init__(self, raw: bytes):
         if raw[:4] != MAGIC:
             raise ValueError("not a token segment")
-        docs, self.n, self.blocks = np.frombuffer(raw, "<u4", 3, 4).astype(np.int64)
-        at = 16
+        docs, self.n, self.blocks, self.nulls = np.frombuffer(raw, "<u4", 4, 4).astype(np.int64)
+        at = 20
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -202,16 +202,16 @@ def write(docs: DataFrame, path: str, to: str, segment: int = SEGMENT, added: bo
 
     def run(frames):
         own_codec, shard = library_codec(path, added), TaskContext.get().partitionId()
-        seq = before = size = 0
+        seq = before = size = nulls = 0
         ids_of: list[np.ndarray] = []
         docs_of: list[np.ndarray] = []
         counts_of: list[np.ndarray] = []
 
         def flush():
-            nonlocal seq, before, size
-            blob = pack(np.concatenate(ids_of), np.concatenate(docs_of), np.concatenate(counts_of))
+            nonlocal seq, before, size, nulls
+            blob = pack(np.concatenate(ids_of), np.concatenate(docs_of), np.concatenate(counts_of), nulls)
             out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=SEGMENTS.names)
-            seq, before, size = seq + 1, before + size, 0
+            seq, before, size, nulls = seq + 1, before + size, 0, 0
             ids_of.clear(), docs_of.clear(), counts_of.clear()
             return out
 
@@ -223,7 +223,8 @@ def write(docs: DataFrame, path: str, to: str, segment: int = SEGMENT, added: bo
                 if size and size + len(ids) > segment:
                     yield flush()
                 ids_of.append(ids), counts_of.append(counts)
-                docs_of.append(own.column("doc_id").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
+                docs_of.append(own.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+                nulls += own.column("doc_id").null_count
                 size += len(ids)
         if size:
             yield flush()
@@ -252,7 +253,7 @@ DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sta
 
 
 def _doc_ids(own: Segment) -> pa.Array:
-    return pa.array(own.doc_ids, pa.int64(), mask=own.doc_ids == np.iinfo(np.int64).min)
+    return pa.array(own.doc_ids, pa.int64(), mask=np.arange(len(own.doc_ids)) < own.nulls)
 
 
 def digest(docs: DataFrame, path: str, added: bool = False) -> DataFrame:

@@ -2,14 +2,15 @@
 
 A text's features are its distinct words (letters, digits and non-ASCII characters, lower-cased) and the words'
 first 4 and 5 bytes, hashed to 2 ** BITS places. The chain predicts its categories in order; each model is a
-logistic regression over the most telling features and the earlier categories' log-odds.
+logistic regression over the most telling features and the earlier categories' probabilities.
 Later models are trained with out-of-fold predictions of the earlier ones: for each of FOLDS folds, by models
 fitted to the other folds, feature choice included. At prediction the models of all rows are used.
 
 A text is toxic if the last category's probability is over `threshold`; by default that is the cut with the largest F1
 over the last category's own out-of-fold predictions.
 
-Training uses a bounded sample: the SAMPLE labelled doc_ids of least hash (a parameter); prediction covers every document.
+Training uses a bounded sample (parameters): the SAMPLE labelled doc_ids of least hash, one text each (that of least hash, where a
+doc_id has several), as far as their distinct features number CELLS together. Prediction covers every document.
 
 Defined results: null and empty texts have no features and get the models' intercepts; a doc_id labelled more than once has
 the largest of each label; labels that are null, or without a document, are left out; a category without both kinds of rows has its
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
+from .common import Scratch
 
 SAMPLE = 10_000
+CELLS = 1 << 25  # distinct features of the sample's texts, 4 bytes each, that the driver takes
 BITS = 20
 STEMS = (4, 5)
 FEATURES = 4096
@@ -132,7 +135,7 @@ class Chain:
             for f in range(min(folds, n)):
                 own, rest = fold == f, fold != f
                 held[own] = self._held(doc, feature, y, extra, own, rest)
-            extra = np.column_stack([extra, np.clip(held, -8, 8)])
+            extra = np.column_stack([extra, _sigmoid(held)])
         self.threshold = float(_sigmoid(best_cut(held, y)))
         return self
 
@@ -156,17 +159,18 @@ class Chain:
         for m in self.models:
             logit = m.logit(doc, feature, n, extra)
             out.append(_sigmoid(logit))
-            extra = np.column_stack([extra, np.clip(logit, -8, 8)])
+            extra = np.column_stack([extra, out[-1]])
         return np.column_stack(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -> Chain:
-    """The chain, fitted to at most `sample` labelled doc_ids; their distinct features come to the driver, never texts."""
+def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE, cells: int = CELLS) -> Chain:
+    """The chain, fitted to at most `sample` labelled doc_ids of `cells` features; their distinct features come to the driver, never texts."""
     names = [name for name, _ in chain]
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(*(F.max(F.expr(e)).cast("int").alias(f"label_{k}") for k, (_, e) in enumerate(chain)))
     known = known.where(" and ".join(f"label_{k} is not null" for k in range(len(chain)))).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("label_id"), "text").join(F.broadcast(known), "label_id")  # `sample` rows at most
-    kind = T.StructType([T.StructField("label_id", T.LongType()), T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("f", T.BinaryType())])
+    rows = docs.select(F.col("doc_id").alias("label_id"), "text").join(F.broadcast(known), "label_id")  # `sample` rows at most are broadcast
+    one = rows.groupBy("label_id", *(f"label_{k}" for k in range(len(chain)))).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    kind = T.StructType([T.StructField("label_id", T.LongType()), T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("n", T.LongType()), T.StructField("f", T.BinaryType())])
 
     def run(frames):
         for frame in frames:
@@ -174,9 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
                 doc, feature = features(data, offsets)
                 cuts = np.searchsorted(doc, np.arange(own.num_rows + 1))
                 y = np.column_stack([own.column(f"label_{k}").to_numpy(zero_copy_only=False) for k in range(len(names))])
-                yield pa.RecordBatch.from_arrays([own.column("label_id").cast(pa.int64()), pa.array(y.tolist(), pa.list_(pa.int32())), pa.array([feature[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=kind.names)
+                yield pa.RecordBatch.from_arrays([own.column("label_id").cast(pa.int64()), pa.array(y.tolist(), pa.list_(pa.int32())), pa.array(np.diff(cuts), pa.int64()), pa.array([feature[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=kind.names)
 
-    got = sorted(((r["label_id"], bytes(r["f"]), r["y"]) for r in rows.mapInArrow(run, kind).toLocalIterator()), key=lambda r: r[:2])
+    found = Scratch(docs.sparkSession).save(one.mapInArrow(run, kind), "features")
+    sizes = found.select("label_id", "n", F.xxhash64("label_id").alias("hash")).toPandas().sort_values(["hash", "label_id"])  # `sample` rows at most
+    taken = set(sizes["label_id"][sizes["n"].cumsum() <= cells])
+    got = sorted(((r["label_id"], bytes(r["f"]), r["y"]) for r in found.toLocalIterator() if r["label_id"] in taken), key=lambda r: r[0])
     y = np.array([y for _, _, y in got]).reshape(len(got), len(names))
     doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) // 4 for _, f, _ in got])
     feature = np.frombuffer(b"".join(f for _, f, _ in got), "<u4").astype(np.int32)

@@ -197,6 +197,85 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.remove(docs.limit(0), labels(spark, [0, 1], [1, 1])).count() == 0
 
 
+def brute_chain(texts, ids, y, all_texts):
+    """The chain over dense matrices: features by sets, the same steps written out."""
+    hash_of = lambda b: int(W.split(np.frombuffer(b, np.uint8), np.array([0, len(b)]), W.ALNUM_WORDS).hash[0])
+
+    def places(t):
+        out = set()
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)):
+            b = w.encode()
+            for k in (0, *toxicity.STEMS):
+                if not k or len(b) > k:
+                    out.add(int(W.mix(np.array([hash_of(b[:k] if k else b) + k & (1 << 64) - 1], np.uint64))[0]) >> (64 - toxicity.BITS))
+        return out
+
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    def fit(sets, y, extra):
+        n, ones = len(y), y.sum()
+        names = sorted(set().union(*sets))
+        x = np.array([[f in s for f in names] for s in sets], float).reshape(n, len(names))
+        share = (ones + 0.5) / (n + 1)
+        bias = np.log(share / (1 - share))
+        if not 0 < ones < n:
+            return lambda sets, extra: np.full(len(sets), bias)
+        a, b = x[y > 0].sum(axis=0), x[y == 0].sum(axis=0)
+        z = np.abs(np.log((a + 0.5) / (ones - a + 0.5)) - np.log((b + 0.5) / (n - ones - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        z[a + b < toxicity.LEAST] = 0
+        top = [k for k in sorted(range(len(names)), key=lambda k: (-z[k], names[k]))[: toxicity.FEATURES] if z[k] > 0]
+        x, names = np.column_stack([x[:, top], extra]), [names[k] for k in top]
+        w = np.zeros(x.shape[1] + 1)
+        w[-1] = bias
+        x1 = np.column_stack([x, np.ones(n)])
+        m, s = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, toxicity.STEPS + 1):
+            g = x1.T @ (sig(x1 @ w) - y) + toxicity.RIDGE * np.append(w[:-1], 0)
+            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g**2
+            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+        return lambda sets, extra: np.column_stack([np.array([[f in q for f in names] for q in sets], float).reshape(len(sets), len(names)), extra, np.ones(len(sets))]) @ w
+
+    order = np.argsort(ids)
+    sets, y = [places(texts[k]) for k in order], y[order]
+    every = [places(t) for t in all_texts]
+    fold = np.arange(len(sets)) % toxicity.FOLDS
+    extra, more, out = np.zeros((len(sets), 0)), np.zeros((len(every), 0)), []
+    for k in range(y.shape[1]):
+        full, held = fit(sets, y[:, k], extra), np.zeros(len(sets))
+        for f in range(toxicity.FOLDS):
+            rest = fold != f
+            own = fit([s for s, r in zip(sets, rest, strict=True) if r], y[rest, k], extra[rest])
+            held[~rest] = own([s for s, r in zip(sets, rest, strict=True) if not r], extra[~rest])
+        out.append(sig(full(every, more)))
+        extra, more = np.column_stack([extra, sig(held)]), np.column_stack([more, out[-1]])
+    best = max(sorted(set(held)), key=lambda c: (2 * y[held >= c, -1].sum() / ((held >= c).sum() + y[:, -1].sum()), c))
+    below = held[held < best]
+    return np.column_stack(out), sig(np.array([(best + below.max()) / 2 if len(below) else best - 1e-9]))[0]
+
+
+def test_toxicity_equals_brute_force(spark):
+    texts, toxic, quality = toxic_corpus(120, 5)
+    texts[100:104] = ["", None, "nastya nastyb", "%%% zzz"]
+    known = np.array(random.Random(1).sample(range(100), 70))
+    own = spark.createDataFrame([(int(i) + 1, quality[i], toxic[i]) for i in known], "doc_id long, quality int, toxic int")
+    p, cut = brute_chain([texts[i] for i in known], known, np.array([[1 - quality[i], toxic[i]] for i in known], float), texts)
+    got = {r.doc_id: r for r in toxicity.scores(frame(spark, texts), own).collect()}
+    assert [got[i + 1].p_junk for i in range(len(texts))] == pytest.approx(p[:, 0].tolist(), abs=1e-6)
+    assert [got[i + 1].p_toxic for i in range(len(texts))] == pytest.approx(p[:, 1].tolist(), abs=1e-6)
+    clear = [i for i in range(len(texts)) if abs(p[i, 1] - cut) > 1e-6]
+    assert len(clear) > 110 and all(got[i + 1].toxic == (p[i, 1] > cut) for i in clear)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other words"), (3, "third")], "doc_id long, text string")
+    seen = []
+    real = toxicity.Chain.fit
+    monkeypatch.setattr(toxicity.Chain, "fit", lambda self, doc, feature, y: seen.append(len(y)) or real(self, doc, feature, y))
+    for own, how, want in (([(1, 1, 1)], {"sample": 1}, 1), ([(1, 1, 1), (2, 1, 0), (3, 0, 0)], {}, 3), ([(1, 1, 1), (2, 1, 0), (3, 0, 0)], {"cells": 0}, 0), ([(k, 1, 1) for k in range(1, 4)], {"sample": 2}, 2)):
+        toxicity.train(docs, spark.createDataFrame(own, "doc_id long, quality int, toxic int"), **how)
+        assert seen.pop() == want
+
+
 # 3 and 10: token ids
 
 
@@ -264,21 +343,21 @@ def test_token_files(spark, monkeypatch):
 
     library = Tokenizer.from_file(JSON)
     library.encode_special_tokens = True
-    docs = odd(spark).where("doc_id is not null").union(odd(spark).limit(0))
-    rows = sorted(((r.doc_id, r.text is not None, r.text or "") for r in docs.collect()))
+    lowest = spark.createDataFrame([(-(2**63), "least", "en", "s", 0), (None, None, "en", "s", 0)], DOCS)
+    docs = odd(spark).unionByName(lowest, allowMissingColumns=True)
+    rows = sorted(((r.doc_id, r.text is not None, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
     start, want = 0, []
     for doc_id, _, text in rows:
         ids = library.encode(text, add_special_tokens=False).ids + [0]
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    got = sorted(tuple(r) for r in tokenio.digest(docs, JSON).collect())
-    assert got == sorted(want)
+    assert sorted((tuple(r) for r in tokenio.digest(docs, JSON).collect()), key=lambda r: r[1]) == want
     assert tokenio.digest(docs.limit(0), JSON).count() == 0
     assert tokenio.digest(odd(spark), JSON).where("doc_id is null").first().start == 0
     to = Scratch(spark).new_path("small")
     tokenio.write(docs, JSON, to, segment=4)
     assert spark.read.parquet(to).count() > 3
-    assert sorted((r.doc_id, r.start, len(r.ids)) for r in tokenio.ids(spark, to).collect()) == [x[:3] for x in want]
+    assert sorted(((r.doc_id, r.start, len(r.ids)) for r in tokenio.ids(spark, to).collect()), key=lambda r: r[1]) == [x[:3] for x in want]
 
 
 def test_added_tokens_are_the_librarys(spark, tmp_path):
@@ -360,10 +439,20 @@ def test_groups_of_odd_rows(spark):
     docs = odd(spark)
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.groups(docs).collect())
     assert got == {(1, 0, 1): 1, (2, 0, 2): 1, (3, 0, 3): 1, (4, 1, 4): 2, (5, 997, 5): 1, (6, 1, 6): 1, (None, 1, None): 1}
-    assert ngramjoin.keep_one(docs).count() == docs.count() and ngramjoin.keep_one(docs).columns == docs.columns
+    kept = ngramjoin.keep_one(docs)
+    assert kept.count() == docs.count() - 1 and kept.columns == docs.columns  # the repeated row goes
     assert ngramjoin.groups(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Also of repeated and of missing doc_ids."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, a, "en", "s", 0), (5, a, "en", "s", 0), (None, a + " x", "en", "s", 0), (None, b, "en", "s", 0), (None, b, "en", "s", 0), (7, None, "en", "s", 0), (7, "", "en", "s", 0), (2, b + " y", "en", "s", 0), (2, "some other text of six words", "en", "s", 0)]
+    kept = ngramjoin.keep_one(spark.createDataFrame(rows, DOCS))
+    assert kept.columns == [f.split()[0] for f in DOCS.split(", ")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, a), (7, None), (7, ""), (2, b + " y"), (2, rows[-1][1])], key=str)
+
+
 def test_light_size_follows_cost():
     assert ngramjoin.light_size({}) == 0
     assert ngramjoin.light_size({5: 100, 6: 100}) >= 6
