@@ -817,6 +817,89 @@ def test_lines_once_each_in_a_corpus(spark):
         assert [x for x in b.split("\n") if x.startswith("own")] == [x for x in a.split("\n") if x.startswith("own")]
 
 
+def brute_dedup(rows):
+    """(doc_id, text) -> texts, after the module's definitions, line by line."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_text = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42)
+
+    def of_longs(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<Q", v), seed=seed)
+        return seed
+
+    docs = {}
+    for i, t in rows:
+        if t is not None:
+            docs.setdefault((i, t), [(k, x) for k, x in enumerate(t.split("\n")) if x.strip(" \t\r")])
+    c = collections.Counter(x for d in docs.values() for _, x in d)
+    pairs = collections.Counter()
+    for d in docs.values():
+        pairs.update((x, y) for (_, x), (_, y) in zip(d, d[1:], strict=False) if c[x] > 1 and c[y] > 1)
+    chunks = []  # (document, first line, last line, bytes)
+    for key, d in docs.items():
+        runs, stretch = [], []
+        for n, (line, x) in enumerate(d):
+            if c[x] < 2:
+                stretch = []
+                continue
+            before = d[n - 1][1] if n and c[d[n - 1][1]] > 1 else None
+            count = pairs[before, x] if before is not None else None
+            if count is None or count < 2:
+                stretch = []
+                runs.append(stretch)
+                run = []
+                stretch.append(run)
+            elif count != c[x] or c[before] != c[x]:
+                run = []
+                stretch.append(run)
+            run.append((line, x))
+        for stretch in runs:
+            lines = [x for run in stretch for _, x in run]
+            if len(lines) < 2 and not any(len(re.findall("[^\x20\x09-\x0d]+", x)) > linededup.MIN_WORDS for x in lines):
+                continue
+            for run in stretch:
+                own = []
+                for k, (line, x) in enumerate(run):
+                    own.append((line, x))
+                    rolled = of_longs(*(of_text(run[j][1]) for j in range(k, max(-1, k - linededup.WINDOW), -1)))
+                    if signed(rolled) % linededup.DIVISOR == 0 or k + 1 == len(run):
+                        chunks.append((key, own[0][0], own[-1][0], "\n".join(x for _, x in own)))
+                        own = []
+    first = {}
+    for key, a, b, x in chunks:
+        order = (key[0], signed(of_text(key[1])), a)
+        first[x] = min(first.get(x, order), order)
+    gone = collections.defaultdict(set)
+    for key, a, b, x in chunks:
+        if first[x] != (key[0], signed(of_text(key[1])), a):
+            gone[key] |= set(range(a, b + 1))
+    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])) for i, t in rows]
+
+
+def test_line_chunks_equal_brute_force(spark):
+    rng = random.Random(17)
+    passages = [passage(f"p{k}", rng.randint(1, 24), rng.choice([3, 12, 52])) for k in range(9)]
+    parts = [line for p in passages for line in p.split("\n")][:40]
+    rows = []
+    for i in range(150):
+        lines = [f"own {i} {k}" for k in range(rng.randint(0, 5))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages).split("\n")
+            a = rng.randrange(len(p))
+            lines[(k := rng.randrange(len(lines) + 1)) : k] = rng.choice([p, p, p[a:], p[:a], [rng.choice(parts)], ["", "  \t"], ["footer"]])
+        rows.append((rng.choice([i, i, 3]), "\n".join(lines)))
+    rows += [rows[0], (400, None), (401, ""), (402, "\t".join(f"wide{k}" for k in range(52))), (403, "x\n" + "\t".join(f"wide{k}" for k in range(52))), (404, "w " * 50), (405, "w " * 50)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in linededup.dedup(docs).collect()), key=str)
+    assert got == sorted(brute_dedup(rows), key=str)
+    assert sum(a != b for a, b in zip(sorted(rows, key=str), got, strict=True)) > 30
+
+
 def test_equal_hashes_are_not_enough(spark, monkeypatch):
     """With all chunk hashes equal, bytes alone decide."""
     texts = [passage("a"), passage("a"), passage("b"), passage("b")]
@@ -902,3 +985,56 @@ def test_parts_of_a_benchmark_are_joined_by_row(spark):
         assert kept.columns == docs.columns and [r.text for r in kept.collect()] == [texts[3]]
         spans = decontam.remove_spans(docs, bench, **how)
         assert spans.columns == docs.columns and sorted(r.text for r in spans.collect()) == sorted(["", "", " " + " ".join(w[50:54]), texts[3], "x  " + " ".join(w[24:30]) + "  y"])
+
+
+# the pipeline
+
+
+def test_every_stage_equals_brute_force(spark, tmp_path):
+    """Each stage on all that its predecessor kept, against the brute-force versions above."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    texts, toxic, quality = toxic_corpus(140, 9)
+    bench = [(k, " ".join(rng.choices([f"q{i}" for i in range(50)], k=rng.choice([6, 20, 40])))) for k in range(5)]
+    shared = [passage(f"p{k}", rng.randint(2, 12), 9) for k in range(4)]
+    for k in range(len(texts)):
+        if rng.random() < 0.3:
+            texts[k] += "\n" + rng.choice(shared) + "\nend " + str(k)
+        if rng.random() < 0.15:
+            texts[k] += " " + rng.choice(bench)[1]
+    texts += [t + rng.choice(["", " z", " z y"]) for t in rng.sample(texts, 30)] + [None, "", bench[0][1], "a b", "a b"]
+    docs = frame(spark, texts)
+    known = rng.sample(range(140), 90)
+    spark.createDataFrame([(i + 1, quality[i], toxic[i]) for i in known], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    p, cut = brute_chain([texts[i] for i in known], np.array(known), np.array([[1 - quality[i], toxic[i]] for i in known], float), texts)
+    now = [(i + 1, t) for i, t in enumerate(texts) if p[i, 1] <= cut]
+
+    def without_lines(rows):
+        return [(i, t) for (i, old), (_, t) in zip(rows, brute_dedup(rows), strict=True) if t == old or t.strip(" \t\r\n")]
+
+    def without_copies(rows):
+        group = brute_groups(rows)
+        return [(i, t) for i, t in rows if group[i][1] == i]
+
+    def without_benchmark(rows):
+        return [r for r, (n, hit, _) in zip(rows, brute_hits([t for _, t in rows], bench), strict=True) if not (hit and 20 * hit >= n)]
+
+    def tokens(rows):
+        return [(i, ENC.encode_ordinary(t or "")) for i, t in rows]
+
+    ENC = encoding()
+    sizes = [len(texts)]
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, (lambda _: now, without_lines, without_copies, without_benchmark, tokens), strict=True):
+        columns = docs.columns
+        docs = Scratch(spark).save(stage(spark, docs, str(tmp_path)), name)
+        now = brute(now)
+        got = sorted(((r.doc_id, r.ids if "ids" in docs.columns else r.text) for r in docs.collect()), key=str)
+        assert got == sorted(now, key=str), name
+        assert "ids" in docs.columns or docs.columns == columns and all(r.n_chars == len(r.text or "") for r in docs.collect())
+        sizes.append(len(now))
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > sizes[4] == sizes[5] > 30
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(((r.doc_id, r.ids) for r in whole.collect()), key=str) == sorted(now, key=str)
