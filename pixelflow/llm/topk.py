@@ -7,9 +7,10 @@ component's product is largest, scores the rows it meets by random access, and s
 sum of the products at the lists' current depth, the bound of all unseen rows, is under its
 kth score (rows that could tie it are still read). Each block's k best meet in a ranking by query.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do those whose
-length differs from the commonest (ties: the shortest); equal rows (vec_id and vector) count once; a vec_id with several vectors keeps
-all of them as candidates, its least one as query; a query's own vec_id is no candidate; no query gives no row.
+Defined results: vectors that are null or hold null or non-finite components take no part; a query meets the vectors of its
+own length; equal rows (vec_id and vector) count once; a vec_id with several vectors keeps
+all of them as candidates, its least one as query; a query's own vec_id is no candidate; no query gives no row. Scaled
+components and scores must fit 64-bit integers.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ ROWS = 8192
 QUERIES = 1024
 FIRST_DEPTH = 16
 
-BLOCKS = T.StructType([T.StructField("block", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("rows", T.BinaryType()), T.StructField("lists", T.BinaryType())])
+BLOCKS = T.StructType([T.StructField("block", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("rows", T.BinaryType()), T.StructField("lists", T.BinaryType())])
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
@@ -37,36 +38,39 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.where("vec_id is not null").where(fine).select("vec_id", F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
 
 
-def _blocks(vectors: DataFrame, width: int, size: int, lists: bool) -> DataFrame:
-    """Packed blocks of at most `size` rows; a block never waits for another task."""
+def _blocks(vectors: DataFrame, size: int, lists: bool) -> DataFrame:
+    """Packed blocks of at most `size` rows of one length; a block never waits for another task."""
 
     def run(frames):
         from pyspark import TaskContext
 
         task, seq = TaskContext.get().partitionId(), 0
-        ids, rows, held = [], [], 0
+        held: dict[int, tuple[list, list]] = {}
 
-        def flush():
-            nonlocal seq, held
-            i, m = np.concatenate(ids), np.concatenate(rows)
-            both = np.unique(np.column_stack([i, m]), axis=0)  # equal rows count once
+        def flush(width):
+            nonlocal seq
+            ids, rows = held.pop(width)
+            both = np.unique(np.column_stack([np.concatenate(ids), np.concatenate(rows)]), axis=0)  # equal rows count once
             i, m = both[:, 0].copy(), both[:, 1:].copy()
             order = np.argsort(-m, axis=0, kind="stable").T.astype(np.uint16 if len(i) <= 65536 else np.uint32) if lists else np.zeros(0, np.uint16)
-            out = pa.RecordBatch.from_arrays([pa.array([f"{task}-{seq}"]), pa.array([len(i)], pa.int32()), pa.array([i.astype("<i8").tobytes()], pa.binary()), pa.array([m.astype("<i8").tobytes()], pa.binary()), pa.array([np.ascontiguousarray(order).tobytes()], pa.binary())], names=BLOCKS.names)
-            seq, held = seq + 1, 0
-            ids.clear(), rows.clear()
+            out = pa.RecordBatch.from_arrays([pa.array([f"{task}-{seq}"]), pa.array([width], pa.int32()), pa.array([len(i)], pa.int32()), pa.array([i.astype("<i8").tobytes()], pa.binary()), pa.array([m.astype("<i8").tobytes()], pa.binary()), pa.array([np.ascontiguousarray(order).tobytes()], pa.binary())], names=BLOCKS.names)
+            seq += 1
             return out
 
         for frame in frames:
             for lo in range(0, frame.num_rows, size):
                 own = frame.slice(lo, size)
-                ids.append(own.column("vec_id").cast(pa.int64()).to_numpy(zero_copy_only=False))
-                rows.append(own.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(own.num_rows, width))
-                held += own.num_rows
-                if held >= size:
-                    yield flush()
-        if held:
-            yield flush()
+                ids = own.column("vec_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+                widths = own.column("v").value_lengths().to_numpy(zero_copy_only=False)
+                for width in np.unique(widths).tolist():
+                    mine = np.flatnonzero(widths == width)
+                    rows = own.column("v").take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(mine), width)
+                    if width in held and sum(map(len, held[width][0])) + len(mine) > size:
+                        yield flush(width)
+                    some = held.setdefault(width, ([], []))
+                    some[0].append(ids[mine]), some[1].append(rows)
+        for width in list(held):
+            yield flush(width)
 
     return vectors.mapInArrow(run, BLOCKS)
 
@@ -121,22 +125,19 @@ def top_k(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", scale:
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     v = quantised(vectors, scale)
-    widths = v.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = widths["width"] if widths else 0
-    v = v.where(F.size("v") == width)
-    rows = scratch.save(_blocks(v, width, ROWS, True), "lists")
+    rows = scratch.save(_blocks(v, ROWS, True), "lists")
     asked = v.where(query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = scratch.save(_blocks(asked, width, QUERIES, False), "queries").select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    asked = scratch.save(_blocks(asked, QUERIES, False), "queries").select("width", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
     # the stated query set against all rows, block by block: a row for each pair of blocks
-    names = rows.select(F.col("block").alias("name"))
-    routed = asked.crossJoin(names)
-    pairs = rows.join(routed, rows["block"] == routed["name"]).select("n", "ids", "rows", "lists", "q_n", "q_ids", "q_rows")
+    names = rows.select(F.col("block").alias("name"), F.col("width").alias("name_width"))
+    routed = asked.crossJoin(names).where("width = name_width")
+    pairs = rows.drop("width").join(routed, rows["block"] == routed["name"]).select("width", "n", "ids", "rows", "lists", "q_n", "q_ids", "q_rows")
 
     def run(frames):
         last, own = None, None
         for frame in frames:
             for r in range(frame.num_rows):
-                n, ids, data, lists, q_n, q_ids, q_rows = (c[r].as_py() for c in frame.columns)
+                width, n, ids, data, lists, q_n, q_ids, q_rows = (c[r].as_py() for c in frame.columns)
                 if last != (ids, data):
                     last, own = (ids, data), Lists(n, ids, data, lists, width)
                 who, many = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_rows, "<i8").reshape(q_n, width)

@@ -127,18 +127,21 @@ def test_top_k_is_exact(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 1, 8)], 0) for i in range(700)]
     rows += [(1000 + i, rows[i][1], 0) for i in range(60)]  # ties
     rows += [(50, None, 0), (2001, [1.0] * 7 + [float("nan")], 0), (2002, [float("inf")] * 8, 0), (2003, [1.0] * 3, 0), (7, rows[7][1], 0)]
-    rows += [(2050, [0.0] * 8, 0), (2051, [1.0] * 7 + [None], 0)]
+    rows += [(2050, [0.0] * 8, 0), (2051, [1.0] * 7 + [None], 0)] + [(3000 + i, [float(x) for x in rng.normal(0, 1, 3)], 0) for i in range(60)]
     got = collections.defaultdict(list)
     for r in topk.top_k(vectors(spark, rows)).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    good = {(i, tuple(math.floor(256 * np.float32(x).item()) for x in v)) for i, v, _ in rows if v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)}
-    ids, m = zip(*sorted(good), strict=True)
-    m = np.array(m)
-    for q in {i for i in ids if i % 50 == 0}:
-        s = m @ m[ids.index(q)]
-        order = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:5]
-        assert sorted(got[q]) == [(n + 1, ids[k], s[k]) for n, k in enumerate(order)]
-    assert set(got) == {i for i in ids if i % 50 == 0}
+    asked = set()
+    for width in (8, 3):  # a query meets the vectors of its own length
+        good = {(i, tuple(math.floor(256 * np.float32(x).item()) for x in v)) for i, v, _ in rows if v and len(v) == width and all(x is not None and math.isfinite(x) for x in v)}
+        ids, m = zip(*sorted(good), strict=True)
+        m = np.array(m)
+        for q in {i for i in ids if i % 50 == 0}:
+            s = m @ m[ids.index(q)]
+            order = [k for k in np.lexsort((ids, -s)) if ids[k] != q][:5]
+            assert sorted(got[q]) == [(n + 1, ids[k], s[k]) for n, k in enumerate(order)]
+            asked.add(q)
+    assert set(got) == asked and asked > {3000, 3050}
 
 
 def test_top_k_stops_early():
