@@ -126,7 +126,8 @@ class Matches:
         # a match of the same hash but other bytes than its representative is encoded by itself
         each_at, each_n = at[back], n[back]
         alike = size[back] == length
-        alike &= W.equal_ranges(both, begin, both, np.where(alike, spot[back], begin), length)
+        check = np.flatnonzero(alike & (length > W.EXACT))  # up to there, hashes and lengths are the bytes
+        alike[check] = W.equal_ranges(both, begin[check], both, spot[back[check]], length[check])
         if not alike.all():
             odd = np.flatnonzero(~alike)
             more, counts = self.fresh(data, start[odd], length[odd])

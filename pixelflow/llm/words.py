@@ -1,7 +1,8 @@
 """Words, word hashes and n-gram hashes of whole Arrow text columns, in numpy.
 
-No Python object is made per word of up to LONG bytes. A word's 64-bit hash mixes its bytes, eight at a time, into
-two independent lanes, non-linearly and with its length; longer words are hashed by keyed BLAKE2b. A
+No Python object is made per word of up to LONG bytes. A word's 64-bit hash is a one-to-one mix of bytes and length up to EXACT
+bytes; above, eight bytes at a time are mixed into two independent lanes, non-linearly and with the length; words of over LONG
+bytes are hashed by keyed BLAKE2b. A
 text without words has none; null counts as empty.
 """
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+EXACT = 7  # bytes up to which no two words share a hash
 LONG = 64  # bytes of a word over which BLAKE2b hashes it
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -94,16 +96,23 @@ def padded(data: np.ndarray) -> np.ndarray:
     return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
+def _every(low: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place of padded bytes."""
+    return np.ndarray(max(1, len(low) - 7), "<u8", low, strides=(1,))
+
+
+def _first(value: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Eight bytes each, of which the first `length` (1 to 8) stay."""
+    return value & (~np.uint64(0) >> ((8 - length) * 8).astype(np.uint64))
+
+
 def eights(low: np.ndarray, start: np.ndarray, length: np.ndarray):
     """Of padded bytes: (rows, values) of the first, second, ... eight bytes of every range that has so many; missing bytes are 0."""
-    every = np.ndarray(max(1, len(low) - 7), "<u8", low, strides=(1,))
+    every = _every(low)
     rows, at = np.flatnonzero(length > 0), 0
     while len(rows):
         left = length[rows] - at
-        value = every[start[rows] + at]
-        cut = np.flatnonzero(left < 8)
-        value[cut] &= (np.uint64(1) << (left[cut] * 8).astype(np.uint64)) - np.uint64(1)
-        yield rows, value
+        yield rows, _first(every[start[rows] + at], np.minimum(left, 8))
         at += 8
         rows = rows[left > 8]
 
@@ -111,14 +120,17 @@ def eights(low: np.ndarray, start: np.ndarray, length: np.ndarray):
 def hashed(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of ranges of padded bytes."""
     length = end - start
-    a, b = mix(length.astype(np.uint64) * LANES[0]), mix(length.astype(np.uint64) * LANES[1])
-    long = np.flatnonzero(length > LONG)
-    short = length if not len(long) else np.where(length > LONG, 0, length)
-    for rows, value in eights(low, start, short):
+    out = mix(length.astype(np.uint64) << np.uint64(56))  # of no bytes
+    few = np.flatnonzero((length > 0) & (length <= EXACT))
+    out[few] = mix(_first(_every(low)[start[few]], length[few]) | (length[few].astype(np.uint64) << np.uint64(56)))
+    more = np.flatnonzero((length > EXACT) & (length <= LONG))
+    n = length[more].astype(np.uint64)
+    a, b = mix(n * LANES[0]), mix(n * LANES[1])
+    for rows, value in eights(low, start[more], length[more]):
         a[rows] = mix((a[rows] ^ value) * LANES[2])
         b[rows] = mix(b[rows] + value * LANES[3])
-    out = mix(a ^ ((b << np.uint64(29)) | (b >> np.uint64(35))))
-    for k in long.tolist():
+    out[more] = mix(a ^ ((b << np.uint64(29)) | (b >> np.uint64(35))))
+    for k in np.flatnonzero(length > LONG).tolist():
         out[k] = int.from_bytes(hashlib.blake2b(low[start[k] : end[k]], digest_size=8, key=KEY).digest(), "little")
     return out
 
