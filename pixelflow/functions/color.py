@@ -33,6 +33,22 @@ def lab(r="r", g="g", b="b") -> tuple[Column, Column, Column]:
     return fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200
 
 
+def lab8(r="r", g="g", b="b") -> tuple[Column, Column, Column]:
+    """L*a*b* in 8 bits: L * 255 / 100, a + 128, b + 128, rounded."""
+    l_, a_, b_ = lab(r, g, b)
+    return tuple(clip(F.floor(c + 0.5), 0, 255).cast("long") for c in (l_ * 2.55, a_ + 128, b_ + 128))
+
+
+def from_lab8(l_="l", a="a", b="b") -> tuple[Column, Column, Column]:
+    """8-bit L*a*b* back to 8-bit sRGB under D65."""
+    fy = (F.col(l_) * (100.0 / 255.0) + 16) / 116
+    whole = lambda f: F.when(f > 0.206893, F.pow(f, F.lit(3.0))).otherwise((f - 16.0 / 116.0) / 7.787)
+    x, y, z = whole(fy + (F.col(a) - 128) / 500) * 0.95047, whole(fy), whole(fy - (F.col(b) - 128) / 200) * 1.08883
+    linear = (x * 3.240479 - y * 1.53715 - z * 0.498535, x * -0.969256 + y * 1.875991 + z * 0.041556, x * 0.055648 - y * 0.204043 + z * 1.057311)
+    curved = (F.when(c > 0.0031308, F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055).otherwise(c * 12.92) for c in linear)
+    return tuple(clip(F.floor(c * 255 + 0.5), 0, 255).cast("long") for c in curved)
+
+
 def clip(c: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, checkpointed: spark.checkpoint.dir's folder, or one of our own where none is set, as in tests."""
+    """df, checkpointed: spark.checkpoint.dir's folder; in local mode, where none is set, one of our own."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pixelflow-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="pixelflow-"))
     return df.checkpoint()

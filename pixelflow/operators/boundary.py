@@ -29,7 +29,7 @@ def divide(points: DataFrame, parts: int, overlap: int = 2) -> DataFrame:
     ring = points.select("shape_id", "seq", "px", "py").union(first.select("shape_id", F.col("m") + 1, "f.px", "f.py"))
     at = arc_length(ring)
     total = at.groupBy("shape_id").agg(F.max("arc").alias("total"), F.max("seq").alias("last"))
-    cuts = at.join(F.broadcast(total), "shape_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(parts)))).groupBy("shape_id", "i", "last").agg(F.min_by("seq", F.struct(F.round(F.abs(F.col("arc") - F.col("total") * F.col("i") / parts), 9), "seq")).alias("cut"))
+    cuts = at.join(total, "shape_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(parts)))).groupBy("shape_id", "i", "last").agg(F.min_by("seq", F.struct(F.round(F.abs(F.col("arc") - F.col("total") * F.col("i") / parts), 9), "seq")).alias("cut"))
     w = Window.partitionBy("shape_id").orderBy("i")
     spans = cuts.withColumn("to", F.lead("cut").over(w)).where("to is not null").select("shape_id", F.col("i").cast("long").alias("part"), F.greatest(F.lit(0), F.col("cut") - overlap).alias("lo"), F.least("last", F.col("to") + overlap).alias("hi"))
     return spans.join(ring, "shape_id").where("seq >= lo and seq <= hi").select("shape_id", "part", "seq", "px", "py")
@@ -97,22 +97,40 @@ def error_summary(errors: DataFrame) -> DataFrame:
     return errors.groupBy("shape_id").agg(F.avg("error").alias("mean"), F.stddev_pop("error").alias("std"), F.max("error").alias("high"), F.percentile("error", F.lit(0.95)).alias("p95"), F.count_if(F.col("error") > 0.001).alias("over"))
 
 
+def tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solves a tridiagonal system, a column of rhs each; low[0] and up[-1] are of no account."""
+    n = len(mid)
+    c, d = np.zeros(n), np.array(rhs, float)
+    c[0], d[0] = up[0] / mid[0], d[0] / mid[0]
+    for i in range(1, n):
+        by = mid[i] - low[i] * c[i - 1]
+        c[i] = up[i] / by
+        d[i] = (d[i] - low[i] * d[i - 1]) / by
+    for i in range(n - 2, -1, -1):
+        d[i] -= c[i] * d[i + 1]
+    return d
+
+
 def natural_spline(t: np.ndarray, v: np.ndarray, at: np.ndarray, periodic: bool = False) -> np.ndarray:
     """A cubic spline through (t, v), natural or periodic, at the places asked for."""
     n = len(t)
     h = np.diff(t)
-    a = np.zeros((n, n))
-    rhs = np.zeros((n, v.shape[1]))
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
-    if periodic:
-        a[0, 0], a[0, n - 1] = 1, -1
-        a[n - 1, 0], a[n - 1, 1], a[n - 1, n - 2], a[n - 1, n - 1] = 2 * h[0], h[0], h[-1], 2 * h[-1]
-        rhs[n - 1] = 6 * ((v[1] - v[0]) / h[0] - (v[-1] - v[-2]) / h[-1])
-    else:
-        a[0, 0] = a[n - 1, n - 1] = 1
-    m = np.linalg.solve(a, rhs)
+    slope = np.diff(v, axis=0) / h[:, None]
+    m = np.zeros_like(v, dtype=float)  # second derivatives
+    if periodic:  # the last point is the first: a cyclic system, by a rank-one correction
+        rhs = 6 * (slope - np.roll(slope, 1, axis=0))
+        low, mid, up = np.roll(h, 1), 2 * (np.roll(h, 1) + h), h.copy()
+        corner, g = h[-1], -mid[0]
+        mid[0], mid[-1] = mid[0] - g, mid[-1] - corner * corner / g
+        u = np.zeros((n - 1, 1))
+        u[0], u[-1] = g, corner
+        found = tridiagonal(low, mid, up, np.hstack([rhs, u]))
+        y, q = found[:, :-1], found[:, -1:]
+        share = (y[:1] + y[-1:] * corner / g) / (1 + q[:1] + q[-1:] * corner / g)
+        m[:-1] = y - q * share
+        m[-1] = m[0]
+    elif n > 2:
+        m[1:-1] = tridiagonal(h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(slope, axis=0))
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
     u, w = (t[k + 1] - at)[:, None], (at - t[k])[:, None]
     hk = h[k][:, None]

@@ -72,9 +72,26 @@ def suggest(density: DataFrame, edges: DataFrame) -> DataFrame:
     return met.groupBy("image_id").agg(F.coalesce(F.avg(at), F.lit(0.1)).alias("mean"), F.coalesce(F.percentile(at, F.lit(0.5)), F.lit(0.1)).alias("median"), F.coalesce(F.percentile(at, F.lit(0.7)), F.lit(0.1)).alias("p70"))
 
 
+def strongest(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, gx, gy): of each pixel the gradient of the channel with the largest L1 norm; the first on ties."""
+    rows = pixels.select(*KEY, *"rgb")
+    sides = {c: (grid.reflected(c, -1, grid.along_x()), grid.reflected(c, 1, grid.along_x())) for c in "rgb"}
+    rows = rows.withColumns({f"d{c}": b - a for c, (a, b) in sides.items()} | {f"s{c}": a + F.col(c) * 2 + b for c, (a, b) in sides.items()})
+    up, down = (lambda c: grid.reflected(c, -1, grid.along_y())), (lambda c: grid.reflected(c, 1, grid.along_y()))
+    rows = rows.withColumns({f"x{c}": up(f"d{c}") + F.col(f"d{c}") * 2 + down(f"d{c}") for c in "rgb"} | {f"y{c}": down(f"s{c}") - up(f"s{c}") for c in "rgb"})
+    norm = {c: F.abs(f"x{c}") + F.abs(f"y{c}") for c in "rgb"}
+    pick = lambda k: F.when((norm["r"] >= norm["g"]) & (norm["r"] >= norm["b"]), F.col(f"{k}r")).when(norm["g"] >= norm["b"], F.col(f"{k}g")).otherwise(F.col(f"{k}b"))
+    return rows.select(*KEY, pick("x").alias("gx"), pick("y").alias("gy"))
+
+
 def suppressed(gray: DataFrame) -> DataFrame:
+    """`thinned` of a gray image's gradient."""
+    return thinned(grid.sobel(gray))
+
+
+def thinned(gradients: DataFrame) -> DataFrame:
     """(image_id, y, x, m): L1 gradient where it is a maximum across its direction, else 0; ties go to the first side."""
-    g = grid.sobel(gray).select(*KEY, "gx", "gy", (F.abs("gx") + F.abs("gy")).alias("m"))
+    g = gradients.select(*KEY, "gx", "gy", (F.abs("gx") + F.abs("gy")).alias("m"))
     ax, ay = F.abs("gx"), F.abs("gy")
     flat, steep = ay * 1000 < ax * 414, ay * 1000 > ax * 2414
     same = (F.col("gx") * F.col("gy")) >= 0
@@ -92,7 +109,7 @@ def hysteresis(maxima: DataFrame, limits: DataFrame) -> DataFrame:
 
     limits: (image_id, low, high).
     """
-    known = maxima.join(F.broadcast(limits.select("image_id", "low", "high")), "image_id")
+    known = maxima.join(limits.select("image_id", "low", "high"), "image_id")
     weak = known.where("m > low")
     labels = cc.label(weak)
     strong = labels.join(known.where("m > high").select(*KEY), KEY, "left_semi").select("image_id", "label").distinct()
@@ -113,27 +130,46 @@ def quality(edges: DataFrame, gray: DataFrame) -> DataFrame:
     return images.join(sizes, "image_id", "left").join(dev, "image_id", "left").select("image_id", F.coalesce(F.col("mean") * F.col("dev"), F.lit(0.0)).alias("score"))
 
 
-def best(gray: DataFrame) -> DataFrame:
-    """(image_id, y, x, v): the edge map of the method and sensitivity with the best quality; the first wins ties.
+def canny_rgb(pixels: DataFrame, limits: DataFrame) -> DataFrame:
+    """Canny on colour pixels: every pixel's strongest channel counts."""
+    return hysteresis(thinned(strongest(pixels)), limits)
 
-    All candidates are labelled in one job: a candidate is an image of its own. Images without an edge fall back to 50 and 150.
-    """
+
+def _candidates(gray: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Thresholds (image_id, ord, low, high) of every method and sensitivity, the edge pixels (image_id, ord, label, y, x)
+    of each, and (image_id, ord) of the best. All candidates are labelled in one job: a candidate is an image of its own."""
     limits = thresholds(gray).where("method <> 'fixed'")
     grid_ = gray.sparkSession.createDataFrame([(i * len(SENSITIVITIES) + j, m, s) for i, m in enumerate(METHODS) for j, s in enumerate(SENSITIVITIES)], "ord int, method string, sens double")
     lo, hi = _clamped(F.col("low"), F.col("high"), F.col("sens"))
-    tries = limits.join(F.broadcast(grid_), "method").select("image_id", "ord", lo.alias("low"), hi.alias("high"))
-    maxima = suppressed(gray).transform(durable)
-    weak = maxima.where("m > 10").join(F.broadcast(tries), "image_id").where("m > low").select((F.col("image_id") * 64 + F.col("ord")).alias("image_id"), "y", "x", "m", "high")
-    labels = cc.label(weak).join(weak, KEY)
-    strong = labels.groupBy("image_id", "label").agg((F.max(F.col("m") - F.col("high")) > 0).alias("ok")).where("ok").select("image_id", "label")
-    kept = labels.join(strong, ["image_id", "label"], "left_semi").select((F.floor(F.col("image_id") / 64)).alias("image"), (F.col("image_id") % 64).alias("ord"), "label", "y", "x").transform(durable)
-    valued = kept.join(gray.select(F.col("image_id").alias("image"), "y", "x", "v"), ["image", "y", "x"])
-    scored = valued.groupBy("image", "ord").agg((F.count("*") / F.countDistinct("label") * F.stddev_pop("v")).alias("score"))
-    win = scored.groupBy("image").agg(F.max_by("ord", F.struct(F.round("score", 9), -F.col("ord"))).alias("ord"))
-    chosen = kept.join(F.broadcast(win), ["image", "ord"]).select(F.col("image").alias("image_id"), "y", "x", F.lit(255).cast("long").alias("v"))
+    tries = limits.join(F.broadcast(grid_), "method").select("image_id", "ord", lo.alias("low"), hi.alias("high")).transform(durable)
+    maxima = suppressed(gray).where("m > 10").transform(durable)
+    # the least thresholds come first in the classes of equal low ones: each is labelled once
+    lows = tries.select("image_id", "low").distinct()
+    weak = maxima.join(lows, "image_id").where("m > low").select("image_id", "low", F.xxhash64("image_id", "low").alias("own"), "y", "x", "m")
+    labels = cc.label(weak.select(F.col("own").alias("image_id"), "y", "x")).withColumnRenamed("image_id", "own").join(weak, ["own", "y", "x"]).select("image_id", "low", "label", "y", "x", "m").transform(durable)
+    peaks = labels.groupBy("image_id", "low", "label").agg(F.max("m").alias("peak"))
+    strong = tries.join(peaks, ["image_id", "low"]).where("peak > high").select("image_id", "ord", "low", "label")
+    kept = labels.join(strong, ["image_id", "low", "label"]).select("image_id", "ord", "label", "y", "x").transform(durable)
+    valued = kept.join(gray.select(*KEY, "v"), KEY)
+    scored = valued.groupBy("image_id", "ord").agg((F.count("*") / F.countDistinct("label") * F.stddev_pop("v")).alias("score"))
+    win = scored.groupBy("image_id").agg(F.max_by("ord", F.struct(F.round("score", 9), -F.col("ord"))).alias("ord"))
+    return tries, kept, win
+
+
+def best(gray: DataFrame) -> DataFrame:
+    """(image_id, y, x, v): the edge map of the method and sensitivity with the best quality; the first wins ties."""
+    _, kept, win = _candidates(gray)
+    chosen = kept.join(win, ["image_id", "ord"], "left_semi").select(*KEY, F.lit(255).cast("long").alias("v"))
     return gray.select(*KEY).join(chosen, KEY, "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
 
 
+def best_limits(gray: DataFrame) -> DataFrame:
+    """(image_id, low, high): the thresholds of that map; images without an edge fall back to 50 and 150."""
+    tries, _, win = _candidates(gray)
+    found = tries.join(win, ["image_id", "ord"]).select("image_id", "low", "high")
+    return gray.select("image_id").distinct().join(found, "image_id", "left").select("image_id", F.coalesce("low", F.lit(50)).alias("low"), F.coalesce("high", F.lit(150)).alias("high"))
+
+
 def fast_thresholds(gray: DataFrame) -> DataFrame:
     """(image_id, low, high): means of p25 * .7, p75 * 1.3 of gray and of the 10 and 90 % places of the L1 gradient."""
     p = gray.groupBy("image_id").agg((F.percentile("v", F.lit(0.25)) * 0.7).alias("a"), (F.percentile("v", F.lit(0.75)) * 1.3).alias("b"))

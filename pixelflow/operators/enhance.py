@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import color
+from ..functions.durable import durable
+
 KEY = ["image_id", "y", "x"]
 
 
@@ -67,6 +70,18 @@ def shadow_regions(light: DataFrame, threshold: int = 100, clip: float = 3.0, le
     return light.select(*KEY, "v").join(done, KEY, "left").select(*KEY, F.coalesce("w", "v").alias("v"))
 
 
+def images(pixels: DataFrame, threshold: int = 100, clip: float = 3.0, tiles: int = 16, least: int | None = None, by_region: bool = False) -> DataFrame:
+    """(image_id, y, x, r, g, b): colour images whose shadows are equalized in 8-bit L of L*a*b*, a and b kept; pixels that
+    don't change keep their colour. by_region: each connected shadow on its own."""
+    l_, a_, b_ = color.lab8()
+    known = pixels.select(*KEY, *"rgb", l_.alias("l"), a_.alias("a"), b_.alias("bb")).transform(durable)
+    light = known.select(*KEY, F.col("l").alias("v"))
+    done = shadow_regions(light, threshold, clip) if by_region else shadows(light, threshold, clip, tiles, least)
+    met = known.join(done.select(*KEY, F.col("v").alias("w")), KEY)
+    fresh = color.from_lab8("w", "a", "bb")
+    return met.select(*KEY, *(F.when(F.col("w") == F.col("l"), F.col(c)).otherwise(new).alias(c) for c, new in zip("rgb", fresh, strict=True)))
+
+
 def brightness_gain(before: DataFrame, after: DataFrame) -> DataFrame:
     """(image_id, before, after, gain): mean values."""
     a, b = (df.groupBy("image_id").agg(F.avg("v").alias(n)) for df, n in ((before, "before"), (after, "after")))

@@ -131,8 +131,8 @@ def bridge_gaps(binary: DataFrame, max_gap: int = 25, threshold: float = 0.2, lo
     for name, (line, along) in axes.items():
         spot = F.when(F.col("v") > 0, F.col(along))
         w = Window.partitionBy("image_id", line).orderBy(along)
-        last = F.last(spot, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        following = F.first(spot, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        last = F.last(spot, ignorenulls=True).over(w.rowsBetween(-reach, -1))
+        following = F.first(spot, ignorenulls=True).over(w.rowsBetween(1, reach))
         out = out.withColumn(f"_{name}", (F.col(along) - last <= reach) & (following - F.col(along) <= reach))
     out = out.where("_px = x and _py = y")
     any_axis = F.coalesce("_h", F.lit(False)) | F.coalesce("_v", F.lit(False)) | F.coalesce("_d", F.lit(False)) | F.coalesce("_a", F.lit(False))
@@ -199,10 +199,14 @@ def protect_borders(binary: DataFrame, borders: DataFrame, k: int = 15) -> DataF
     return both.withColumn("v", F.when((F.col("v") == 0) & (F.col("closed") > 0) & (F.coalesce("border", F.lit(0)) == 0), 255).otherwise(F.col("v")).cast("long")).drop("closed", "border")
 
 
-def bilateral(pixels: DataFrame, value: str = "v", radius: int = 2, sigma_space: float = 2.0, sigma_value: float = 30.0) -> DataFrame:
-    """Edge-preserving blur: offsets join the grid once each; for small radii."""
-    offsets = pixels.sparkSession.createDataFrame([(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)], "dy long, dx long")
-    spread = pixels.select("image_id", "y", "x", F.col(value).alias("nv")).crossJoin(F.broadcast(offsets)).select("image_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "nv", "dy", "dx")
-    met = pixels.join(spread, ["image_id", "y", "x"])
-    weight = F.exp(-(F.col("dy") ** 2 + F.col("dx") ** 2) / (2 * sigma_space**2) - (F.col("nv") - F.col(value)) ** 2 / (2 * sigma_value**2))
-    return met.groupBy("image_id", "y", "x").agg((F.sum(weight * F.col("nv")) / F.sum(weight)).alias(value))
+def bilateral(pixels: DataFrame, sigma_value: float = 10.0, sigma_space: float = 10.0) -> DataFrame:
+    """(image_id, y, x, r, g, b): edge-preserving blur of diameter 3: each pixel and its four neighbours, weighted by distance and
+    by the sum of the channels' differences; mirrored borders, truncated to integers."""
+    rows = pixels.select("image_id", "y", "x", *"rgb")
+    rows = rows.withColumns({f"{side}{c}": reflected(c, step, window) for window, names in ((along_x(), "lw"), (along_y(), "ue")) for side, step in zip(names, (-1, 1), strict=True) for c in "rgb"})
+    apart = {side: sum((F.abs(F.col(f"{side}{c}") - F.col(c)) for c in "gb"), F.abs(F.col(f"{side}r") - F.col("r"))) for side in "lwue"}
+    weight = {side: F.exp(-F.pow(d.cast("double"), 2) / (2 * sigma_value**2) - 1 / (2 * sigma_space**2)) for side, d in apart.items()}
+    rows = rows.withColumns({f"_{side}": w for side, w in weight.items()})
+    total = sum((F.col(f"_{side}") for side in "lwue"), F.lit(1.0))
+    mixed = lambda c: F.floor(F.round(sum((F.col(f"_{side}") * F.col(f"{side}{c}") for side in "lwue"), F.col(c)) / total, 6)).cast("long")
+    return rows.select("image_id", "y", "x", *(mixed(c).alias(c) for c in "rgb"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.durable import durable
-from .components import closure
+from .components import closure, label, stats
 
 RGB = ["r", "g", "b"]
+CELLS = 1 << 20  # distances that k-means holds at a time
 
 
 def distinct(pixels: DataFrame) -> DataFrame:
@@ -41,17 +42,30 @@ def params(counts: DataFrame, quality: int) -> DataFrame:
 def eps_clusters(palette: DataFrame, eps: float) -> DataFrame:
     """(image_id, idx, r, g, b, cluster): components of the graph of colours within eps; black keeps to itself.
 
-    Colours fall into cells of side eps / sqrt(3), whose members are all linked; only cells are joined, with the
-    cells in reach, and a pair of cells keeps one link. cluster is the least idx.
+    Colours fall into cells of side eps / sqrt(3), whose members are all linked; cells are joined with the cells in reach,
+    by their boxes where these decide, else by the colours in reach of the other box. cluster is the least idx.
     """
     side = eps / 3**0.5
     colours = palette.where("r + g + b > 0").withColumns({f"c{c}": F.floor(F.col(c) / side).cast("long") for c in RGB})
     cell = ["image_id", "cr", "cg", "cb"]
-    homes = colours.groupBy(*cell).agg(F.min("idx").alias("home"))
-    own = colours.join(homes, cell)
+    low, high = ({c: fn(c).alias(f"{k}{c}") for c in RGB} for k, fn in (("lo", F.min), ("hi", F.max)))
+    homes = colours.groupBy(*cell).agg(F.min("idx").alias("home"), *low.values(), *high.values()).transform(durable)
     steps = palette.sparkSession.createDataFrame([(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if (a, b, c) > (0, 0, 0)], "dr long, dg long, db long")
-    near = own.crossJoin(F.broadcast(steps)).select("image_id", *((F.col(f"c{c}") + F.col(f"d{c}")).alias(f"c{c}") for c in RGB), *(F.col(c).alias(f"{c}1") for c in RGB), F.col("home").alias("a"))
-    met = near.join(own, cell).where(F.expr("(r - r1) * (r - r1) + (g - g1) * (g - g1) + (b - b1) * (b - b1)") <= eps * eps)
+    # pairs of cells by the boxes round their colours: too far, near enough as a whole, or to be looked into
+    box = ["home", *(f"{k}{c}" for k in ("lo", "hi") for c in RGB)]
+    near = homes.crossJoin(F.broadcast(steps)).select("image_id", *((F.col(f"c{c}") + F.col(f"d{c}")).alias(f"c{c}") for c in RGB), *(F.col(b).alias(f"a_{b}") for b in box))
+    pairs = near.join(homes, cell)
+    gap = sum((F.pow(F.greatest(F.lit(0), F.col(f"a_lo{c}") - F.col(f"hi{c}"), F.col(f"lo{c}") - F.col(f"a_hi{c}")), 2) for c in RGB), F.lit(0.0))
+    span = sum((F.pow(F.greatest(F.col(f"a_hi{c}") - F.col(f"lo{c}"), F.col(f"hi{c}") - F.col(f"a_lo{c}")), 2) for c in RGB), F.lit(0.0))
+    pairs = pairs.where(gap <= eps * eps).withColumn("whole", span <= eps * eps).transform(durable)
+    # only colours in reach of the other cell's box meet
+    own = colours.join(homes.select(*cell, "home"), cell).transform(durable)
+    reach = lambda p: sum((F.pow(F.greatest(F.lit(0), F.col(f"{p}lo{c}") - F.col(c), F.col(c) - F.col(f"{p}hi{c}")), 2) for c in RGB), F.lit(0.0)) <= eps * eps
+    open_ = pairs.where(~F.col("whole")).select("image_id", *(F.col(f"a_{b}") for b in box), *box)
+    left = open_.join(own.select("image_id", F.col("home").alias("a_home"), *RGB), ["image_id", "a_home"]).where(reach("")).select("image_id", "a_home", "home", *(F.col(c).alias(f"{c}1") for c in RGB))
+    right = open_.join(own.select("image_id", "home", *RGB), ["image_id", "home"]).where(reach("a_")).select("image_id", "a_home", "home", *RGB)
+    met = left.join(right, ["image_id", "a_home", "home"]).where(F.expr("(r - r1) * (r - r1) + (g - g1) * (g - g1) + (b - b1) * (b - b1)") <= eps * eps)
+    met = met.select("image_id", F.col("a_home").alias("a"), "home").union(pairs.where("whole").select("image_id", "a_home", "home"))
     links = met.select("image_id", "a", F.col("home").alias("b")).distinct()
     node = lambda c: F.struct("image_id", F.col(c).alias("idx"))
     roots = closure(links.select(node("a").alias("a"), node("b").alias("b"))).select(F.col("node.image_id").alias("image_id"), F.col("node.idx").alias("home"), F.col("root.idx").alias("cluster"))
@@ -80,8 +94,9 @@ def lloyd(points: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     order = np.lexsort((points[:, 2], points[:, 1], points[:, 0], points @ np.array([299, 587, 114])))
     centres = points[order[(np.arange(k) * 2 + 1) * len(points) // (2 * k)]].astype(float)
     label = np.zeros(len(points), np.int64)
+    held = max(1, CELLS // k)
     for _ in range(rounds):
-        after = ((points[:, None, :] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        after = np.concatenate([((points[lo : lo + held, None, :] - centres) ** 2).sum(axis=2).argmin(axis=1) for lo in range(0, len(points), held)])
         if np.array_equal(after, label) and _:
             break
         label = after
@@ -172,3 +187,19 @@ def black_fix(pixels: DataFrame, segment: str = "segment") -> DataFrame:
     met = pixels.join(dark, ["image_id", segment], "left")
     is_black = (F.col("r") + F.col("g") + F.col("b") == 0) & F.col("dark").isNotNull()
     return met.withColumns({c: F.when(is_black, F.col(f"dark.{c}")).otherwise(F.col(c)) for c in RGB}).drop("dark")
+
+
+def fill_black_holes(pixels: DataFrame, most: int = 10, eight: bool = False) -> DataFrame:
+    """(image_id, y, x, r, g, b): black components of at most `most` pixels take the commonest colour of the other pixels next
+    to them (the first in raster order on ties); a component without such a neighbour stays black."""
+    key = ["image_id", "y", "x"]
+    labels = label(pixels.where("r + g + b = 0"), eight)
+    small = labels.join(stats(labels).where(F.col("area") <= most), ["image_id", "label"], "left_semi").transform(durable)
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
+    round_ = small.withColumn("s", F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in steps))))
+    near = round_.select("image_id", "label", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).distinct()
+    met = near.join(pixels.where("r + g + b > 0").select(*key, *RGB), key)
+    counted = met.groupBy("image_id", "label", *RGB).agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("first"))
+    fill = counted.groupBy("image_id", "label").agg(F.max_by(F.struct(*RGB), F.struct("n", -F.col("first.y"), -F.col("first.x"))).alias("fill"))
+    spots = small.join(fill, ["image_id", "label"]).select(*key, "fill")
+    return pixels.join(spots, key, "left").select(*key, *(F.coalesce(F.col(f"fill.{c}"), F.col(c)).alias(c) for c in RGB))

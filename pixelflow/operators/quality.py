@@ -42,7 +42,7 @@ def differences(pairs: DataFrame) -> DataFrame:
     w = F.abs(F.col("r") - F.col("dr")) * 299 + F.abs(F.col("g") - F.col("dg")) * 587 + F.abs(F.col("b") - F.col("db")) * 114
     raw = pairs.select(*PIXEL, a.alias("a"), s.alias("s"), w.alias("w"))
     top = raw.groupBy("image_id").agg(*(F.max(c).alias(f"m{c}") for c in "asw"))
-    met = raw.join(F.broadcast(top), "image_id")
+    met = raw.join(top, "image_id")
     return met.select(*PIXEL, *(F.coalesce(F.try_divide(c, f"m{c}"), F.lit(0.0)).alias(n) for c, n in (("a", "absolute"), ("s", "squared"), ("w", "weighted"))))
 
 
@@ -69,7 +69,7 @@ def adaptive(pairs: DataFrame) -> DataFrame:
             "t_adaptive": F.when(F.col("mean_e") > F.col("median_e") * 1.5, F.col("median_e") + F.col("std_e") * 3).otherwise(F.col("mean_e") + F.col("std_e") * 2.5),
         }
     )
-    met = errors.join(F.broadcast(s), "image_id")
+    met = errors.join(s, "image_id")
     rules = {
         "iqr": F.col("e") > F.col("t_iqr"),
         "zscore": F.coalesce(F.abs(F.try_divide(F.col("e") - F.col("mean_e"), F.col("std_e"))) > 3, F.lit(False)),
@@ -95,7 +95,7 @@ def percentile_scopes(pairs: DataFrame) -> DataFrame:
     p = errors.groupBy("image_id").agg(F.percentile("e", F.array(*(F.lit(q) for q in (0.99, 0.95, 0.9, 0.75)))).alias("p"))
     names = ("percentile_99", "percentile_95", "percentile_90", "percentile_75")
     limits = p.select("image_id", F.inline(F.array(*(F.struct(F.lit(n).alias("scope"), F.col("p")[k].alias("limit")) for k, n in enumerate(names)), F.struct(F.lit("all").alias("scope"), F.lit(1e9).alias("limit")))))
-    met = errors.join(F.broadcast(limits), "image_id").where("e <= limit").groupBy("image_id", "scope").agg(F.count("*").alias("pixels"), F.sum("se").alias("s"))
+    met = errors.join(limits, "image_id").where("e <= limit").groupBy("image_id", "scope").agg(F.count("*").alias("pixels"), F.sum("se").alias("s"))
     return met.withColumn("mse", F.col("s") / (F.col("pixels") * 3)).withColumn("psnr", color.psnr(F.col("mse"))).drop("s")
 
 
@@ -104,7 +104,7 @@ def histogram(pairs: DataFrame, bins: int = 50) -> DataFrame:
     errors = pixel_errors(pairs).select("image_id", "e")
     ends = errors.groupBy("image_id").agg(F.min("e").alias("low"), F.max("e").alias("high"))
     at = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("e") - F.col("low")) * bins / (F.col("high") - F.col("low"))))).otherwise(0)
-    return errors.join(F.broadcast(ends), "image_id").groupBy("image_id", at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return errors.join(ends, "image_id").groupBy("image_id", at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def ssim(pairs: DataFrame, win: int = 7) -> DataFrame:
@@ -134,7 +134,7 @@ def ssim_clean(pairs: DataFrame, win: int = 7) -> DataFrame:
     """(image_id, ssim) with the chosen rule's outliers set to gray 128 on both sides."""
     found = adaptive(pairs)
     bound = F.when(F.col("rule") == "iqr", F.col("t_iqr")).when(F.col("rule") == "percentile", F.col("p99")).when(F.col("rule") == "zscore", F.col("mean_e") + F.col("std_e") * 3).otherwise(F.col("t_adaptive"))
-    met = pixel_errors(pairs).join(F.broadcast(found.select("image_id", bound.alias("bound"))), "image_id")
+    met = pixel_errors(pairs).join(found.select("image_id", bound.alias("bound")), "image_id")
     gray = F.lit(128).cast("long")
     return ssim(met.withColumns({c: F.when(F.col("e") > F.col("bound"), gray).otherwise(F.col(c)) for x in "rgb" for c in (x, f"d{x}")}), win)
 
@@ -166,7 +166,7 @@ def extremes(m: DataFrame, k: int = 3) -> DataFrame:
 def compare_codecs(sizes: DataFrame, m: DataFrame, pixels: DataFrame) -> DataFrame:
     """(image_id, codec, kilobytes, ratio, bpp, psnr) from sizes(image_id, codec, bytes) and metrics(image_id, codec, psnr)."""
     px = pixels.groupBy("image_id").agg(F.count("*").alias("pixels"))
-    met = sizes.join(m, ["image_id", "codec"]).join(F.broadcast(px), "image_id")
+    met = sizes.join(m, ["image_id", "codec"]).join(px, "image_id")
     return met.select("image_id", "codec", (F.col("bytes") / 1024).alias("kilobytes"), (F.col("pixels") * 3 / F.col("bytes")).alias("ratio"), (F.col("bytes") * 8 / F.col("pixels")).alias("bpp"), "psnr")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import durable
+from ..functions import color
 from . import components as cc
+from . import edges as ed
 from . import grid
 
 KEY = ["image_id", "y", "x"]
@@ -74,7 +76,7 @@ def regions(masks: DataFrame) -> DataFrame:
         own = cc.stats(cc.label(masks.where(kind))).withColumn("kind", F.lit(kind))
         found = own if found is None else found.unionByName(own)
     limit = small_limit(F.col("size"))
-    return found.join(F.broadcast(size), "image_id").withColumn("kind", F.when((F.col("kind") == "roi") & (F.col("area") < limit), "nonroi").otherwise(F.col("kind"))).drop("size")
+    return found.join(size, "image_id").withColumn("kind", F.when((F.col("kind") == "roi") & (F.col("area") < limit), "nonroi").otherwise(F.col("kind"))).drop("size")
 
 
 def region_pixels(masks: DataFrame, kind: str) -> DataFrame:
@@ -88,7 +90,7 @@ def swap_small(masks: DataFrame) -> DataFrame:
     moved = None
     for kind, other in (("roi", "nonroi"), ("nonroi", "roi")):
         labels = cc.label(masks.where(kind))
-        small = cc.stats(labels).join(F.broadcast(size), "image_id").where(F.col("area") < small_limit(F.col("size")))
+        small = cc.stats(labels).join(size, "image_id").where(F.col("area") < small_limit(F.col("size")))
         marked = labels.join(small.select("image_id", "label", F.lit(other).alias("to")), ["image_id", "label"], "left")
         own = marked.select(*KEY, F.coalesce("to", F.lit(kind)).alias("kind"))
         moved = own if moved is None else moved.unionByName(own)
@@ -140,6 +142,96 @@ def thin_score(s: DataFrame) -> DataFrame:
     return s.withColumn("thin_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
+def border(mask: np.ndarray) -> np.ndarray:
+    """The outer border of a component as (row, column) in clockwise order from its first pixel, thin parts there and back."""
+    turn = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise, from the east
+    pad = np.pad(mask, 1)
+    y, x = (int(v[0]) for v in np.nonzero(pad))
+    start, out = (y, x), [(y, x)]
+    back = 4  # the first pixel in raster order has nothing to its west
+    first = None
+    while True:
+        for k in range(1, 9):
+            d = (back + k) % 8
+            if pad[y + turn[d][0], x + turn[d][1]]:
+                break
+        else:
+            break  # a single pixel
+        if (y, x) == start and first == d:
+            out.pop()
+            break
+        first = d if first is None else first
+        y, x = y + turn[d][0], x + turn[d][1]
+        out.append((y, x))
+        back = (d + 4) % 8
+    return np.array(out) - 1
+
+
+def contours(labels: DataFrame) -> DataFrame:
+    """(image_id, label, seq, y, x): each component's outer border in order; one task for each component."""
+
+    def run(key, table):
+        y, x = (table.column(c).to_numpy() for c in ("y", "x"))
+        top, left = y.min(), x.min()
+        mask = np.zeros((int(y.max() - top) + 1, int(x.max() - left) + 1), bool)
+        mask[y - top, x - left] = True
+        line = border(mask)
+        n = len(line)
+        return pa.table([pa.array([key[0].as_py()] * n, pa.int64()), pa.array([key[1].as_py()] * n, pa.int64()), pa.array(np.arange(n)), pa.array(line[:, 0] + top), pa.array(line[:, 1] + left)], names=["image_id", "label", "seq", "y", "x"])
+
+    return labels.select("image_id", "label", "y", "x").groupBy("image_id", "label").applyInArrow(run, "image_id long, label long, seq long, y long, x long")
+
+
+def arc_perimeter(lines: DataFrame) -> DataFrame:
+    """(image_id, label, points, arc): the length of each closed contour."""
+    w = Window.partitionBy("image_id", "label").orderBy("seq")
+    whole = Window.partitionBy("image_id", "label")
+    ends = {c: F.coalesce(F.lead(c).over(w), F.min_by(c, "seq").over(whole)) - F.col(c) for c in ("y", "x")}
+    steps = lines.withColumns({f"d{c}": e for c, e in ends.items()})
+    return steps.groupBy("image_id", "label").agg(F.count("*").alias("points"), F.sum(F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double"))).alias("arc"))
+
+
+def contour_thinness(labels: DataFrame) -> DataFrame:
+    """stats with `arc`, `compactness` (4 pi area / arc^2, 0 for a lone pixel), `aspect`, `fill` and their mean `thinness`."""
+    s = cc.stats(labels).join(arc_perimeter(contours(labels)), ["image_id", "label"])
+    s = s.withColumn("compactness", F.when(F.col("arc") > 0, F.lit(4 * np.pi) * F.col("area") / (F.col("arc") * F.col("arc"))).otherwise(0.0))
+    s = s.withColumns({"aspect": F.least("height", "width") / F.greatest("height", "width"), "fill": F.col("area") / (F.col("height") * F.col("width"))})
+    return s.withColumn("thinness", (F.col("compactness") + F.col("aspect") + F.col("fill")) / 3)
+
+
+def thin_by_heuristic(labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(image_id, label) under the threshold by `contour_thinness`, of those whose aspect times fill is under 1.5 times it."""
+    box = cc.stats(labels).where(F.least("height", "width") / F.greatest("height", "width") * F.col("area") / (F.col("height") * F.col("width")) < threshold * 1.5)
+    likely = labels.join(box, ["image_id", "label"], "left_semi")
+    return contour_thinness(likely).where(F.col("thinness") < threshold).select("image_id", "label")
+
+
+def box_thinness(s: DataFrame) -> DataFrame:
+    """stats with `thin_box` from boxes and areas alone: .7 of the aspect, .3 of a square's perimeter over the box's; lines and
+    components of up to 4 pixels by rules of their own. Lower is thinner."""
+    long, short = F.greatest("height", "width"), F.least("height", "width")
+    tiny = F.when(short == 1, 0.0).otherwise(0.5)
+    line = (F.when(F.col("width") > 1, F.lit(1.0) / F.col("width")).otherwise(0.0) + F.when(F.col("height") > 1, F.lit(1.0) / F.col("height")).otherwise(0.0)) / 2
+    mixed = short / long * 0.7 + F.sqrt("area") * 4 / ((F.col("height") + F.col("width")) * 2) * 0.3
+    return s.withColumn("thin_box", F.when(F.col("area") <= 4, tiny).when(short == 1, line).otherwise(color.clip(mixed, 0.0, 1.0)))
+
+
+def fast_thinness(s: DataFrame) -> DataFrame:
+    """stats with `thin_fast`: aspect .3, fill .25, compactness .25 by a perimeter guessed from box and area, root of fill .15 and
+    .05 for having area for its length. Lower is thinner."""
+    long, short = F.greatest("height", "width"), F.least("height", "width")
+    aspect, fill = short / long, F.col("area") / (F.col("height") * F.col("width"))
+    around = (F.col("height") + F.col("width")) + F.sqrt(F.lit(np.pi) * F.col("area")) * 2 * (1 - aspect) * 0.25 + long * 2 * aspect * 0.25
+    compact = color.clip(F.lit(4 * np.pi) * F.col("area") / (around * around), 0.0, 1.0)
+    score = aspect * 0.3 + fill * 0.25 + compact * 0.25 + F.sqrt(fill) * 0.15 + (1 - F.least(F.lit(1.0), long / F.col("area") / 10)) * 0.05
+    return s.withColumn("thin_fast", color.clip(score, 0.0, 1.0))
+
+
+def thin_by_boxes(labels: DataFrame, threshold: float = 0.3, low: int = 10, high: int = 1000) -> DataFrame:
+    """(image_id, label) of components of low to high pixels whose `thin_box` is under the threshold."""
+    return box_thinness(cc.stats(labels).where(F.col("area").between(low, high))).where(F.col("thin_box") < threshold).select("image_id", "label")
+
+
 def chamfer(mask: np.ndarray) -> np.ndarray:
     """Distance to the nearest 0 by two chamfer passes (steps 0.955 and 1.3693); inside a mask without zeros it stays large."""
     a, b = 0.955, 1.3693
@@ -205,6 +297,21 @@ def detect(edges: DataFrame) -> DataFrame:
     return split_masks(unify(bridged), 3)
 
 
+def dense_edges(edges: DataFrame, share: float = 0.01) -> DataFrame:
+    """Edge pixels whose 3x3 density is over `share` of the mean density at edges, as 255; the rest is 0."""
+    dense = grid.density(edges, 3).transform(durable)
+    level = ed.suggest(dense, edges).select("image_id", (F.col("mean") * share).alias("level"))
+    met = dense.join(level, "image_id")
+    return met.select(*KEY, F.when((F.col("v") > 0) & (F.col("density") > F.col("level")), 255).otherwise(0).cast("long").alias("v"))
+
+
+def image_masks(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, x, roi, nonroi) of colour images, end to end: best thresholds on gray, Canny on colour, density filter, `detect`."""
+    limits = ed.best_limits(pixels.select(*KEY, color.gray().alias("v")).transform(durable))
+    edges = ed.canny_rgb(pixels, limits).transform(durable)
+    return detect(dense_edges(edges).transform(durable))
+
+
 def skeleton(mask: np.ndarray) -> np.ndarray:
     """Zhang-Suen thinning."""
     img = np.pad(mask.astype(np.uint8), 1)
@@ -258,7 +365,7 @@ def connect_by_growing(binary: DataFrame, distance: int = 5, min_size: int = 5)
 def tight_boxes(labels: DataFrame) -> DataFrame:
     """(image_id, label, minr, minc, maxr, maxc, area): exclusive boxes, clamped to the image; one-pixel-thin ones get one more."""
     size = labels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    s = cc.stats(labels).join(F.broadcast(size), "image_id")
+    s = cc.stats(labels).join(size, "image_id")
     thin = F.when((F.col("height") == 1) | (F.col("width") == 1), 1).otherwise(0)
     return s.select("image_id", "label", F.col("top").alias("minr"), F.col("left").alias("minc"), F.least("h", F.col("top") + F.col("height") + thin).alias("maxr"), F.least("w", F.col("left") + F.col("width") + thin).alias("maxc"), "area")
 

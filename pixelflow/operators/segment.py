@@ -12,6 +12,7 @@ from . import grid
 from .grid import along_x, along_y, reflected
 
 KEY = ["image_id", "y", "x"]
+TONE = ["tone_l", "tone_a", "tone_b"]
 
 
 def lbp(gray: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def entropy(gray: DataFrame, bins: int = 32) -> DataFrame:
     h = gray.groupBy("image_id", F.floor(F.col("v") * bins / 256).alias("bin")).agg(F.count("*").alias("n"))
     total = gray.groupBy("image_id").agg(F.count("*").alias("t"))
     p = F.col("n") / F.col("t")
-    return h.join(F.broadcast(total), "image_id").groupBy("image_id").agg((-F.sum(p * F.log2(p))).alias("entropy"))
+    return h.join(total, "image_id").groupBy("image_id").agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
 def scores(pixels: DataFrame, inside: str | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def segments_wanted(scored: DataFrame) -> DataFrame:
 
 
 def slic_labels(y: np.ndarray, x: np.ndarray, rgb: np.ndarray, segments: int, compactness: float = 10.0, rounds: int = 10) -> np.ndarray:
-    """Superpixel labels from 1: k-means in colour and place around a regular grid of seeds, each in its window."""
+    """Superpixel labels from 1: k-means in colour (three columns) and place around a regular grid of seeds, each in its window."""
     top, left = y.min(), x.min()
     h, w = int(y.max() - top) + 1, int(x.max() - left) + 1
     step = max(1.0, (len(y) / max(1, segments)) ** 0.5)
@@ -103,15 +104,15 @@ def slic_labels(y: np.ndarray, x: np.ndarray, rgb: np.ndarray, segments: int, co
 
 
 def slic(pixels: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(image_id, y, x, r, g, b, segment) of every pixel; a region (here an image) is one task's."""
+    """(image_id, y, x, r, g, b, segment) of every pixel, clustered in L*a*b*; a region (here an image) is one task's."""
 
     def run(key, table):
         y, x = (table.column(c).to_numpy() for c in ("y", "x"))
-        rgb = np.column_stack([table.column(c).to_numpy() for c in "rgb"]).astype(float)
-        label = slic_labels(y, x, rgb, table.column("segments")[0].as_py())
-        return table.drop_columns(["segments"]).append_column("segment", pa.array(label.astype(np.int64)))
+        tone = np.column_stack([table.column(c).to_numpy() for c in TONE])
+        label = slic_labels(y, x, tone, table.column("segments")[0].as_py())
+        return table.drop_columns(["segments", *TONE]).append_column("segment", pa.array(label.astype(np.int64)))
 
-    kept = pixels.select(*KEY, "r", "g", "b").join(F.broadcast(wanted.select("image_id", "segments")), "image_id")
+    kept = pixels.select(*KEY, "r", "g", "b", *(c.alias(n) for c, n in zip(color.lab(), TONE, strict=True))).join(wanted.select("image_id", "segments"), "image_id")
     return kept.groupBy("image_id").applyInArrow(run, "image_id long, y long, x long, r long, g long, b long, segment long")
 
 

@@ -154,6 +154,13 @@ def black_fix(spark, d):
     return palette.black_fix(p).select(*PIXEL, "segment", "r", "g", "b")
 
 
+@query(S.MOSAIC + S.HOLES)
+def black_holes(spark, d):
+    p = fx.mosaic(spark, d)
+    coarse = p.select(*PIXEL, *(F.when(F.col("pid") % 7 < 2, 0).otherwise(F.floor(F.col(c) / 64) * 64).cast("long").alias(c) for c in "rgb"))
+    return palette.fill_black_holes(coarse, 4)
+
+
 @query(S.CORPUS + S.BLACK + "SELECT image_id, CAST(floor(x / 10) AS BIGINT) AS segment, CAST(count(*) AS BIGINT) AS pixels, CAST(count(*) FILTER (r + g + b = 0) AS BIGINT) AS black FROM blk3 GROUP BY image_id, floor(x / 10)")
 def black_sources(spark, d):
     return segment.black_sources(fx.blackened(fx.corpus(spark, d)).withColumn("segment", F.floor(F.col("x") / 10)))
@@ -230,7 +237,7 @@ def close(spark, d):
 
 
 @query(S.MOSAIC + S.near(1) + S.near(1, "nb", "lo", "nb2") + "SELECT image_id, y, x, CAST(hi AS BIGINT) AS v FROM nb2")
-def open_thin(spark, d):
+def thin_opening(spark, d):
     return grid.open_(mosaic_white(spark, d), 3)
 
 
@@ -254,17 +261,17 @@ def gap_relaxed(spark, d):
     return grid.fill_relaxed(mosaic_white(spark, d), 5, 0.7)
 
 
-@query()
+@query(S.MOSAIC + S.GAP_DENSE)
 def gap_dense(spark, d):
     return grid.fill_dense(mosaic_white(spark, d), 5, 5, 0.4, 100)
 
 
-@query()
+@query(S.MOSAIC_CC + S.components(True) + S.STATS + S.BIG + S.ellipse(3, "big") + "SELECT image_id, y, x, CAST(lo AS BIGINT) AS v FROM el2")
 def dilation_connect(spark, d):
     return roi.connect_by_dilation(mosaic_white(spark, d), 3, 20)
 
 
-@query()
+@query(S.MOSAIC_CC + S.components(True) + S.STATS + S.BIG + S.ellipse(3, "big") + "SELECT f4.image_id, y, x, CAST(greatest(f4.v, el1.v) AS BIGINT) AS v FROM f4 JOIN el1 USING (y, x)")
 def growing_connect(spark, d):
     return roi.connect_by_growing(mosaic_white(spark, d), 3, 20)
 
@@ -285,9 +292,9 @@ def protect_borders(spark, d):
     return grid.protect_borders(w, w.withColumn("v", F.when(F.col("x") % 7 == 0, 255).otherwise(0)), 7)
 
 
-@query()
+@query(S.CORPUS + S.BILATERAL)
 def bilateral_blur(spark, d):
-    return rounded(grid.bilateral(corpus_gray(spark, d)), 4)
+    return grid.bilateral(fx.corpus(spark, d))
 
 
 # components and regions
@@ -332,9 +339,8 @@ def remove_small(spark, d):
 @query(S.MOSAIC_CC + S.components(True) + S.STATS + "SELECT image_id, CASE WHEN area < (SELECT ceil(count(*) * 3 / power(10, ceil(log10(count(*) * 3)) - 3)) FROM f4) THEN 'nonroi' ELSE 'roi' END AS kind, label, area FROM st")
 def small_reassign(spark, d):
     masks = roi.split_disjoint(mosaic_white(spark, d))
-    size = masks.count() * 3
-    own = components.stats(components.label(masks.where("roi")))
-    return own.select("image_id", F.when(F.col("area") < roi.small_limit(F.lit(size)), "nonroi").otherwise("roi").alias("kind"), "label", "area")
+    own = components.stats(components.label(masks.where("roi"))).join(masks.groupBy("image_id").agg((F.count("*") * 3).alias("size")), "image_id")
+    return own.select("image_id", F.when(F.col("area") < roi.small_limit(F.col("size")), "nonroi").otherwise("roi").alias("kind"), "label", "area")
 
 
 @query(S.MOSAIC_CC + S.components(True) + S.STATS + "SELECT st.image_id, st.label, lab.label AS parent_label FROM st JOIN lab ON lab.y = st.top + CAST(floor(st.height / 2) AS BIGINT) AND lab.x = st.left + CAST(floor(st.width / 2) AS BIGINT) WHERE lab.label <> st.label")
@@ -347,32 +353,57 @@ def thinness_score(spark, d):
     return rounded(roi.thinness(mosaic_labels(spark, d)).select("image_id", "label", "edges", "compactness", "aspect", "fill", "thinness"))
 
 
-@query()
+@query(S.MOSAIC_CC + S.components(True) + S.STATS + S.THIN_WEIGHTED)
 def thin_score_weighted(spark, d):
     return rounded(roi.thin_score(roi.thinness(mosaic_labels(spark, d))).select("image_id", "label", "thin_score"))
 
 
-@query()
+@query(S.MOSAIC_CC + S.NOISE)
 def remove_noise(spark, d):
     return roi.remove_noise(mosaic_white(spark, d), 75, 10.0, 5)
 
 
+@query(S.MOSAIC_CC + S.components(True) + S.STATS + S.THIN_BOX)
+def thin_score_box(spark, d):
+    return rounded(roi.box_thinness(components.stats(mosaic_labels(spark, d))).select("image_id", "label", "thin_box"))
+
+
+@query(S.MOSAIC_CC + S.components(True) + S.STATS + S.THIN_FAST)
+def thin_score_fast(spark, d):
+    return rounded(roi.fast_thinness(components.stats(mosaic_labels(spark, d))).select("image_id", "label", "thin_fast"))
+
+
+@query()
+def contour_arcs(spark, d):
+    return rounded(roi.arc_perimeter(roi.contours(mosaic_labels(spark, d))))
+
+
+@query()
+def contour_thinness(spark, d):
+    return rounded(roi.contour_thinness(mosaic_labels(spark, d)).select("image_id", "label", "arc", "thinness"))
+
+
+@query()
+def thin_heuristic(spark, d):
+    return roi.thin_by_heuristic(mosaic_labels(spark, d), 0.5)
+
+
 @query()
 def remove_thin(spark, d):
     return roi.remove_thin(mosaic_white(spark, d), 0.6, 0.3, 5)
 
 
-@query()
+@query(S.MOSAIC + S.REGION_LIST)
 def region_list(spark, d):
     return roi.regions(roi.split_masks(mosaic_white(spark, d), 3))
 
 
-@query()
+@query(S.MOSAIC + S.REGION_SWAP)
 def region_swap(spark, d):
     return roi.swap_small(roi.split_disjoint(mosaic_white(spark, d)))
 
 
-@query()
+@query(S.MOSAIC + S.CONTEXT)
 def contextual_clean(spark, d):
     return roi.contextual_clean(mosaic_white(spark, d))
 
@@ -392,12 +423,22 @@ def distance_map(spark, d):
     return rounded(roi.distances(corpus_white(spark, d)), 4)
 
 
+@query(S.MOSAIC + S.DENSE_EDGES)
+def dense_edges(spark, d):
+    return roi.dense_edges(mosaic_white(spark, d), 1.7)
+
+
 @query()
 def roi_detect(spark, d):
     limits = edges.scaled(edges.thresholds(mosaic_gray(spark, d)).where("method = 'otsu'")).drop("method")
     return roi.detect(edges.canny(mosaic_gray(spark, d), limits))
 
 
+@query()
+def get_regions(spark, d):
+    return roi.image_masks(fx.corpus(spark, d))
+
+
 # thresholds and edges
 
 
@@ -432,7 +473,7 @@ def thr_suggest(spark, d):
     return rounded(edges.suggest(grid.density(w, 3), w))
 
 
-@query()
+@query(S.CORPUS + S.THR_FAST)
 def thr_fast(spark, d):
     return rounded(edges.fast_thresholds(corpus_gray(spark, d)))
 
@@ -448,6 +489,12 @@ def canny(spark, d):
     return edges.canny(g, g.select("image_id").distinct().select("image_id", F.lit(100).alias("low"), F.lit(200).alias("high")))
 
 
+@query(S.MOSAIC + S.CANNY_RGB)
+def canny_rgb(spark, d):
+    p = fx.mosaic(spark, d)
+    return edges.canny_rgb(p, p.select("image_id").distinct().select("image_id", F.lit(100).alias("low"), F.lit(200).alias("high")))
+
+
 @query()
 def canny_best(spark, d):
     return edges.best(mosaic_gray(spark, d))
@@ -574,6 +621,12 @@ def segment_boundaries(spark, d):
     return segment.boundaries(slic_segments(spark, d)).select("image_id", "segment", "area", "num_points")
 
 
+@query(S.CORPUS + S.BLOCK_BORDERS)
+def block_boundaries(spark, d):
+    blocks = fx.corpus(spark, d).select(*PIXEL, (F.floor(F.col("y") / 7) * 100 + F.floor(F.col("x") / 9)).alias("segment"))
+    return segment.boundaries(blocks).select("image_id", "segment", "area", "num_points")
+
+
 @query()
 def watershed(spark, d):
     return segment.watershed(corpus_white(spark, d), 16)
@@ -660,6 +713,16 @@ def clahe_regions(spark, d):
     return enhance.shadow_regions(corpus_gray(spark, d))
 
 
+@query(S.CORPUS + S.LAB8)
+def lab_bytes(spark, d):
+    return fx.corpus(spark, d).select(*PIXEL, *(c.alias(n) for c, n in zip(color.lab8(), ("l", "a", "bb"), strict=True)))
+
+
+@query()
+def clahe_images(spark, d):
+    return enhance.images(fx.corpus(spark, d))
+
+
 @query()
 def clahe_gain(spark, d):
     g = corpus_gray(spark, d)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import color
 from ..functions.durable import durable
-from ..operators import codec, edges, overlay, palette, quality, roi, segment
+from ..operators import codec, overlay, palette, quality, roi, segment
 
 PIXEL = ["image_id", "y", "x"]
 #: Quality of the levels: ROI and non-ROI sub-regions, their regions (twice that), the image (the sum).
@@ -30,24 +29,24 @@ def region_segments(pixels: DataFrame, regions: DataFrame) -> DataFrame:
     regions: (image_id, region, y, x); the segments wanted follow from the score and the box, without a cap.
     """
     boxes = regions.groupBy("image_id", "region").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    canvas = pixels.join(F.broadcast(boxes), "image_id").where("y between y0 and y1 and x between x0 and x1").select("image_id", "region", "y", "x", "r", "g", "b")
+    canvas = pixels.join(boxes, "image_id").where("y between y0 and y1 and x between x0 and x1").select("image_id", "region", "y", "x", "r", "g", "b")
     own = regions.select("image_id", "region", "y", "x", F.lit(True).alias("own"))
     canvas = canvas.join(own, ["image_id", "region", "y", "x"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
     canvas = canvas.drop("image_id").withColumnRenamed("region", "image_id").transform(durable)
     box = boxes.select(F.col("region").alias("image_id"), ((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)).alias("size"))
     wanted = segment.segments_wanted(segment.scores(canvas, "own").drop("size").join(box, "image_id"))
     found = segment.slic(canvas.where("own"), wanted).withColumnRenamed("image_id", "region")
-    return found.join(F.broadcast(boxes.select("image_id", "region")), "region")
+    return found.join(boxes.select("image_id", "region"), "region")
 
 
 def encode_images(pixels: DataFrame, roi_mask: DataFrame | None = None) -> DataFrame:
     """(image_id, original_size, bytes, ratio, psnr): images through all levels, packed, decoded and compared.
 
-    roi_mask: (image_id, y, x, v); by default the masks of `roi.detect` on each image's best edge map.
+    roi_mask: (image_id, y, x, v); by default those of `roi.image_masks`.
     """
     pixels = pixels.select(*PIXEL, "r", "g", "b").transform(durable)
     if roi_mask is None:
-        masks = roi.detect(edges.best(pixels.select(*PIXEL, color.gray().alias("v")).transform(durable)))
+        masks = roi.image_masks(pixels)
     else:
         masks = roi.split_masks(roi_mask, 1)
     regions = roi.swap_small(masks.transform(durable)).select("image_id", "kind", F.xxhash64("image_id", "kind", "label").alias("region"), "y", "x").transform(durable)

@@ -50,10 +50,10 @@ def diamond(steps: int) -> str:
     return f", dia AS (SELECT a.image_id, a.y, a.x, bool_or(b.v > 0) AS near_white, bool_or(b.v = 0) AS near_black FROM f4 a JOIN f4 b ON abs(a.y - b.y) + abs(a.x - b.x) <= {steps} AND b.y BETWEEN a.y - {steps} AND a.y + {steps} AND b.x BETWEEN a.x - {steps} AND a.x + {steps} GROUP BY a.image_id, a.y, a.x)\n"
 
 
-def ellipse(radius: int) -> str:
+def ellipse(radius: int, source: str = "f4") -> str:
     cond = "abs(a.x - b.x) <= round_even({r} * sqrt(1 - power((a.y - b.y) / CAST({r} AS DOUBLE), 2)), 0)".format(r=radius)
     join = f"b.y BETWEEN a.y - {radius} AND a.y + {radius} AND b.x BETWEEN a.x - {radius} AND a.x + {radius} AND {cond}"
-    return f", el1 AS (SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM f4 a JOIN f4 b ON {join} GROUP BY a.image_id, a.y, a.x), el2 AS (SELECT a.image_id, a.y, a.x, min(b.v) AS lo FROM el1 a JOIN el1 b ON {join} GROUP BY a.image_id, a.y, a.x)\n"
+    return f", el1 AS (SELECT a.image_id, a.y, a.x, max(b.v) AS v FROM {source} a JOIN {source} b ON {join} GROUP BY a.image_id, a.y, a.x), el2 AS (SELECT a.image_id, a.y, a.x, min(b.v) AS lo FROM el1 a JOIN el1 b ON {join} GROUP BY a.image_id, a.y, a.x)\n"
 
 
 LUMA_SPLIT = """, c AS (SELECT *, idx % 3 AS cluster FROM pal), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY cluster),
@@ -75,7 +75,7 @@ SELECT image_id, y, x, segment, CASE WHEN r + g + b = 0 THEN coalesce(dr, r) ELS
 
 OVERLAY = """, rect(comp_ord, y0, y1, x0, x1) AS (VALUES (0, 0, 6, 0, 60), (1, 3, 9, 30, 90), (2, 2, 8, 10, 80)),
 bl AS (SELECT image_id, y, x, CASE WHEN pid % 16 = 0 THEN 0 ELSE CAST(floor(r / 16) AS BIGINT) * 16 END AS r, CASE WHEN pid % 16 = 0 THEN 0 ELSE CAST(floor(g / 16) AS BIGINT) * 16 END AS g, CASE WHEN pid % 16 = 0 THEN 0 ELSE CAST(floor(b / 16) AS BIGINT) * 16 END AS b FROM f1),
-placed AS (SELECT image_id, CAST(comp_ord AS BIGINT) AS comp_ord, y, x, r + comp_ord AS r, g + comp_ord AS g, b + comp_ord AS b FROM bl JOIN rect ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 WHERE r + g + b > 0)
+placed AS (SELECT image_id, CAST(comp_ord AS BIGINT) AS comp_ord, y, x, r + comp_ord AS r, g + comp_ord AS g, b + comp_ord AS b FROM bl, (SELECT max(y) + 1 AS h FROM f1) JOIN rect ON y * 10 >= y0 * h AND y * 10 < y1 * h AND x >= x0 AND x < x1 WHERE r + g + b > 0)
 """
 
 RLE = """, ix AS (SELECT image_id, y, x, CAST(floor(r / 16) AS BIGINT) AS idx FROM f3),
@@ -118,16 +118,23 @@ SELECT f4.image_id, f4.y, f4.x, CAST(CASE WHEN (s0 AND s1) OR (s2 AND s3) OR (s4
 MOSAIC_CC = MOSAIC + ", fg AS (SELECT pid, image_id, y, x FROM f4 WHERE v > 0)\n"
 
 
-def components(eight: bool, fg: str = "fg", name: str = "lab") -> str:
-    """`lab`(image_id, y, x, label): the least pid spreads through the neighbours."""
+def components(eight: bool, fg: str = "fg", name: str = "lab", tag: str = "") -> str:
+    """`lab`(image_id, y, x, label): the least pid spreads through the neighbours; `tag` keeps several in one text apart."""
     near_ = "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1" if eight else "abs(a.x - b.x) + abs(a.y - b.y) <= 1"
-    return f""", nbr AS (SELECT a.pid AS a, b.pid AS b FROM {fg} a JOIN {fg} b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.pid <> b.pid AND {near_}),
-cc(pid, lab) USING KEY (pid) AS (SELECT pid, pid FROM {fg} UNION (SELECT nbr.b, min(cc.lab) FROM cc JOIN nbr ON nbr.a = cc.pid JOIN recurring.cc AS o ON o.pid = nbr.b WHERE cc.lab < o.lab GROUP BY nbr.b)),
-{name} AS (SELECT f.image_id, f.y, f.x, CAST(dense_rank() OVER (ORDER BY cc.lab) AS BIGINT) AS label FROM {fg} f JOIN cc USING (pid))
+    return f""", nbr{tag} AS (SELECT a.pid AS a, b.pid AS b FROM {fg} a JOIN {fg} b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.pid <> b.pid AND {near_}),
+cc{tag}(pid, lab) USING KEY (pid) AS (SELECT pid, pid FROM {fg} UNION (SELECT nbr{tag}.b, min(cc{tag}.lab) FROM cc{tag} JOIN nbr{tag} ON nbr{tag}.a = cc{tag}.pid JOIN recurring.cc{tag} AS o ON o.pid = nbr{tag}.b WHERE cc{tag}.lab < o.lab GROUP BY nbr{tag}.b)),
+{name} AS (SELECT f.image_id, f.y, f.x, CAST(dense_rank() OVER (ORDER BY cc{tag}.lab) AS BIGINT) AS label FROM {fg} f JOIN cc{tag} USING (pid))
 """
 
 
-STATS = ', st AS (SELECT image_id, label, min(y) AS top, min(x) AS "left", max(y) - min(y) + 1 AS height, max(x) - min(x) + 1 AS width, CAST(count(*) AS BIGINT) AS area FROM lab GROUP BY image_id, label)\n'
+
+
+def stats(lab: str = "lab", name: str = "st") -> str:
+    return f', {name} AS (SELECT image_id, label, min(y) AS top, min(x) AS "left", max(y) - min(y) + 1 AS height, max(x) - min(x) + 1 AS width, CAST(count(*) AS BIGINT) AS area FROM {lab} GROUP BY image_id, label)\n'
+
+
+STATS = stats()
+_LIMIT = "(SELECT ceil(count(*) * 3 / power(10, ceil(log10(count(*) * 3)) - 3)) FROM f4)"
 
 THINNESS = """, sd(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
 pe AS (SELECT l.label, count(*) AS edges FROM lab l, sd WHERE NOT EXISTS (SELECT 1 FROM lab o WHERE o.label = l.label AND o.y = l.y + dy AND o.x = l.x + dx) GROUP BY l.label),
@@ -239,3 +246,120 @@ SELECT shape_id, seq, px, py FROM ra WHERE k <= 20"""
 
 DEDUPE = """, dd AS (SELECT shape_id, seq, floor(px / 8) AS px, CAST(1 AS DOUBLE) AS py FROM pl)
 SELECT shape_id, seq, px, py FROM (SELECT *, lag(px) OVER (PARTITION BY shape_id ORDER BY seq) AS q FROM dd) WHERE q IS NULL OR q <> px"""
+
+#: White components of 20 pixels or more, as a map `big`.
+BIG = ", big AS (SELECT f4.image_id, f4.y, f4.x, CAST(CASE WHEN st.area >= 20 THEN 255 ELSE 0 END AS BIGINT) AS v FROM f4 LEFT JOIN lab ON lab.y = f4.y AND lab.x = f4.x LEFT JOIN st ON st.label = lab.label)\n"
+
+_AROUND = " + ".join(f"(coalesce(max(v) OVER ({w} ROWS BETWEEN {a} AND {b}), 0) > 0)::INT" for w in ("wx", "wy") for a, b in (("5 PRECEDING", "1 PRECEDING"), ("1 FOLLOWING", "5 FOLLOWING")))
+GAP_DENSE = (
+    box(5)
+    + _sobel("f4", "v")
+    + ", mg AS (SELECT image_id, y, x, gx * gx + gy * gy AS v FROM sob)"
+    + near(1, "mg", "v", "m1")
+    + f""", sides AS (SELECT y, x, v, {_AROUND} AS n FROM f4 WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y))
+SELECT m1.image_id, y, x, CAST(CASE WHEN v = 0 AND box.hits >= 10 AND n >= 3 AND hi <= 10000 THEN 255 ELSE v END AS BIGINT) AS v FROM sides JOIN box USING (y, x) JOIN m1 USING (y, x)"""
+)
+
+_SIDE = {"l": "lag({c}) OVER wx, lead({c}) OVER wx", "w": "lead({c}) OVER wx, lag({c}) OVER wx", "u": "lag({c}) OVER wy, lead({c}) OVER wy", "e": "lead({c}) OVER wy, lag({c}) OVER wy"}
+_WEIGHT = "exp(-power(CAST(abs({s}r - r) + abs({s}g - g) + abs({s}b - b) AS DOUBLE), 2) / 200 - 1 / CAST(200 AS DOUBLE))"
+BILATERAL = (
+    ", sd AS (SELECT *, "
+    + ", ".join(f"coalesce({text.format(c=c)}, {c}) AS {s}{c}" for s, text in _SIDE.items() for c in "rgb")
+    + " FROM f3 WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y)), we AS (SELECT *, "
+    + ", ".join(f"{_WEIGHT.format(s=s)} AS w{s}" for s in _SIDE)
+    + " FROM sd) SELECT image_id, y, x, "
+    + ", ".join(f"CAST(floor(round(({c} + " + " + ".join(f"w{s} * {s}{c}" for s in _SIDE) + f") / (1 + {' + '.join(f'w{s}' for s in _SIDE)}), 6)) AS BIGINT) AS {c}" for c in "rgb")
+    + " FROM we"
+)
+
+THIN_WEIGHTED = THINNESS.rsplit("\nSELECT", 1)[0] + """
+SELECT q.image_id, q.label, round(greatest(0, least(1, CAST((1 - a) * 0.3 + (1 - f) * 0.25 + (1 - c) * 0.25 + CASE WHEN least(height, width) <= 1 THEN 0.2 ELSE 0 END AS DOUBLE))), 6) AS thin_score FROM q JOIN st USING (label)"""
+
+NOISE = (
+    components(True)
+    + box(5)
+    + """, dirt AS (SELECT label FROM lab JOIN box USING (y, x) GROUP BY label HAVING count(*) < 75 AND sum(hits) < count(*) * 10),
+once AS (SELECT f4.image_id, f4.pid, f4.y, f4.x, CASE WHEN dirt.label IS NOT NULL THEN 0 ELSE f4.v END AS v FROM f4 LEFT JOIN lab USING (y, x) LEFT JOIN dirt ON dirt.label = lab.label),
+fgb AS (SELECT pid, image_id, y, x FROM once WHERE v = 0)
+"""
+    + components(True, "fgb", "labb", "b")
+    + """, spots AS (SELECT label FROM labb JOIN box USING (y, x) GROUP BY label HAVING count(*) < 75 AND sum(hits) < count(*) * 10)
+SELECT once.image_id, once.y, once.x, CAST(CASE WHEN spots.label IS NOT NULL THEN 255 ELSE once.v END AS BIGINT) AS v FROM once LEFT JOIN labb USING (y, x) LEFT JOIN spots ON spots.label = labb.label"""
+)
+
+REGION_LIST = (
+    diamond(3)
+    + ", fga AS (SELECT y * 100 + x AS pid, image_id, y, x FROM dia WHERE near_white), fgb AS (SELECT y * 100 + x AS pid, image_id, y, x FROM dia WHERE near_black)"
+    + components(True, "fga", "laba", "a")
+    + components(True, "fgb", "labb", "b")
+    + stats("laba", "sta")
+    + stats("labb", "stb")
+    + f"""SELECT image_id, CASE WHEN area < {_LIMIT} THEN 'nonroi' ELSE 'roi' END AS kind, label, top, "left", height, width, area FROM sta UNION ALL SELECT image_id, 'nonroi', label, top, "left", height, width, area FROM stb"""
+)
+
+REGION_SWAP = (
+    ", fga AS (SELECT pid, image_id, y, x FROM f4 WHERE v > 0), fgb AS (SELECT pid, image_id, y, x FROM f4 WHERE v <= 0)"
+    + components(True, "fga", "laba", "a")
+    + components(True, "fgb", "labb", "b")
+    + stats("laba", "sta")
+    + stats("labb", "stb")
+    + f""", moved AS (SELECT l.image_id, l.y, l.x, area >= {_LIMIT} AS roi FROM laba l JOIN sta USING (label) UNION ALL SELECT l.image_id, l.y, l.x, area < {_LIMIT} FROM labb l JOIN stb USING (label)),
+fgc AS (SELECT y * 100 + x AS pid, image_id, y, x FROM moved WHERE roi), fgd AS (SELECT y * 100 + x AS pid, image_id, y, x FROM moved WHERE NOT roi)
+"""
+    + components(True, "fgc", "labc", "c")
+    + components(True, "fgd", "labd", "d")
+    + "SELECT image_id, 'roi' AS kind, label, y, x FROM labc UNION ALL SELECT image_id, 'nonroi', label, y, x FROM labd"
+)
+
+CONTEXT = (
+    near(1)
+    + near(1, "nb", "lo", "nb2")
+    + ", fg AS (SELECT y * 100 + x AS pid, image_id, y, x FROM nb2 WHERE hi > 0)"
+    + components(True)
+    + STATS
+    + """, up AS (SELECT st.label, p.area AS parent FROM st JOIN lab ON lab.y = st.top + CAST(floor(st.height / 2) AS BIGINT) AND lab.x = st.left + CAST(floor(st.width / 2) AS BIGINT) JOIN st p ON p.label = lab.label WHERE lab.label <> st.label),
+keep AS (SELECT st.label FROM st LEFT JOIN up USING (label) WHERE area >= 10 AND (parent IS NULL OR area >= parent * 0.1))
+SELECT f4.image_id, f4.y, f4.x, CAST(CASE WHEN keep.label IS NOT NULL THEN 255 ELSE 0 END AS BIGINT) AS v FROM f4 LEFT JOIN lab USING (y, x) LEFT JOIN keep ON keep.label = lab.label"""
+)
+
+THR_FAST = SOBEL + """, gm AS (SELECT image_id, abs(gx) + abs(gy) AS m FROM sob WHERE abs(gx) + abs(gy) > 0),
+gr AS (SELECT image_id, m, row_number() OVER (PARTITION BY image_id ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM gm),
+gq AS (SELECT image_id, CAST(CASE WHEN max(n) > 100 THEN max(m) FILTER (i = floor(n * CAST(0.1 AS DOUBLE))) ELSE 50 END AS DOUBLE) AS c, CAST(CASE WHEN max(n) > 100 THEN max(m) FILTER (i = floor(n * CAST(0.9 AS DOUBLE))) ELSE 150 END AS DOUBLE) AS d FROM gr GROUP BY image_id),
+gp AS (SELECT image_id, quantile_cont(CAST(v AS DOUBLE), 0.25) * CAST(0.7 AS DOUBLE) AS a, quantile_cont(CAST(v AS DOUBLE), 0.75) * CAST(1.3 AS DOUBLE) AS b FROM sob GROUP BY image_id)
+SELECT image_id, round((a + c) / 2, 6) AS low, round((b + d) / 2, 6) AS high FROM gp JOIN gq USING (image_id)"""
+
+BLOCK_BORDERS = """, sg AS (SELECT image_id, y, x, CAST(floor(y / 7) * 100 + floor(x / 9) AS BIGINT) AS segment FROM f3), sd(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+bp AS (SELECT DISTINCT s.image_id, s.segment, s.y, s.x FROM sg s, sd WHERE NOT EXISTS (SELECT 1 FROM sg o WHERE o.image_id = s.image_id AND o.segment = s.segment AND o.y = s.y + dy AND o.x = s.x + dx)),
+bn AS (SELECT image_id, segment, count(*) AS n FROM bp GROUP BY image_id, segment),
+bs AS (SELECT image_id, segment, CAST(count(*) AS BIGINT) AS area, min(y) = max(y) OR min(x) = max(x) AS flat FROM sg GROUP BY image_id, segment)
+SELECT image_id, segment, area, CAST(CASE WHEN flat THEN 4 ELSE n END AS BIGINT) AS num_points FROM bs JOIN bn USING (image_id, segment)"""
+
+_CHANNELS = ", ".join(f"coalesce(lag(d{c}) OVER wy, lead(d{c}) OVER wy, d{c}) + 2 * d{c} + coalesce(lead(d{c}) OVER wy, lag(d{c}) OVER wy, d{c}) AS x{c}, coalesce(lead(s{c}) OVER wy, lag(s{c}) OVER wy, s{c}) - coalesce(lag(s{c}) OVER wy, lead(s{c}) OVER wy, s{c}) AS y{c}" for c in "rgb")
+_LINES = ", ".join(f"coalesce(lead({c}) OVER wx, lag({c}) OVER wx, {c}) - coalesce(lag({c}) OVER wx, lead({c}) OVER wx, {c}) AS d{c}, coalesce(lag({c}) OVER wx, lead({c}) OVER wx, {c}) + 2 * {c} + coalesce(lead({c}) OVER wx, lag({c}) OVER wx, {c}) AS s{c}" for c in "rgb")
+_STRONGEST = "CASE WHEN abs(xr) + abs(yr) >= abs(xg) + abs(yg) AND abs(xr) + abs(yr) >= abs(xb) + abs(yb) THEN {k}r WHEN abs(xg) + abs(yg) >= abs(xb) + abs(yb) THEN {k}g ELSE {k}b END"
+CANNY_RGB = f""", c1 AS (SELECT image_id, y, x, {_LINES} FROM f1 WINDOW wx AS (PARTITION BY image_id, y ORDER BY x)),
+c2 AS (SELECT image_id, y, x, {_CHANNELS} FROM c1 WINDOW wy AS (PARTITION BY image_id, x ORDER BY y)),
+sob AS (SELECT image_id, y, x, {_STRONGEST.format(k="x")} AS gx, {_STRONGEST.format(k="y")} AS gy FROM c2)
+""" + CANNY.removeprefix(_sobel("f1", _GRAY))
+
+DENSE_EDGES = box(3) + """, lv AS (SELECT avg(hits / CAST(9 AS DOUBLE)) * 1.7 AS level FROM box JOIN f4 USING (y, x) WHERE v > 0)
+SELECT f4.image_id, y, x, CAST(CASE WHEN v > 0 AND hits / CAST(9 AS DOUBLE) > level THEN 255 ELSE 0 END AS BIGINT) AS v FROM f4 JOIN box USING (y, x), lv"""
+
+#: Coarse pixels, black where pid has few bits left; black components of up to 4 pixels filled.
+HOLES = """, hp AS (SELECT image_id, pid, y, x, CASE WHEN pid % 7 < 2 THEN 0 ELSE CAST(floor(r / 64) AS BIGINT) * 64 END AS r, CASE WHEN pid % 7 < 2 THEN 0 ELSE CAST(floor(g / 64) AS BIGINT) * 64 END AS g, CASE WHEN pid % 7 < 2 THEN 0 ELSE CAST(floor(b / 64) AS BIGINT) * 64 END AS b FROM f1),
+fg AS (SELECT pid, image_id, y, x FROM hp WHERE r + g + b = 0)
+""" + components(False) + STATS + """, hd(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+hn AS (SELECT DISTINCT l.label, l.y + dy AS y, l.x + dx AS x FROM lab l JOIN st USING (label), hd WHERE area <= 4),
+hc AS (SELECT hn.label, r, g, b, count(*) AS n, min(hp.pid) AS first FROM hn JOIN hp USING (y, x) WHERE r + g + b > 0 GROUP BY ALL),
+hf AS (SELECT label, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, first) AS k FROM hc) WHERE k = 1)
+SELECT hp.image_id, hp.y, hp.x, coalesce(hf.r, hp.r) AS r, coalesce(hf.g, hp.g) AS g, coalesce(hf.b, hp.b) AS b FROM hp LEFT JOIN lab USING (y, x) LEFT JOIN hf ON hf.label = lab.label"""
+
+THIN_BOX = """SELECT image_id, label, round(CASE WHEN area <= 4 THEN CASE WHEN least(height, width) = 1 THEN 0 ELSE 0.5 END WHEN least(height, width) = 1 THEN (CASE WHEN width > 1 THEN 1 / CAST(width AS DOUBLE) ELSE 0 END + CASE WHEN height > 1 THEN 1 / CAST(height AS DOUBLE) ELSE 0 END) / 2
+ELSE greatest(0, least(1, CAST(0.7 AS DOUBLE) * least(height, width) / greatest(height, width) + CAST(0.3 AS DOUBLE) * 4 * sqrt(area) / (2 * (height + width)))) END, 6) AS thin_box FROM st"""
+
+THIN_FAST = """, fa AS (SELECT *, least(height, width) / CAST(greatest(height, width) AS DOUBLE) AS a, area / CAST(height * width AS DOUBLE) AS f, CAST(greatest(height, width) AS DOUBLE) AS long FROM st),
+fb AS (SELECT *, (height + width) + 2 * sqrt(pi() * area) * (1 - a) / 4 + 2 * long * a / 4 AS p FROM fa)
+SELECT image_id, label, round(greatest(0, least(1, CAST(a * 0.3 + f * 0.25 + greatest(0, least(1, 4 * pi() * area / (p * p))) * 0.25 + sqrt(f) * 0.15 + (1 - least(1, long / area / 10)) * 0.05 AS DOUBLE))), 6) AS thin_fast FROM fb"""
+
+_LAB8 = ", ".join(f"CAST(greatest(0, least(255, floor({e} + 0.5))) AS BIGINT) AS {n}" for e, n in (("(fcy * 116 - 16) * 2.55", "l"), ("(fcx - fcy) * 500 + 128", "a"), ("(fcy - fcz) * 200 + 128", "bb")))
+LAB8 = LAB.rsplit("\nSELECT", 1)[0] + f"\nSELECT image_id, y, x, {_LAB8} FROM ff"

@@ -33,7 +33,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = p.agg((F.max("y") + 1).alias("h"))
     p = p.crossJoin(F.broadcast(top)).withColumn("image_id", F.expr(f"cast(floor(y * {BANDS} / h) as bigint)")).drop("h")
     first = p.groupBy("image_id").agg(F.min("y").alias("y0"))
-    return p.join(F.broadcast(first), "image_id").withColumn("y", F.col("y") - F.col("y0")).drop("y0")
+    return p.join(first, "image_id").withColumn("y", F.col("y") - F.col("y0")).drop("y0")
 
 
 def white(pixels: DataFrame, threshold: int = 100) -> DataFrame:
@@ -47,9 +47,10 @@ def blackened(pixels: DataFrame) -> DataFrame:
 
 
 def rectangles(pixels: DataFrame) -> DataFrame:
-    """(image_id, comp_ord, y, x, r, g, b), three overlapping rectangles, colours shifted by their order."""
+    """(image_id, comp_ord, y, x, r, g, b), three overlapping rectangles that cover most of an image, colours shifted by their order."""
     spots = pixels.sparkSession.createDataFrame([(0, 0, 6, 0, 60), (1, 3, 9, 30, 90), (2, 2, 8, 10, 80)], "comp_ord long, y0 long, y1 long, x0 long, x1 long")
-    cut = coarse(blackened(pixels)).join(F.broadcast(spots), F.expr("y >= y0 and y < y1 and x >= x0 and x < x1"))
+    high = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"))
+    cut = coarse(blackened(pixels)).join(high, "image_id").join(F.broadcast(spots), F.expr("y * 10 >= y0 * h and y * 10 < y1 * h and x >= x0 and x < x1"))
     return cut.selectExpr("image_id", "comp_ord", "y", "x", *(f"case when r + g + b = 0 then 0 else {c} + comp_ord end as {c}" for c in "rgb"))
 
 

@@ -68,6 +68,33 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("shape_id long, seq long, px double, py double").csv(path)
 
 
+def write_npy(matrix: DataFrame, path: str) -> None:
+    """(name, data) of each `name` of (name, row, column, value), data its .npy bytes in doubles, missing cells 0; a matrix is one task's."""
+
+    def run(key, table):
+        i, j, v = (table.column(c).to_numpy() for c in ("row", "column", "value"))
+        m = np.zeros((int(i.max()) + 1, int(j.max()) + 1))
+        m[i, j] = v
+        out = io.BytesIO()
+        np.save(out, m, allow_pickle=False)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([out.getvalue()], pa.binary())], names=["name", "data"])
+
+    matrix.select("name", "row", "column", "value").groupBy("name").applyInArrow(run, "name string, data binary").write.mode("overwrite").parquet(path)
+
+
+def read_npy_table(spark: SparkSession, path: str) -> DataFrame:
+    """(name, row, column, value) of what `write_npy` has written."""
+
+    def run(frames):
+        for frame in frames:
+            for name, raw in zip(frame.column("name").to_pylist(), frame.column("data").to_pylist(), strict=True):
+                m = np.load(io.BytesIO(raw), allow_pickle=False)
+                i, j = np.indices(m.shape)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * m.size), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel())], names=["name", "row", "column", "value"])
+
+    return spark.read.parquet(path).mapInArrow(run, "name string, row long, column long, value double")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, column, value) of two-dimensional .npy files."""
 

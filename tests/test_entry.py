@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from pixelflow.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"roi_detect", "hierarchical_pipeline"}
+SLOW = {"roi_detect", "get_regions", "hierarchical_pipeline"}
 
 
 @pytest.fixture(scope="module")

@@ -194,3 +194,92 @@ def test_lab_of_known_colours(spark):
     l_, a_, b_ = color.lab()
     rows = spark.createDataFrame([(255, 255, 255), (0, 0, 0), (255, 0, 0)], "r long, g long, b long").select(l_, a_, b_).collect()
     assert np.allclose(np.array(rows, float), [[100, 0, 0], [0, 0, 0], [53.24, 80.09, 67.2]], atol=0.1)
+
+
+def shape(spark, text):
+    """A component as (image_id, y, x, label) of the marks of a drawing."""
+    return spark.createDataFrame([(0, y, x, 1) for y, row in enumerate(text.split()) for x, c in enumerate(row) if c == "#"], "image_id long, y long, x long, label long")
+
+
+@pytest.mark.parametrize(
+    ("text", "points", "arc"),
+    [("#", 1, 0.0), ("##", 2, 2.0), ("###", 4, 4.0), ("## ##", 4, 4.0), ("### ### ###", 8, 8.0), ("#. .#", 2, 2 * 2**0.5), ("### #.# ###", 8, 8.0), (".#. ### .#.", 4, 4 * 2**0.5), ("#.. #.. ###", 7, 6 + 2**0.5)],
+)
+def test_contours_of_drawings(spark, text, points, arc):
+    got = roi.arc_perimeter(roi.contours(shape(spark, text))).first()
+    assert (got.points, got.arc) == (points, pytest.approx(arc))
+
+
+def test_contours_follow_the_outer_border(spark):
+    mask = np.random.default_rng(3).random((24, 24)) < 0.6
+    df = hand(spark, np.where(mask, 255, 0).tolist())
+    labels = components.label(df.where("v > 0"))
+    at = {(r.y, r.x): r.label for r in labels.collect()}
+    lines = {}
+    for r in roi.contours(labels).orderBy("label", "seq").collect():
+        lines.setdefault(r.label, []).append((r.y, r.x))
+    assert set(lines) == set(at.values())
+    for number, line in lines.items():
+        own = {p for p, k in at.items() if k == number}
+        assert set(line) <= own
+        for (a, b), (c, d) in zip(line, line[1:] + line[:1], strict=True):
+            assert max(abs(a - c), abs(b - d)) <= 1
+        # what can be reached from outside in 4 steps touches the line, in the whole plane round the component
+        outside, todo = set(), [(-1, -1)]
+        while todo:
+            y, x = todo.pop()
+            if (y, x) in outside or (y, x) in own or not (-1 <= y <= 24 and -1 <= x <= 24):
+                continue
+            outside.add((y, x))
+            todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        rim = {(y, x) for y, x in own if {(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)} & outside}
+        assert rim <= set(line)
+    s = roi.contour_thinness(labels)
+    assert s.where("thinness < 0").count() == 0 and s.count() == len(lines)
+    assert roi.thin_by_heuristic(labels, 0.4).join(s.where("thinness < 0.4"), ["image_id", "label"], "left_anti").count() == 0
+    assert roi.thin_by_boxes(labels, 0.5, 1, 10_000).count() <= s.count()
+
+
+def test_colours_survive_lab_bytes(spark):
+    rows = [(0, 0, k, *map(int, RNG.integers(0, 256, 3))) for k in range(300)] + [(0, 0, 300, 0, 0, 0), (0, 0, 301, 255, 255, 255)]
+    df = spark.createDataFrame(rows, "image_id long, y long, x long, r long, g long, b long")
+    lab = df.select("x", "r", "g", "b", *(c.alias(n) for c, n in zip(color.lab8(), ("l", "a", "bb"), strict=True)))
+    back = lab.select("x", "r", "g", "b", "l", *(c.alias(f"n{n}") for c, n in zip(color.from_lab8("l", "a", "bb"), "rgb", strict=True)))
+    got = {r.x: r for r in back.collect()}
+    assert (got[300].l, got[301].l) == (0, 255) and (got[301].nr, got[301].ng, got[301].nb) == (255, 255, 255)
+    assert np.mean([abs(r.r - r.nr) + abs(r.g - r.ng) + abs(r.b - r.nb) for r in got.values()]) < 6
+    for by_region in (False, True):
+        out = {r.x: r for r in enhance.images(df, by_region=by_region).collect()}
+        assert len(out) == len(got)
+        assert all((out[x].r, out[x].g, out[x].b) == (r.r, r.g, r.b) for x, r in got.items() if r.l >= 100)
+
+
+def test_black_holes(spark):
+    a, b, o = (9, 0, 0), (0, 9, 0), (0, 0, 0)
+    rows = [[a, a, b, b], [a, o, o, b], [b, o, b, b], [o, a, a, o]]
+    df = spark.createDataFrame([(0, y, x, *c) for y, row in enumerate(rows) for x, c in enumerate(row)], "image_id long, y long, x long, r long, g long, b long")
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in palette.fill_black_holes(df, 3).collect()}
+    assert [got[p] for p in ((1, 1), (1, 2), (2, 1))] == [b] * 3  # b stands next to the hole four times, a three times
+    assert got[3, 0] == b and got[3, 3] == b  # a tie goes to the first in raster order
+    assert {(r.y, r.x): (r.r, r.g, r.b) for r in palette.fill_black_holes(df, 2).collect()}[1, 1] == o
+    one = spark.createDataFrame([(0, 0, 0, 0, 0, 0)], "image_id long, y long, x long, r long, g long, b long")
+    assert palette.fill_black_holes(one).first().r == 0
+
+
+def test_long_splines_and_many_colours():
+    t = np.linspace(0, 7, 6000)
+    v = np.column_stack([np.sin(t), np.cos(t)])
+    at = np.linspace(0, 7, 500)
+    assert np.allclose(boundary.natural_spline(t, v, at), np.column_stack([np.sin(at), np.cos(at)]), atol=1e-4)
+    points = RNG.integers(0, 256, (5000, 3))
+    label = palette.lloyd(points, 500, 3)
+    assert len(label) == 5000 and len(np.unique(label)) > 400
+
+
+def test_best_thresholds_of_hashed_images(spark):
+    rows = [(2**62 + k, y, x, 30 if x < 8 else 180 + (y + k) % 3) for k in range(2) for y in range(12) for x in range(16)]
+    df = spark.createDataFrame(rows + [(-5, 0, 0, 7)], "image_id long, y long, x long, v long")
+    out = edges.best(df)
+    assert out.count() == len(rows) + 1 and out.where("v > 0").select("image_id").distinct().count() == 2
+    limits = {r.image_id: (r.low, r.high) for r in edges.best_limits(df).collect()}
+    assert limits[-5] == (50, 150) and len(limits) == 3

@@ -100,3 +100,10 @@ def test_canvas_is_filled(spark):
     merged = spark.createDataFrame([(0, 1, 1, 5, 6, 7)], "image_id long, y long, x long, r long, g long, b long")
     out = overlay.canvas(merged, 2, 3)
     assert out.count() == 6 and out.agg(F.sum("r")).first()[0] == 5
+
+
+def test_npy_tables(spark, tmp_path):
+    rows = [("a", 0, 1, 2.5), ("a", 2, 0, -1.0), ("b", 0, 0, 4.0)]
+    images.write_npy(spark.createDataFrame(rows, "name string, row long, column long, value double"), str(tmp_path / "m"))
+    got = {tuple(r) for r in images.read_npy_table(spark, str(tmp_path / "m")).collect()}
+    assert set(rows) <= got and len(got) == 7
