@@ -385,7 +385,7 @@ def contour_thinness(spark, d):
 
 @query()
 def thin_heuristic(spark, d):
-    return roi.thin_by_heuristic(mosaic_labels(spark, d), 0.5)
+    return roi.thin_by_heuristic(mosaic_labels(spark, d), 0.8)
 
 
 @query()
