@@ -12,8 +12,8 @@ n-gram counts as the filter reads them). For held-out texts it is `score`. `loo_
 once from those that occur again elsewhere.
 
 Both broadcasts are checked: the exact unigram table against `max_table` and the filter against
-`max_filter` bytes. Beyond a limit the same filter is probed range by range, each range where its keys
-are, and unigrams and readings meet the tokens by joins (`joined`): of any size, more slowly. The
+`max_filter` bytes. Beyond a limit, chunks of texts send their distinct keys to the ranges and get a count
+for each back (`joined`): of any size, at about three times the input of disk at most. The
 filter's bits don't depend on the way, so scores differ only by the order of addition.
 
 Defined results: null and empty texts are the end token alone; repeated documents each give a row and
@@ -139,7 +139,11 @@ class Filter:
         return self
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts (0 where there is none), by probing level after level."""
+        """Quantised counts (0 where there is none)."""
+        return value_of(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels (0 for none), by probing one after another."""
         bucket = C.bucket_of(keys, self.buckets)
         at, size, alive = self.at[bucket], self.size[bucket], np.flatnonzero(self.full[bucket])
         levels = np.zeros(len(keys), np.int64)
@@ -153,7 +157,7 @@ class Filter:
             levels[alive] = level
             if not len(alive):
                 break
-        return value_of(levels)
+        return levels
 
 
 def value_of(levels: np.ndarray) -> np.ndarray:
@@ -183,30 +187,41 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray, held: np.ndarray):
         """Of each text: n_tokens, n_known, base score, score, loo score; held: which texts the counts leave out."""
-        t = tokens(data, offsets)
-        n_tokens = np.diff(t.first)
-        doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
-        inside = ~held[doc]
-        unique, back, own = _counted_once(t.hash, doc)
-        c = np.zeros(len(unique), np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
-            c = np.where(self.keys[at] == unique, self.counts[at].astype(np.int64), 0)
-        c = c[back]
-        rest = c - own * inside
-        p = (c + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        loo = (rest + 0.1) / (self.total - n_tokens[doc] * inside + 0.1 * (self.distinct + 1))
-        base, known = np.log10(p), c > 0
-        history, loo_history = _before(c, t.first, self.documents), _before(rest, t.first, self.documents - ~held)
-        for n in range(2, self.order + 1):
-            unique, back, own = _counted_once(t.grams(n), doc)
-            c = self.filters[n].counts(unique)[back]
-            rest = np.maximum(0.0, c - own * inside)
-            p, loo = interpolated(p, c, history, self.weight), interpolated(loo, rest, loo_history, self.weight)
-            if n < self.order:  # a text's first token has one history alone
-                history, loo_history = _before(c, t.first, 0), _before(rest, t.first, 0)
-        sums = lambda x: np.add.reduceat(x, t.first[:-1]) if len(n_tokens) else x[:0]  # noqa: E731  every text has a token
-        return n_tokens, sums(known.astype(np.int64)), sums(base), sums(np.log10(p)), sums(np.log10(loo))
+        return scored(tokens(data, offsets), held, self._count, self.order, self.total, self.distinct, self.documents, self.weight)
+
+    def _count(self, n: int, keys: np.ndarray) -> np.ndarray:
+        return exact(self.keys, self.counts, keys) if n == 1 else self.filters[n].counts(keys)
+
+
+def exact(known: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The counts of keys in a sorted table, 0 where there is none."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, counts[at].astype(np.int64), 0)
+
+
+def scored(t: Tokens, held: np.ndarray, count, order: int, total: int, distinct: int, documents: int, weight: float):
+    """Of each text: n_tokens, n_known, base score, score, loo score. count(n, keys): the counts of sorted distinct n-gram keys."""
+    n_tokens = np.diff(t.first)
+    doc = np.repeat(np.arange(len(n_tokens)), n_tokens)
+    inside = ~held[doc]
+    unique, back, own = _counted_once(t.hash, doc)
+    c = count(1, unique)[back]
+    rest = c - own * inside
+    p = (c + 0.1) / (total + 0.1 * (distinct + 1))
+    loo = (rest + 0.1) / (total - n_tokens[doc] * inside + 0.1 * (distinct + 1))
+    base, known = np.log10(p), c > 0
+    history, loo_history = _before(c, t.first, documents), _before(rest, t.first, documents - ~held)
+    for n in range(2, order + 1):
+        unique, back, own = _counted_once(t.grams(n), doc)
+        c = count(n, unique)[back]
+        rest = np.maximum(0.0, c - own * inside)
+        p, loo = interpolated(p, c, history, weight), interpolated(loo, rest, loo_history, weight)
+        if n < order:  # a text's first token has one history alone
+            history, loo_history = _before(c, t.first, 0), _before(rest, t.first, 0)
+    sums = lambda x: np.add.reduceat(x, t.first[:-1]) if len(n_tokens) else x[:0]  # noqa: E731  every text has a token
+    return n_tokens, sums(known.astype(np.int64)), sums(base), sums(np.log10(p)), sums(np.log10(loo))
 
 
 def interpolated(lower: np.ndarray, own: np.ndarray, history: np.ndarray, weight: float) -> np.ndarray:
@@ -218,6 +233,11 @@ def interpolated(lower: np.ndarray, own: np.ndarray, history: np.ndarray, weight
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("loo_score", T.DoubleType()), T.StructField("loo_mean", T.DoubleType())])
 
 
+def _rows(doc_id, held_out, total: int, found) -> pa.RecordBatch:
+    n, known, *sums = found
+    return pa.RecordBatch.from_arrays([doc_id.cast(pa.int64()), held_out, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), *(pa.array(x, pa.float64()) for x in (*sums, sums[-1] / n))], names=SCORED.names)
+
+
 def _ngrams(docs: DataFrame, order: int, scratch: Scratch, buckets: int, bits: int) -> DataFrame:
     """PARTS of the training documents: exact unigrams and the filter's segments, by ranges of keys."""
 
@@ -255,119 +275,142 @@ def scores(docs: DataFrame, order: int = 2, weight: float = WEIGHT, max_table: i
         own = model.value
         for frame in frames:
             for part, data, offsets in W.pieces(frame, "text", 1 << 20):
-                n, known, *sums = own.score(data, offsets, part.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), own.total), pa.int64()), *(pa.array(x, pa.float64()) for x in (*sums, sums[-1] / n))], names=SCORED.names)
+                held = part.column("held_out")
+                yield _rows(part.column("doc_id"), held, own.total, own.score(data, offsets, held.to_numpy(zero_copy_only=False).astype(bool)))
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCORED)
 
 
-UNIGRAMS = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", T.LongType())])
-READINGS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("v", T.DoubleType())])
+TEXTS = "chunk long, seq long, doc_id long, held_out boolean, text string"
+ASKED = "kind int, bucket int, chunk long, seq long, keys binary"
+ANSWERS = "kind int, bucket int, chunk long, seq long, found binary"
 
 
-def _unigrams(parts: DataFrame) -> DataFrame:
-    """(key, c) of every training token."""
+def _chunks(docs: DataFrame, limit: int) -> DataFrame:
+    """TEXTS: all rows, in numbered chunks of at most `limit` bytes of text or a single longer text; seq counts a chunk's rows."""
 
     def run(frames):
-        for frame in frames:
-            for keys, counts in zip(frame.column("keys"), frame.column("counts"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(C.from_planes(x.as_py(), np.int64), pa.int64()) for x in (keys, counts)], names=UNIGRAMS.names)
-
-    return parts.where("kind = 1").select("keys", "counts").mapInArrow(run, UNIGRAMS)
-
-
-def _readings(docs: DataFrame, parts: DataFrame, order: int, buckets: int) -> DataFrame:
-    """(n, key, v): what the filter says of every n-gram of all texts, where that is not 0; each range is probed by its own task."""
+        from pyspark import TaskContext
 
-    def asked(frames):
-        runs = {n: C.Run(n, buckets) for n in range(2, order + 1)}
+        chunk, held, seq = TaskContext.get().partitionId() << 32, 0, 0
         for frame in frames:
-            for _, data, offsets in W.pieces(frame, "text", 1 << 20):
-                t = tokens(data, offsets)
-                for n, r in runs.items():
-                    yield from r.add(t.grams(n))
-        for r in runs.values():
-            yield from r.flush()
+            _, offsets = W.text_bytes(frame.column("text"))
+            chunks, seqs = np.empty(frame.num_rows, np.int64), np.empty(frame.num_rows, np.int64)
+            for k, size in enumerate(np.diff(offsets).tolist()):
+                if seq and held + size + 1 > limit:
+                    chunk, held, seq = chunk + 1, 0, 0
+                chunks[k], seqs[k] = chunk, seq
+                held, seq = held + size + 1, seq + 1
+            yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(seqs), frame.column("doc_id").cast(pa.int64()), frame.column("held_out"), frame.column("text").cast(pa.string())], names=["chunk", "seq", "doc_id", "held_out", "text"])
+
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, TEXTS)
+
+
+def _runs(frames):
+    """(chunk, seq of the first row, rows): the rows of a task cut where the chunk changes or its rows don't go on."""
+    held, last = [], None
+    for frame in frames:
+        if not frame.num_rows:
+            continue
+        chunk, seq = frame.column("chunk").to_numpy(), frame.column("seq").to_numpy()
+        go_on = (chunk[1:] == chunk[:-1]) & (seq[1:] == seq[:-1] + 1)
+        cuts = [0, *(np.flatnonzero(~go_on) + 1).tolist(), frame.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and (chunk[lo], seq[lo] - 1) != last:
+                yield _run(held)
+                held = []
+            held.append(frame.slice(lo, hi - lo))
+            last = (chunk[hi - 1], seq[hi - 1])
+    if held:
+        yield _run(held)
+
+
+def _run(held: list):
+    table = pa.Table.from_batches(held)
+    return table.column("chunk")[0].as_py(), table.column("seq")[0].as_py(), table
+
+
+def _asked(texts: DataFrame, order: int, buckets: int) -> DataFrame:
+    """ASKED: the distinct n-gram keys of every run, sorted and cut by ranges."""
 
-    def probe(key, own, found):
-        if not own.num_rows or not found.num_rows:
-            return pa.Table.from_batches([], pa.schema([("n", pa.int32()), ("key", pa.int64()), ("v", pa.float64())]))
-        keys, _ = C.unpack(own)
-        one = Filter(buckets)
-        one.put(key[1].as_py(), found.column("keys")[0].as_py())
-        value = one.seal().counts(keys)
-        keys, value = keys[value > 0], value[value > 0]
-        return pa.table([pa.array(np.full(len(keys), key[0].as_py()), pa.int32()), pa.array(keys.view(np.int64), pa.int64()), pa.array(value, pa.float64())], names=READINGS.names)
+    def run(frames):
+        for chunk, seq, table in _runs(frames):
+            t = tokens(*W.text_bytes(table.column("text")))
+            for n in range(1, order + 1):
+                keys = np.unique(t.hash if n == 1 else t.grams(n))
+                cuts = np.searchsorted(C.bucket_of(keys, buckets), np.arange(buckets + 1))
+                own = np.flatnonzero(np.diff(cuts)).tolist()
+                same = lambda x, kind=pa.int64(), size=len(own): pa.array(np.full(size, x), kind)
+                yield pa.RecordBatch.from_arrays([same(n, pa.int32()), pa.array(own, pa.int32()), same(chunk), same(seq), pa.array([C.planes(keys[cuts[b] : cuts[b + 1]]) for b in own], pa.binary())], names=["kind", "bucket", "chunk", "seq", "keys"])
+
+    return texts.select("chunk", "seq", "text").mapInArrow(run, ASKED)
+
+
+def _answered(asked: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
+    """ANSWERS: for every row asked, in its order, counts of unigrams and levels of n-grams; each range is read by its own task."""
+
+    def run(key, own, found):
+        kind, bucket = key[0].as_py(), key[1].as_py()
+        raw = own.column("keys").to_pylist()
+        keys = [C.from_planes(x, np.uint64) for x in raw]
+        cuts = np.cumsum([0, *map(len, keys)]).tolist()
+        keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
+        if not found.num_rows:
+            out = np.zeros(len(keys), np.int64 if kind == 1 else np.uint8)
+        elif kind == 1:
+            out = exact(*(C.from_planes(found.column(c)[0].as_py(), np.uint64) for c in ("keys", "counts")), keys)
+        else:
+            one = Filter(buckets)
+            one.put(bucket, found.column("keys")[0].as_py())
+            out = one.seal().levels(keys).astype(np.uint8)
+        packed = [C.planes(out[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        return pa.table([*(own.column(c) for c in ("kind", "bucket", "chunk", "seq")), pa.array(packed, pa.binary())], names=["kind", "bucket", "chunk", "seq", "found"])
 
-    keys = docs.select("text").mapInArrow(asked, C.PACKED)
-    return keys.groupBy("kind", "bucket").cogroup(parts.where("kind > 1").select("kind", "bucket", "keys").groupBy("kind", "bucket")).applyInArrow(probe, READINGS)
+    return asked.groupBy("kind", "bucket").cogroup(parts.select("kind", "bucket", "keys", "counts").groupBy("kind", "bucket")).applyInArrow(run, ANSWERS)
 
 
-def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataFrame | None = None, bits: int = BITS_PER_ENTRY) -> DataFrame:
-    """The same columns by joins, for tables of any size; n-gram counts are read from the same filter, range by range.
+def joined(docs: DataFrame, order: int = 2, weight: float = WEIGHT, parts: DataFrame | None = None, bits: int = BITS_PER_ENTRY, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """The same columns for tables of any size: no task and no broadcast holds the model. `parts` is deleted.
 
-    One row stands for each distinct (text, n-gram with its lower orders); counts meet it by joins on
-    keys, whose frequent ones adaptive execution splits. parts: `_ngrams` of the documents, if there already.
+    Texts are written once in chunks. Each chunk asks every range of keys once for its distinct keys, and the ranges answer
+    with counts (unigrams) or levels (n-grams) in the order asked, so that answers go back without keys; then texts and
+    answers meet by chunk. Should a reader split a chunk, each run of its rows asks for itself.
+    parts: `_ngrams` of the documents, if there already.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     buckets = 4 * partitions(spark)
     if parts is None:
         parts = _ngrams(docs, order, scratch, buckets, bits)
-    uni = scratch.save(_unigrams(parts), "unigrams")
-    readings = scratch.save(_readings(docs, parts, order, buckets), "readings")
-    total, distinct = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    documents = uni.where(F.col("key") == int(np.array(END).view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    names = ["w", "h", *(f"g{n}" for n in range(2, order + 1)), *(f"h{n}" for n in range(3, order + 1))]
-    times = [f"t_{x}" for x in names]  # how often the text itself has a key; 0 in held-out texts
-    kind = T.StructType([T.StructField("row", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in (*names, *times, "size", "tf"))])
-
-    def run(frames):
-        from pyspark import TaskContext
-
-        task, seq = TaskContext.get().partitionId(), 0
-        for frame in frames:
-            for part, data, offsets in W.pieces(frame, "text", 1 << 20):
-                t = tokens(data, offsets)
-                doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
-                before = np.empty_like(t.hash)
-                before[1:] = t.hash[:-1]
-                before[t.first[:-1]] = BEGIN
-                inside = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[doc]
-                grams = {n: t.grams(n) for n in range(2, order + 1)}
-                own = {n: (_counted_once(x, doc)[2] * inside).astype(np.float64) for n, x in ((1, t.hash), *grams.items())}
-                cells = [t.hash, before, *grams.values(), *(t.histories(n) for n in range(3, order + 1))]
-                counts = [own[1], _before(own[1], t.first, 0), *(own[n] for n in grams), *(_before(own[n - 1], t.first, 0) for n in range(3, order + 1))]
-                cells += [x.astype(np.uint64) for x in (*counts, np.diff(t.first)[doc] * inside)]
-                unique, tf = np.unique(np.column_stack([doc.astype(np.uint64), *cells]), axis=0, return_counts=True)
-                d = unique[:, 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{seq + x}" for x in d.tolist()]), part.column("doc_id").cast(pa.int64()).take(pa.array(d)), part.column("held_out").take(pa.array(d)), *(pa.array(unique[:, k + 1].copy().view(np.int64), pa.int64()) for k in range(len(cells))), pa.array(tf, pa.int64())], names=kind.names)
-                seq += part.num_rows
-
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, kind)
-    rows = rows.join(uni.select(F.col("key").alias("w"), F.col("c").alias("cw")), "w", "left").join(uni.select(F.col("key").alias("h"), F.col("c").alias("ch")), "h", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    rest = lambda value, own: F.greatest(F.lit(0.0), value - F.col(f"t_{own}"))
-    lower = (zero("cw") + 0.1) / (F.lit(float(total)) + 0.1 * (distinct + 1))
-    base, p = F.log10(lower), lower
-    loo = (zero("cw") - F.col("t_w") + 0.1) / (F.lit(float(total)) - F.col("size") + 0.1 * (distinct + 1))
-    begins = F.col("h") == int(np.array(BEGIN).view(np.int64))
-    history = F.when(begins, F.lit(documents)).otherwise(zero("ch"))
-    loo_history = F.when(begins, F.lit(documents) - (~F.col("held_out")).cast("long")).otherwise(zero("ch") - F.col("t_h"))
-
-    def mixed(p, own, history):
-        return F.when(history > 0, weight * F.least(F.lit(1.0), own / F.when(history > 0, history)) + (1 - weight) * p).otherwise(p)
-
-    for n in range(2, order + 1):
-        table = readings.where(F.col("n") == n)
-        rows = rows.join(table.select(F.col("key").alias(f"g{n}"), F.col("v").alias(f"v{n}")), f"g{n}", "left")
-        if n > 2:
-            less = readings.where(F.col("n") == n - 1).select(F.col("key").alias(f"h{n}"), F.col("v").alias(f"hv{n}"))
-            rows = rows.join(less, f"h{n}", "left")
-            history = F.coalesce(f"hv{n}", F.lit(0.0))
-            loo_history = rest(history, f"h{n}")
-        own = F.coalesce(f"v{n}", F.lit(0.0))
-        p, loo = mixed(p, own, history), mixed(loo, rest(own, f"g{n}"), loo_history)
-    each = rows.select("row", "doc_id", "held_out", "tf", (F.col("tf") * (zero("cw") > 0).cast("long")).alias("known"), *((F.col("tf") * x).alias(c) for c, x in (("b", base), ("s", F.log10(p)), ("l", F.log10(loo)))))
-    found = each.groupBy("row", "doc_id", "held_out").agg(F.sum("tf").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.sum("b").alias("base_score"), F.sum("s").alias("score"), F.sum("l").alias("loo_score"))
-    return found.drop("row").withColumn("loo_mean", F.col("loo_score") / F.col("n_tokens"))
+    sizes = parts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    distinct, total = (int(x) for x in sizes)
+    end = parts.where((F.col("kind") == 1) & (F.col("bucket") == int(C.bucket_of(np.array([END]), buckets)[0]))).select("keys", "counts").first()
+    documents = int(exact(*(C.from_planes(bytes(x), np.uint64) for x in end), np.array([END]))[0]) if end else 0
+    texts = scratch.save(_chunks(docs, chunk_bytes), "texts")
+    answers = scratch.save(_answered(_asked(texts, order, buckets), parts, buckets), "answers")
+    scratch.drop(parts)
+    scratch.collect_shuffles()  # before texts and answers are dealt out
+
+    def run(key, own, said):
+        own = own.take(pa.array(np.argsort(own.column("seq").to_numpy())))
+        seq, out = own.column("seq").to_numpy(), []
+        first, kind, bucket = (said.column(c).to_numpy() for c in ("seq", "kind", "bucket"))
+        in_order, found = np.argsort(bucket), said.column("found")
+        starts = np.unique(first)
+        ends = np.append(np.searchsorted(seq, starts[1:]), len(seq))
+        for start, lo, hi in zip(starts, np.searchsorted(seq, starts).tolist(), ends.tolist()):
+            rows = own.slice(lo, hi - lo)
+
+            def count(n, keys, start=start):
+                here = in_order[(first[in_order] == start) & (kind[in_order] == n)]
+                got = np.concatenate([C.from_planes(x, np.int64 if n == 1 else np.uint8) for x in found.take(pa.array(here)).to_pylist()])
+                if len(got) != len(keys):
+                    raise ValueError("a chunk's answers don't fit its keys")
+                return got if n == 1 else value_of(got.astype(np.int64))
+
+            held = rows.column("held_out").combine_chunks()
+            found_rows = scored(tokens(*W.text_bytes(rows.column("text"))), held.to_numpy(zero_copy_only=False).astype(bool), count, order, total, distinct, documents, weight)
+            out.append(_rows(rows.column("doc_id").combine_chunks(), held, total, found_rows))
+        return pa.Table.from_batches(out)
+
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SCORED)

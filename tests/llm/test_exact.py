@@ -757,6 +757,45 @@ def test_scores_do_not_depend_on_the_limits(spark):
                 assert r[1:5] == want[i][1:5] and r[5:] == pytest.approx(want[i][5:], rel=1e-9)
 
 
+def test_lm_chunks_that_a_reader_splits(spark):
+    """Chunks of a few rows, and rows of a chunk that reach a task apart or out of turn."""
+    rng = random.Random(6)
+    docs = frame(spark, [" ".join(rng.choices([f"w{k}" for k in range(90)], k=rng.randint(0, 30))) for _ in range(80)] + [None, ""])
+    docs = docs.union(docs.limit(3)).union(docs.selectExpr("cast(null as long) as doc_id", *docs.columns[1:]).limit(2))
+    rows = lambda df: sorted((str(r.doc_id), *(round(x, 7) for x in r[1:])) for r in df.collect())
+    for order in (1, 2, 3):
+        want = rows(lm.scores(docs, order=order))
+        assert rows(lm.joined(docs, order=order)) == rows(lm.joined(docs, order=order, chunk_bytes=500)) == rows(lm.joined(docs, order=order, chunk_bytes=1)) == want
+    batch = lambda *at: pa.record_batch({"chunk": [c for c, _ in at], "seq": [s for _, s in at]})
+    runs = [(c, s, t.num_rows) for c, s, t in lm._runs([batch((0, 0), (0, 1)), batch((0, 2), (1, 0)), batch(), batch((1, 2), (1, 3)), batch((0, 3))])]
+    assert runs == [(0, 0, 3), (1, 0, 1), (1, 2, 2), (0, 3, 1)]
+
+
+def test_lm_moves_little_beyond_the_limits(spark):
+    """Shuffles of the way without broadcasts stay under four times the text."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(9000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(600)]
+    docs = frame(spark, texts).repartition(2).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.lastStageAttempt(k).shuffleWriteBytes() for k in seen())
+    group = "lm-shuffles"
+
+    def seen():
+        tracker = spark.sparkContext.statusTracker()
+        return {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(k)}
+
+    spark.sparkContext.setJobGroup(group, "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of size are joined
+    try:
+        lm.joined(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < written() < 4 * sum(map(len, texts))
+
+
 def test_lm_odd_rows(spark):
     docs = odd(spark)
     assert lm.scores(docs).count() == docs.count() == lm.joined(docs).count()
