@@ -6,6 +6,7 @@ from conftest import as_rows, hand
 from pyspark.sql import functions as F
 
 from pixelflow.functions import color
+from pixelflow.functions.durable import durable
 from pixelflow.operators import boundary, codec, components, edges, enhance, grid, palette, quality, roi, segment
 
 RNG = np.random.default_rng(7)
@@ -283,3 +284,14 @@ def test_best_thresholds_of_hashed_images(spark):
     assert out.count() == len(rows) + 1 and out.where("v > 0").select("image_id").distinct().count() == 2
     limits = {r.image_id: (r.low, r.high) for r in edges.best_limits(df).collect()}
     assert limits[-5] == (50, 150) and len(limits) == 3
+
+
+def test_size_estimates_stay_bounded_along_checkpoints(spark):
+    """Each join multiplies the sides' estimates; a checkpoint must not hand the product on."""
+    now = want = spark.range(20).selectExpr("id", "id % 3 as v")
+    for _ in range(6):
+        now = durable(now.join(now.select("id", F.col("v").alias("w")), "id").selectExpr("id", "(v + w) % 7 as v"))
+        assert now._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() <= 63
+    for _ in range(6):
+        want = want.selectExpr("id", "(v + v) % 7 as v")
+    assert now.columns == ["id", "v"] and now.dtypes == want.dtypes and sorted(now.collect()) == sorted(want.collect())
