@@ -31,8 +31,11 @@ def _bounded(df: DataFrame) -> DataFrame:
     checkpoints the digits double again and again, until the driver's heap doesn't hold them.
     """
     plan = df._jdf.queryExecution().analyzed()
-    if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
-        return df
+    try:
+        if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
+            return df
+    except ValueError:  # the number has more digits than Python reads
+        pass
     jvm = df.sparkSession.sparkContext._jvm
     none = jvm.scala.Option.empty()
     plain = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), df.sparkSession._jsparkSession, none, none)

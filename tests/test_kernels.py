@@ -1,5 +1,7 @@
 """Hand-sized arrays: borders, ties, ordering, and properties of kernels without a relational form."""
 
+import sys
+
 import numpy as np
 import pytest
 from conftest import as_rows, hand
@@ -295,3 +297,19 @@ def test_size_estimates_stay_bounded_along_checkpoints(spark):
     for _ in range(6):
         want = want.selectExpr("id", "(v + v) % 7 as v")
     assert now.columns == ["id", "v"] and now.dtypes == want.dtypes and sorted(now.collect()) == sorted(want.collect())
+
+
+def test_checkpoint_of_an_estimate_with_more_digits_than_python_reads(spark):
+    """Between two checkpoints the estimates of all joined tables multiply, here of 64."""
+    one = now = durable(spark.range(1).coalesce(1))
+    while one._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() < 60:
+        one = now = durable(one.crossJoin(one.select(F.col("id").alias("b"))).select("id"))
+    for _ in range(6):
+        now = now.crossJoin(now.select(F.col("id").alias("b"))).selectExpr("id + b as id")
+    limit = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(640)
+    try:
+        out = durable(now)
+    finally:
+        sys.set_int_max_str_digits(limit)
+    assert out._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() <= 63 and [r.id for r in out.collect()] == [0]
